@@ -32,7 +32,6 @@ RAW = "raw_features"
 FEATURES = "features"
 CLUSTER = "Clusters"
 PCA_OUT = "pca_features"
-LAYOUT_PARTITIONS = 8
 
 
 def _q(name: str) -> Column:
@@ -63,6 +62,7 @@ class ClusterResult:
     frame: DataFrame            # input + raw_features, features, Clusters (persisted)
     model: PipelineModel
     feature_cols: list[str]
+    source: DataFrame | None = None   # the persisted input
 
     @property
     def cluster_sizes(self) -> list[int]:
@@ -78,18 +78,26 @@ class ClusterResult:
 
     def unpersist(self) -> None:
         self.frame.unpersist()
+        if self.source is not None:
+            self.source.unpersist()
 
 
 def stable_layout(df: DataFrame, key: str | Sequence[str],
-                  partitions: int = LAYOUT_PARTITIONS) -> DataFrame:
+                  partitions: int | None = None) -> DataFrame:
+    """Hash layout on ``key`` into a fixed partition count (the cluster's
+    ``spark.sql.shuffle.partitions`` unless given), sorted inside each
+    partition: the same rows always reach K-means in the same order, and
+    the count scales with the deployment, not with the input files."""
     keys = [key] if isinstance(key, str) else list(key)
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *[_q(k) for k in keys]).sortWithinPartitions(
         *[_q(k) for k in keys])
 
 
 def kmeans_clusters(df: DataFrame, feature_cols: Sequence[str], k: int = 3, seed: int = 1,
                     layout_key: str | Sequence[str] | None = None,
-                    layout_partitions: int = LAYOUT_PARTITIONS,
+                    layout_partitions: int | None = None,
                     max_iter: int = 20, tol: float = 1e-4) -> ClusterResult:
     """M3 + M4: fit assemble -> scale -> K-means and return the transformed
     frame (persisted, since silhouette, PCA, labels and the write all read
@@ -97,11 +105,15 @@ def kmeans_clusters(df: DataFrame, feature_cols: Sequence[str], k: int = 3, seed
     if k < 2:
         raise ValueError("k must be at least 2")
     src = stable_layout(df, layout_key, layout_partitions) if layout_key else df
+    # The scaler fit, the K-means passes and the transform all read the
+    # input: keep it (spilling to disk if needed) instead of recomputing the
+    # upstream plan each time.  Lost blocks are rebuilt from lineage.
+    src = src.persist(StorageLevel.MEMORY_AND_DISK)
     km = KMeans(featuresCol=FEATURES, predictionCol=CLUSTER, k=k, seed=seed,
                 maxIter=max_iter, tol=tol)
     model = Pipeline(stages=[assembler(feature_cols), scaler(), km]).fit(src)
     out = model.transform(src).persist(StorageLevel.MEMORY_AND_DISK)
-    return ClusterResult(out, model, list(feature_cols))
+    return ClusterResult(out, model, list(feature_cols), src)
 
 
 # ------------------------------------------------------------ M5, M6, M8
