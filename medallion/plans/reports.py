@@ -15,7 +15,7 @@ from ..operators import cluster as C
 from ..operators.clean import drop_columns, exclude_values, preprocess
 from ..operators.rollup import group_counts, group_means, impute_population, rollup, top_k
 from ..sinks.writers import export_csv, write_sink
-from ..sources.json_docs import read_json_records
+from ..sources.json_docs import DEFAULT_FIELDS, read_json_records
 
 # Fixed values of the slum job: columns dropped before the roll-up, the
 # summed counts, the averaged rate, the clustering features, the label
@@ -128,7 +128,7 @@ def publish(report: ClusterReport, table: str) -> DataFrame:
 
 
 def api_table(spark: SparkSession, json_path: str, out_path: str, key: str | None = "entries",
-              fields: Sequence[str] | None = None) -> DataFrame:
+              fields: Sequence[str] | None = DEFAULT_FIELDS) -> DataFrame:
     """Landed API documents -> flat table -> CSV export; returns the
     exported rows read back."""
     df = read_json_records(spark, json_path, key, fields)

@@ -1,0 +1,108 @@
+import datetime as dt
+import math
+
+from pyspark.sql import functions as F
+
+from medallion.operators import clean as K
+
+MIXED = [
+    # all_num, num_na, one_bad, first_null, three_f, underscore, day, flag
+    ("1", "NA", "1.5", None, "3f", "1_000", dt.date(2020, 1, 1), True),
+    ("2", "2", "x1", "4", "5", "2", dt.date(2020, 1, 2), False),
+    (" 3 ", "3", "2", "5", "6", "3", dt.date(2020, 1, 3), None),
+    ("-4e2", "4", "3", "6", "7", "4", None, True),
+]
+MIXED_SCHEMA = ("all_num string, num_na string, one_bad string, first_null string, "
+                "three_f string, underscore string, day date, flag boolean")
+
+
+def mixed(spark):
+    return spark.createDataFrame(MIXED, MIXED_SCHEMA)
+
+
+def test_sentinel_only_exact_na_in_string_columns(spark):       # P9, D16
+    df = spark.createDataFrame([("NA", 1, "na"), (" NA", 2, "x")], "a string, b int, c string")
+    out = K.replace_sentinel(df).collect()
+    assert out[0]["a"] is None and out[0]["c"] == "na"
+    assert out[1]["a"] == " NA" and out[1]["b"] == 2
+
+
+def test_pattern_keeps_non_matching_cells(spark):               # P10, D9
+    df = spark.createDataFrame([("na",), (" NA ",), ("nation",), ("x",)], "a string")
+    got = [r.a for r in K.replace_pattern(df).collect()]
+    assert got == [None, None, "nation", "x"]
+
+
+def test_profile_one_job_numeric_rule(spark):                   # A5, D1, D2
+    df = K.replace_sentinel(mixed(spark))
+    prof = {p.name: p for p in K.profile(df)}
+    num = set(K.numeric_columns(prof.values()))
+    # every non-null value must be numeric; NULL in first place is fine
+    assert {"all_num", "num_na", "first_null", "flag"} <= num
+    assert "one_bad" not in num and "three_f" not in num and "underscore" not in num
+    assert "day" not in num
+    assert prof["num_na"].null_fraction == 0.25
+
+
+def test_profile_empty_frame_gives_null_fraction(spark):        # D17
+    df = spark.createDataFrame([], "a string, b int")
+    prof = K.profile(df)
+    assert all(p.null_fraction is None for p in prof)
+    assert K.drop_sparse(df, 0.1).columns == ["a", "b"]
+
+
+def test_drop_sparse_strictly_greater(spark):                   # P7
+    df = spark.createDataFrame([(None, 1), ("x", None), (None, None), ("y", 2)], "a string, b int")
+    assert K.drop_sparse(df, 0.5).columns == ["a", "b"]
+    assert K.drop_sparse(df, 0.49).columns == []
+
+
+def test_coerce_keeps_dates_and_casts_numeric(spark):           # P11, D2
+    df = K.replace_sentinel(mixed(spark))
+    num = K.numeric_columns(K.profile(df))
+    out = K.coerce_types(df, num)
+    types = dict(out.dtypes)
+    assert types["all_num"] == "double" and types["day"] == "date"
+    assert types["three_f"] == "string" and types["flag"] == "double"
+    vals = [r.all_num for r in out.collect()]
+    assert vals == [1.0, 2.0, 3.0, -400.0]
+
+
+def test_fill_zero_turns_null_and_nan_to_zero(spark):           # P12
+    df = spark.createDataFrame([(None,), (float("nan"),), (1.0,)], "a double")
+    assert [r.a for r in K.fill_zero(df, ["a"]).collect()] == [0.0, 0.0, 1.0]
+
+
+def test_preprocess_pipeline_and_idempotence(spark):            # P15
+    raw = spark.createDataFrame(
+        [("Pune", "NA", "10", "NA"), ("Pune", "3", "NA", "NA"), ("Agra", "4", "5", "z")],
+        ["city name", "No. of slums", "Rate (%)", "remarks"])
+    pre = K.preprocess(raw, 0.5)
+    assert pre.frame.columns == ["CityName", "NoOfSlums", "Rate"]
+    assert pre.dropped == ["Remarks"]
+    assert pre.numeric_cols == ["NoOfSlums", "Rate"]
+    rows = sorted(tuple(r) for r in pre.frame.collect())
+    assert rows == [("Agra", 4.0, 5.0), ("Pune", 0.0, 10.0), ("Pune", 3.0, 0.0)]
+    again = K.preprocess(pre.frame, 0.5)
+    assert sorted(tuple(r) for r in again.frame.collect()) == rows
+
+
+def test_exclude_values_drops_nulls_too(spark):                 # F1
+    df = spark.createDataFrame([("Port Blair",), ("port blair",), (None,), ("Pune",)], "c string")
+    got = sorted(r.c for r in K.exclude_values(df, "c", ["Port Blair", "DHARAMSHALA"]).collect())
+    assert got == ["Pune", "port blair"]
+
+
+def test_drop_columns_ignores_unknown_and_cleans_names(spark):  # P6, D15
+    df = spark.createDataFrame([(1, 2, 3)], ["Zone", "WardNo", "City"])
+    assert K.drop_columns(df, ["Zone", "WardNo.", "Nope"]).columns == ["City"]
+
+
+def test_profile_frame_matches_profile(spark):
+    df = K.replace_sentinel(mixed(spark))
+    rows = {r.column_name: r for r in K.profile_frame(df).collect()}
+    for p in K.profile(df):
+        r = rows[p.name]
+        assert r.non_null == p.non_null and r.numeric == p.numeric
+        assert (r.null_fraction is None and p.null_fraction is None) or \
+            math.isclose(r.null_fraction, p.null_fraction)
