@@ -112,6 +112,11 @@ def upsert(updates: DataFrame, keys: str | Sequence[str] | None, *, table: str |
         raise ValueError("upsert needs merge keys (D7)")
     if on_empty == "skip" and updates.isEmpty():
         return False
+    # The batch is read four times below (partition values, keys, the
+    # duplicate check, the union).  Staging it once in the shared folder
+    # makes those reads agree even for a non-deterministic source and cuts
+    # its lineage, so a lost executor re-reads files instead of recomputing.
+    updates = _stage(updates, "upsert-batch")
     if table:
         if not spark.catalog.tableExists(table):          # K9
             create_table(updates, table, fmt, parts)
