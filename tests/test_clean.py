@@ -106,3 +106,14 @@ def test_profile_frame_matches_profile(spark):
         assert r.non_null == p.non_null and r.numeric == p.numeric
         assert (r.null_fraction is None and p.null_fraction is None) or \
             math.isclose(r.null_fraction, p.null_fraction)
+
+
+def test_split_imputation_each_part_on_its_own(spark):          # P13, D19
+    from medallion.operators.rollup import impute_population
+    df = spark.createDataFrame([("x", 100.0, 0.0, 0.0), ("y", 100.0, 60.0, 0.0),
+                                ("z", 0.0, 0.0, 0.0)],
+                               "City string, SlumPopulationTotal double, "
+                               "SlumPopulationMale double, SlumPopulationFemale double")
+    got = {r.City: (r.SlumPopulationMale, r.SlumPopulationFemale)
+           for r in impute_population(df).collect()}
+    assert got == {"x": (52.0, 48.0), "y": (60.0, 48.0), "z": (0.0, 0.0)}

@@ -91,3 +91,12 @@ def test_upsert_needs_keys_and_skips_empty(spark, db):          # D7, K10
     assert U.upsert(spark.createDataFrame([], SCHEMA), "k", table=t) is False
     assert spark.table(t).count() == len(BASE)
     assert spark.table(t).where(F.col("k").isNull()).count() == 1
+
+
+def test_null_partition_value_matches_nothing(spark, db):       # D18
+    t = f"{db}.np"
+    W.insert_table(spark.createDataFrame(BASE, SCHEMA), t, partition_by="p")
+    upd = spark.createDataFrame([(1, None, 99.0)], SCHEMA)
+    U.upsert(upd, "k", table=t, partition_by="p")
+    got = {(r.k, r.p, r.v) for r in spark.table(t).where("k = 1").collect()}
+    assert got == {(1, "a", 10.0), (1, None, 99.0)}
