@@ -82,17 +82,25 @@ class ClusterResult:
             self.source.unpersist()
 
 
-def stable_layout(df: DataFrame, key: str | Sequence[str],
-                  partitions: int | None = None) -> DataFrame:
-    """Hash layout on ``key`` into a fixed partition count (the cluster's
-    ``spark.sql.shuffle.partitions`` unless given), sorted inside each
-    partition: the same rows always reach K-means in the same order, and
-    the count scales with the deployment, not with the input files."""
+def _sortable(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    types = dict(df.dtypes)
+    return [c for c in cols if c in types and not types[c].startswith(("vector", "array",
+                                                                       "map", "struct"))]
+
+
+def stable_layout(df: DataFrame, key: str | Sequence[str], partitions: int | None = None,
+                  extra: Sequence[str] = ()) -> DataFrame:
+    """Hash layout on ``key`` (plus ``extra`` atomic columns, so a key that
+    repeats cannot pile its rows into one partition) into a fixed partition
+    count (the cluster's ``spark.sql.shuffle.partitions`` unless given),
+    sorted inside each partition: the same rows always reach K-means in the
+    same order, and the count scales with the deployment, not the input."""
     keys = [key] if isinstance(key, str) else list(key)
+    cols = keys + [c for c in _sortable(df, extra) if c not in keys]
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *[_q(k) for k in keys]).sortWithinPartitions(
-        *[_q(k) for k in keys])
+    return df.repartition(partitions, *[_q(c) for c in cols]).sortWithinPartitions(
+        *[_q(c) for c in cols])
 
 
 def kmeans_clusters(df: DataFrame, feature_cols: Sequence[str], k: int = 3, seed: int = 1,
@@ -104,7 +112,7 @@ def kmeans_clusters(df: DataFrame, feature_cols: Sequence[str], k: int = 3, seed
     it) together with the fitted pipeline."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    src = stable_layout(df, layout_key, layout_partitions) if layout_key else df
+    src = stable_layout(df, layout_key, layout_partitions, feature_cols) if layout_key else df
     # The scaler fit, the K-means passes and the transform all read the
     # input: keep it (spilling to disk if needed) instead of recomputing the
     # upstream plan each time.  Lost blocks are rebuilt from lineage.

@@ -104,3 +104,12 @@ def test_labels_by_map_and_by_rank(spark):                      # P14, M7
     assert lm == {0: "Medium", 1: "Small", 2: "Large", 3: "Large"}
     rk = {r.Clusters: r.L for r in C.rank_labels(df, "m", "L").collect()}
     assert rk == {1: "Small", 2: "Medium", 0: "Large", 3: "Rank4"}
+
+
+def test_layout_spreads_a_hot_key(spark):
+    """A key holding a third of the rows must not land in one partition."""
+    rows = [(("hot" if i % 3 == 0 else f"k{i}"), float(i), float(i % 7)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    laid = C.stable_layout(df, "k", 8, extra=["x", "y"])
+    sizes = [r["count"] for r in laid.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 0.25 * 3000
