@@ -6,10 +6,9 @@ target's partition value is among the update's partition values (K8).
 Matched rows take every column of the update; unmatched updates are
 inserted; a target row matched by two update rows is an error.
 
-Plan: ``touched`` target rows (partition-filtered with a semi join on the
-distinct update partition values, which dynamic partition pruning turns
-into a pruned scan) are anti-joined with the update keys and unioned with
-the updates.  That result is written to a staging folder under the shared
+Plan: ``touched`` target rows (filtered with a typed IN list of the
+batch's distinct partition values, so the scan is pruned at planning time)
+are anti-joined with the update keys and unioned with the updates.  That result is written to a staging folder under the shared
 checkpoint folder (a table cannot be overwritten while it is read, and the
 write cuts the lineage), then swapped in with a dynamic partition overwrite
 so untouched partitions are never read or rewritten.  The anti join
@@ -40,14 +39,35 @@ def check_single_match(target: DataFrame, updates: DataFrame, keys: list[str]) -
         raise ValueError(f"several update rows match one target row, e.g. keys {hit[0].asDict()}")
 
 
+# Above this many distinct values of one partition column in a batch, the
+# partition filter is applied as a semi join instead of a literal IN list.
+MAX_LITERAL_PARTITIONS = 10000
+
+
+def partition_values(updates: DataFrame, p: str, limit: int = MAX_LITERAL_PARTITIONS):
+    """Distinct non-NULL values of a partition column in the batch, as typed
+    Python values (F5), or None when there are more than ``limit``.  The
+    count is bounded by the target's partition count, not by its rows."""
+    vals = (updates.select(p).where(F.col(p).isNotNull()).distinct()
+            .limit(limit + 1).collect())
+    return None if len(vals) > limit else [r[0] for r in vals]
+
+
 def touched_rows(target: DataFrame, updates: DataFrame, parts: list[str]) -> DataFrame:
     """K8: target rows in partitions named by the update, per partition
-    column independently (``p1 IN (...) AND p2 IN (...)``).  NULL partition
-    values match nothing."""
+    column independently (``p1 IN (...) AND p2 IN (...)``); NULL partition
+    values match nothing (D18).  The literal IN list lets Spark prune
+    partitions at planning time (``PartitionFilters``), so only the named
+    partitions are listed and read; with very many values an exact semi
+    join takes over."""
     out = target
     for p in parts:
-        vals = updates.select(p).where(F.col(p).isNotNull()).distinct()
-        out = out.join(vals, p, "left_semi")
+        vals = partition_values(updates, p)
+        if vals is None:
+            out = out.join(updates.select(p).where(F.col(p).isNotNull()).distinct(), p,
+                           "left_semi")
+        else:
+            out = out.where(F.col(p).isin(vals))
     return out
 
 
