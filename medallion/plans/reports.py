@@ -9,7 +9,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import cluster as C
 from ..operators.clean import drop_columns, exclude_values, preprocess
@@ -154,7 +153,3 @@ def run_all(spark: SparkSession, cfg: Mapping) -> dict[str, DataFrame]:
         out["electricity"] = publish(
             rep, f"{gold}.{jobs['electricity'].get('target', 'electricity_clusters')}")
     return out
-
-
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.where(F.lit(False))

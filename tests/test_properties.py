@@ -1,0 +1,60 @@
+"""Property tests (hypothesis) for the name rules, and partition-count
+invariance of the Spark operators."""
+
+import string
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from medallion.functions.names import nice_case, normalize_field, silver_name
+from medallion.operators import clean as K
+from medallion.operators import rollup as R
+from tests.conftest import SF
+
+headers = st.text(alphabet=string.ascii_letters + string.digits + " ._-()%/#é", max_size=30)
+
+
+@given(headers)
+def test_nice_case_is_idempotent_and_alphanumeric(h):
+    once = nice_case(h)
+    assert nice_case(once) == once
+    assert once == "" or once.isalnum()
+
+
+@given(headers)
+def test_normalize_is_idempotent_and_lower(h):
+    n = normalize_field(h)
+    assert normalize_field(n) == n
+    assert n == n.lower() and "  " not in n and n == n.strip()
+
+
+@given(headers)
+def test_silver_name_has_no_blanks_or_brackets(h):
+    out = silver_name(h)
+    assert not any(c in out for c in " ()-")
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.sampled_from([1, 3, 8]))
+def test_rollup_same_for_any_partitioning(spark, n):
+    from medallion import standins as S
+    raw = S.wards_raw(spark, SF).repartition(n)
+    df = K.preprocess(raw, 0.5).frame
+    got = sorted(tuple(r) for r in R.rollup(df, "City", ["SlumPopulationTotal"],
+                                            ["LiteracyRatePercentage"]).collect())
+    base = K.preprocess(S.wards_raw(spark, SF).coalesce(1), 0.5).frame
+    want = sorted(tuple(r) for r in R.rollup(base, "City", ["SlumPopulationTotal"],
+                                             ["LiteracyRatePercentage"]).collect())
+    assert got == want
+
+
+def test_minmax_in_unit_interval(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from medallion.operators import cluster as C
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    out = C.minmax_scale(part, ["p_size", "p_retailprice"])
+    arr = vector_to_array("features")
+    bad = out.where((F.array_min(arr) < 0) | (F.array_max(arr) > 1)).count()
+    assert bad == 0
