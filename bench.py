@@ -36,9 +36,13 @@ def main() -> None:
     from medallion.session import build_session
     from medallion.queries import QUERIES
 
+    extra = {"spark.driver.memory": os.environ.get("BENCH_MEM", "4g")}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        # stage and task times for later study, written to a scratch folder
+        extra.update({"spark.eventLog.enabled": "true",
+                      "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
     spark = build_session(f"local[{cpus}]", app="medallion-bench",
-                          shuffle_partitions=max(8, int(cpus) * 2),
-                          extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "8g")})
+                          shuffle_partitions=max(8, int(cpus) * 2), extra=extra)
     # Warm the JVM once (class loading, JIT, ML and codegen caches) with the
     # flagship job on the smallest scale; its time is reported apart.
     t0 = time.perf_counter()
