@@ -6,10 +6,10 @@ components, scatter data, cluster sizes and mean measures, and labels.
 
 Repeatability (D4): K-means|| initialisation samples per partition, so the
 same seed gives other centres on another partitioning.  With ``layout_key``
-the input is hash-partitioned into a fixed number of partitions on that
-key and sorted inside each one before fitting, which makes the fit
-independent of how the input arrived.  The key should be (nearly) unique,
-e.g. the entity name after a roll-up, so the layout shuffle cannot skew.
+the input is hash-partitioned on that key and the features into a number
+of partitions that depends only on its row count, and sorted inside each
+one before fitting, which makes the fit independent of how the input
+arrived while the task count still grows with the data.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ RAW = "raw_features"
 FEATURES = "features"
 CLUSTER = "Clusters"
 PCA_OUT = "pca_features"
+ROWS_PER_PARTITION = 1_000_000
 
 
 def _q(name: str) -> Column:
@@ -88,35 +89,46 @@ def _sortable(df: DataFrame, cols: Sequence[str]) -> list[str]:
                                                                        "map", "struct"))]
 
 
-def stable_layout(df: DataFrame, key: str | Sequence[str], partitions: int | None = None,
+def stable_layout(df: DataFrame, key: str | Sequence[str], partitions: int,
                   extra: Sequence[str] = ()) -> DataFrame:
     """Hash layout on ``key`` (plus ``extra`` atomic columns, so a key that
-    repeats cannot pile its rows into one partition) into a fixed partition
-    count (the cluster's ``spark.sql.shuffle.partitions`` unless given),
-    sorted inside each partition: the same rows always reach K-means in the
-    same order, and the count scales with the deployment, not the input."""
+    repeats cannot pile its rows into one partition) into ``partitions``
+    partitions, sorted inside each: the same rows always reach K-means in
+    the same order, whatever partitioning they arrived with."""
     keys = [key] if isinstance(key, str) else list(key)
     cols = keys + [c for c in _sortable(df, extra) if c not in keys]
-    if partitions is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *[_q(c) for c in cols]).sortWithinPartitions(
         *[_q(c) for c in cols])
 
 
+def partitions_for_rows(rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    """Partition count for the layout: a function of the row count only, so
+    it is repeatable, and it grows with the data (about a million feature
+    rows, some hundred MB, per task)."""
+    return max(1, -(-rows // rows_per_partition))
+
+
 def kmeans_clusters(df: DataFrame, feature_cols: Sequence[str], k: int = 3, seed: int = 1,
                     layout_key: str | Sequence[str] | None = None,
-                    layout_partitions: int | None = None,
+                    partitions: int | None = None,
                     max_iter: int = 20, tol: float = 1e-4) -> ClusterResult:
     """M3 + M4: fit assemble -> scale -> K-means and return the transformed
     frame (persisted, since silhouette, PCA, labels and the write all read
-    it) together with the fitted pipeline."""
+    it) together with the fitted pipeline.
+
+    The input is persisted (spilling to disk when needed; lost blocks are
+    rebuilt from lineage) because the scaler fit, every K-means pass and
+    the transform read it.  With ``layout_key`` it is first counted, then
+    laid out (see ``stable_layout``) and the laid-out copy is kept instead."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    src = stable_layout(df, layout_key, layout_partitions, feature_cols) if layout_key else df
-    # The scaler fit, the K-means passes and the transform all read the
-    # input: keep it (spilling to disk if needed) instead of recomputing the
-    # upstream plan each time.  Lost blocks are rebuilt from lineage.
-    src = src.persist(StorageLevel.MEMORY_AND_DISK)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if layout_key:
+        n = partitions or partitions_for_rows(src.count())
+        laid = stable_layout(src, layout_key, n, feature_cols).persist(StorageLevel.MEMORY_AND_DISK)
+        laid.count()
+        src.unpersist()
+        src = laid
     km = KMeans(featuresCol=FEATURES, predictionCol=CLUSTER, k=k, seed=seed,
                 maxIter=max_iter, tol=tol)
     model = Pipeline(stages=[assembler(feature_cols), scaler(), km]).fit(src)

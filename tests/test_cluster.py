@@ -49,10 +49,18 @@ def test_layout_makes_fit_independent_of_partitioning(spark):   # D4
     df = blobs(spark)
     centres = []
     for n in (1, 4, 9):
-        res = C.kmeans_clusters(df.repartition(n), ["x", "y"], k=3, seed=1, layout_key="id")
+        res = C.kmeans_clusters(df.repartition(n), ["x", "y"], k=3, seed=1, layout_key="id",
+                                partitions=4)
         centres.append(sorted(tuple(round(v, 9) for v in c) for c in res.centers))
         res.unpersist()
     assert centres[0] == centres[1] == centres[2]
+    # and with the row-count sizing (one partition for this small input)
+    again = []
+    for n in (1, 5):
+        res = C.kmeans_clusters(df.repartition(n), ["x", "y"], k=3, seed=1, layout_key="id")
+        again.append(sorted(tuple(round(v, 9) for v in c) for c in res.centers))
+        res.unpersist()
+    assert again[0] == again[1]
 
 
 def test_silhouette_matches_brute_force(spark):                  # M5
@@ -111,5 +119,6 @@ def test_layout_spreads_a_hot_key(spark):
     rows = [(("hot" if i % 3 == 0 else f"k{i}"), float(i), float(i % 7)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, x double, y double")
     laid = C.stable_layout(df, "k", 8, extra=["x", "y"])
+    assert C.partitions_for_rows(2_500_000) == 3 and C.partitions_for_rows(0) == 1
     sizes = [r["count"] for r in laid.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == 3000 and max(sizes) < 0.25 * 3000
