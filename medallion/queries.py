@@ -911,12 +911,26 @@ def q_workflow(spark, sf):
     return out["slums"]
 
 
-@query("create_layers")
+@query("create_layers", """
+SELECT 'silver' AS layer, CAST(1 AS BIGINT) AS tables, count(*) AS row_count FROM customer
+UNION ALL SELECT 'gold', CAST(1 AS BIGINT), count(*) FROM orders""")
 def q_create_layers(spark, sf):
-    """C1 + C6: layer databases created when missing, described."""
-    db = layer_db(spark, "silver")
-    CAT.create_layers(spark, [db])                     # idempotent
-    return CAT.describe_database(spark, db)
+    """C1 (+C4, A7): create the layer databases when missing (twice: the
+    second call is a no-op), land one table in each, report per layer."""
+    root = scratch_path(spark, "layers")
+    names = {"silver": unique_name("silver"), "gold": unique_name("gold")}
+    CAT.create_layers(spark, list(names.values()), root=root)
+    CAT.create_layers(spark, list(names.values()), root=root)
+    Wr.insert_table(T(spark, sf, "customer"), f"{names['silver']}.customer")
+    Wr.insert_table(T(spark, sf, "orders"), f"{names['gold']}.orders")
+    parts = []
+    for layer, db in names.items():
+        tables = [r.table_name for r in CAT.list_tables(spark, db).collect()]
+        counts = R.reconcile_counts({t: spark.table(f"{db}.{t}") for t in tables})
+        parts.append(counts.agg(F.count(F.lit(1)).alias("tables"),
+                                F.sum("row_count").alias("row_count"))
+                     .select(F.lit(layer).alias("layer"), "tables", "row_count"))
+    return parts[0].unionByName(parts[1])
 
 
 @query("list_tables", "SELECT 'customer' AS table_name UNION ALL SELECT 'orders'")
