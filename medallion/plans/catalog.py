@@ -24,6 +24,11 @@ def create_layers(spark: SparkSession, dbs: Sequence[str] = ("silver", "gold"),
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`{loc}")
 
 
+def use_layer(spark: SparkSession, db: str) -> None:
+    """C4: make a layer the current database (``USE silver``)."""
+    spark.catalog.setCurrentDatabase(db)
+
+
 def list_tables(spark: SparkSession, db: str) -> DataFrame:
     """C4: permanent tables of a database as rows (temporary views excluded)."""
     return (spark.sql(f"SHOW TABLES IN `{db}`")

@@ -14,6 +14,9 @@ def test_layers_list_reset_describe(spark, tmp_path):           # C1, C2, C4, C6
     spark.range(1).createOrReplaceTempView("df")
     names = sorted(r.table_name for r in CAT.list_tables(spark, a).collect())
     assert names == ["orders", "orders2"]
+    CAT.use_layer(spark, a)
+    assert spark.catalog.currentDatabase() == a and spark.table("orders2").count() == o.count()
+    CAT.use_layer(spark, "default")
     schema = {r.col_name: r.data_type for r in CAT.describe_schema(spark, f"{a}.orders").collect()}
     assert schema["o_orderkey"] == "bigint" and "o_orderstatus" in schema
     info = {r.info_name for r in CAT.describe_database(spark, a).collect()}
