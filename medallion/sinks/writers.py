@@ -80,10 +80,13 @@ def insert_table(df: DataFrame, table: str, overwrite: bool = False,
     empties every partition on overwrite, 'dynamic' only those written.
     Returns False when the write was skipped for an empty input."""
     spark = df.sparkSession
-    if _skip(df, on_empty):
+    exists = spark.catalog.tableExists(table)
+    # An empty append to an existing table changes nothing, so only a
+    # create or an overwrite pays for the emptiness probe.
+    if (overwrite or not exists) and _skip(df, on_empty):
         return False
     parts = _cols(partition_by)
-    if not spark.catalog.tableExists(table):
+    if not exists:
         create_table(df, table, fmt, parts, location)
         return True
     target = spark.table(table).columns
