@@ -403,7 +403,7 @@ def q_table_scan(spark, sf):
 
 @query("query_source", """
 SELECT o_orderstatus, count(*) AS n_orders,
-       sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS total_cents
+       CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_cents
 FROM orders GROUP BY o_orderstatus""")
 def q_query_source(spark, sf):
     """A non-blank query wins over the table name."""
