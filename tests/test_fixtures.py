@@ -125,3 +125,30 @@ def test_parts_folder_and_api_json(spark, tmp_path):
     assert sorted(df.columns) == ["api", "cityname", "creme", "ward name"]
     assert sorted((r["ward name"], r.cityname) for r in df.collect()) == [("W1", "Pune"),
                                                                            ("W2", "Agra")]
+
+
+def test_workflow_from_landing_to_gold(spark, tmp_path):        # W6
+    from medallion.plans.reports import run_all
+    from medallion.session import unique_name
+    (tmp_path / "landing").mkdir()
+    (tmp_path / "landing" / "House_Holds_And_Slums.csv").write_text(WARDS)
+    (tmp_path / "landing" / "Electricity.csv").write_text(ELECTRICITY)
+    (tmp_path / "landing" / "Water.csv").write_text("Ward,Supply (MLD)\nW1,3\n")
+    silver, gold = unique_name("silver"), unique_name("gold")
+    cfg = {"landing": {"path": str(tmp_path / "landing"),
+                       "read_options": {"header": "true", "inferSchema": "true"}},
+           "bronze": {"path": str(tmp_path / "bronze")},
+           "silver": {"db": silver}, "gold": {"db": gold},
+           "bronze_silver_mapping": {
+               "House_Holds_And_Slums.csv": {"table_name": "house_holds_slums"},
+               "Electricity.csv": {"table_name": "electricity_consumption"}},
+           "jobs": {"slums": {"source": "house_holds_slums"},
+                    "electricity": {"source": "electricity_consumption"}}}
+    out = run_all(spark, cfg)
+    assert sorted(r.table_name for r in
+                  spark.sql(f"SHOW TABLES IN {silver}").selectExpr("tableName AS table_name")
+                  .collect()) == ["electricity_consumption", "house_holds_slums", "water"]
+    assert out["slums"].count() == 4
+    assert out["electricity"].count() == 6
+    assert {r.file_name for r in out["audit"].collect()} == {
+        "House_Holds_And_Slums.csv", "Electricity.csv", "Water.csv"}
