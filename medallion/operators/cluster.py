@@ -122,18 +122,20 @@ def kmeans_clusters(df: DataFrame, feature_cols: Sequence[str], k: int = 3, seed
     laid out (see ``stable_layout``) and the laid-out copy is kept instead."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    owned = not df.is_cached          # never release a cache the caller made
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if owned else df
     if layout_key:
         n = partitions or partitions_for_rows(src.count())
         laid = stable_layout(src, layout_key, n, feature_cols).persist(StorageLevel.MEMORY_AND_DISK)
         laid.count()
-        src.unpersist()
-        src = laid
+        if owned:
+            src.unpersist()
+        src, owned = laid, True
     km = KMeans(featuresCol=FEATURES, predictionCol=CLUSTER, k=k, seed=seed,
                 maxIter=max_iter, tol=tol)
     model = Pipeline(stages=[assembler(feature_cols), scaler(), km]).fit(src)
     out = model.transform(src).persist(StorageLevel.MEMORY_AND_DISK)
-    return ClusterResult(out, model, list(feature_cols), src)
+    return ClusterResult(out, model, list(feature_cols), src if owned else None)
 
 
 # ------------------------------------------------------------ M5, M6, M8

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cluster as C
@@ -50,6 +51,12 @@ class ClusterReport:
     scatter: DataFrame       # M8: key, x, y, Clusters
     silhouette: float | None
     result: C.ClusterResult
+    cached: tuple = ()       # further frames this report cached
+
+    def release(self) -> None:
+        self.result.unpersist()
+        for df in self.cached:
+            df.unpersist()
 
 
 def cluster_report(df: DataFrame, key: str, features: Sequence[str], measures: Sequence[str],
@@ -97,12 +104,15 @@ def slum_report(raw: DataFrame, labeling: str = "rank", k: int = K, seed: int =
                 ) -> tuple[ClusterReport, DataFrame]:
     """Silver wards -> gold city clusters; also returns the top-10
     cities by slum population (T1, the data behind the bar chart)."""
-    cities = slum_entities(raw)
+    # one row per city: cached so the top-10 list and the clustering do not
+    # each re-read the ward rows
+    cities = slum_entities(raw).persist(StorageLevel.MEMORY_AND_DISK)
     top = top_k(cities, "SlumPopulationTotal", 10, tie_break=[SLUM_KEY],
                 cols=[SLUM_KEY, "SlumPopulationMale", "SlumPopulationFemale"])
     rep = cluster_report(cities, SLUM_KEY, SLUM_FEATURES,
                          ["SlumPopulationMale", "SlumPopulationFemale"], SLUM_LABEL,
                          SLUM_MEASURE, labeling, k, seed)
+    rep.cached = (cities,)
     return rep, top
 
 
@@ -122,7 +132,7 @@ def publish(report: ClusterReport, table: str) -> DataFrame:
     """K4 into gold, then read back (the job's last step)."""
     spark = report.report.sparkSession
     write_sink(report.report, table=table, mode="overwrite")
-    report.result.unpersist()
+    report.release()
     return spark.table(table)
 
 

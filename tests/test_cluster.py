@@ -122,3 +122,15 @@ def test_layout_spreads_a_hot_key(spark):
     assert C.partitions_for_rows(2_500_000) == 3 and C.partitions_for_rows(0) == 1
     sizes = [r["count"] for r in laid.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == 3000 and max(sizes) < 0.25 * 3000
+
+
+def test_callers_cache_is_left_alone(spark):
+    df = blobs(spark).persist()
+    df.count()
+    res = C.kmeans_clusters(df, ["x", "y"], k=3, seed=1)
+    res.unpersist()
+    assert df.is_cached
+    res2 = C.kmeans_clusters(df, ["x", "y"], k=3, seed=1, layout_key="id")
+    res2.unpersist()
+    assert df.is_cached
+    df.unpersist()
