@@ -66,8 +66,9 @@ def _order_for_insert(df: DataFrame, target_cols: list[str], parts: list[str],
             return df.select(*[c for c in df.columns if c not in parts], *parts)
         return df
     missing = [c for c in target_cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"input lacks target columns {missing}")
+    extra = [c for c in df.columns if c not in target_cols]
+    if missing or extra:
+        raise ValueError(f"input does not match the target: missing {missing}, extra {extra}")
     return df.select(*[f"`{c}`" for c in target_cols])
 
 

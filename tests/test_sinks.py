@@ -77,3 +77,14 @@ def test_table_exists_ignores_temp_views(spark, db):            # C3, D20
     spark.range(1).write.saveAsTable(f"{db}.Mixed")
     assert W.table_exists(spark, "MIXED", db)
     spark.catalog.dropTempView("df")
+
+
+def test_insert_by_name_rejects_mismatched_columns(spark, db):
+    o = orders(spark)
+    t = f"{db}.o"
+    W.insert_table(o, t)
+    with pytest.raises(ValueError, match="extra"):
+        W.insert_table(o.withColumn("x", F.lit(1)), t)
+    with pytest.raises(ValueError, match="missing"):
+        W.insert_table(o.drop("o_custkey"), t, overwrite=True)
+    assert spark.table(t).count() == o.count()
