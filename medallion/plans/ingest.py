@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import clean_silver_names
 from ..sinks.writers import write_sink
-from ..sources.readers import list_files, read_source, refresh_bronze
+from ..sources.readers import list_files, read_format, refresh_bronze
 
 # Built-in defaults, weakest in the precedence chain.
 DEFAULT_SOURCE_FORMAT = "csv"
@@ -127,7 +127,9 @@ def ingest_file(spark: SparkSession, cfg: Mapping, path: str, file_name: str,
     s = resolve_settings(cfg, file_name)
     db = cfg.get("silver", {}).get("db", "silver")
     start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    df = read_source(spark, s.source_format, path=path, options=s.read_options)
+    # the configured format and options exactly as given (no CSV defaults
+    # slipped in when the config names no options)
+    df = read_format(spark, s.source_format, path, s.read_options)
     df = clean_silver_names(df)
     mode = _mode(s.write_command)
     if mode == "merge" and not s.merge_cols:
