@@ -74,8 +74,12 @@ def touched_rows(target: DataFrame, updates: DataFrame, parts: list[str]) -> Dat
 def merge_frames(target: DataFrame, updates: DataFrame, keys: str | Sequence[str],
                  partition_by: str | Sequence[str] | None = None,
                  check: bool = True) -> DataFrame:
-    """The rows of the touched part of the target after the MERGE (for an
-    unpartitioned target: the whole target)."""
+    """The rows of every partition the batch writes, after the MERGE (for an
+    unpartitioned target: the whole target).
+
+    With one partition column, a batch row whose partition value is NULL
+    matches nothing (D18) but is still written to the NULL partition, so
+    the existing rows of that partition are carried over unchanged."""
     keys = _cols(keys)
     parts = _cols(partition_by)
     if not keys:
@@ -84,6 +88,8 @@ def merge_frames(target: DataFrame, updates: DataFrame, keys: str | Sequence[str
     if check:
         check_single_match(touched, updates, keys)
     kept = touched.join(updates.select(*keys), keys, "left_anti")
+    if len(parts) == 1 and not updates.where(F.col(parts[0]).isNull()).isEmpty():
+        kept = kept.unionByName(target.where(F.col(parts[0]).isNull()))
     return kept.unionByName(updates.select(*target.columns))
 
 

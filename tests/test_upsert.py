@@ -100,3 +100,15 @@ def test_null_partition_value_matches_nothing(spark, db):       # D18
     U.upsert(upd, "k", table=t, partition_by="p")
     got = {(r.k, r.p, r.v) for r in spark.table(t).where("k = 1").collect()}
     assert got == {(1, "a", 10.0), (1, None, 99.0)}
+
+
+def test_null_partition_rows_survive_a_null_partition_batch(spark, db):   # D18
+    t = f"{db}.np2"
+    base = BASE + [(8, None, 80.0), (9, None, 90.0)]
+    W.insert_table(spark.createDataFrame(base, SCHEMA), t, partition_by="p")
+    upd = spark.createDataFrame([(8, None, 88.0), (2, "a", 22.0)], SCHEMA)
+    U.upsert(upd, "k", table=t, partition_by="p")
+    got = {(r.k, r.p, r.v) for r in spark.table(t).collect()}
+    # NULL partitions never match: key 8 is inserted again, 9 stays
+    assert {(8, None, 80.0), (9, None, 90.0), (8, None, 88.0), (2, "a", 22.0)} <= got
+    assert (2, "a", 20.0) not in got and len(got) == len(base) + 1
