@@ -153,13 +153,16 @@ def ingest(spark: SparkSession, cfg: Mapping, refresh: bool = True) -> DataFrame
         names = [n for n, _ in landed_files(spark, landing)]
         refresh_bronze(spark, landing, bronze, names,
                        cfg.get("bronze", {}).get("copy_options"))
+    entries = landed_files(spark, bronze)
+    if refresh and cfg.get("landing", {}).get("path"):
         # bronze holds exactly the landing files: drop entries gone from landing
-        for stale in {n for n, _ in landed_files(spark, bronze)} - set(names):
+        for stale in {n for n, _ in entries} - set(names):
             delete_path(spark, f"{bronze.rstrip('/')}/{stale}")
+        entries = [(n, kb) for n, kb in entries if n in set(names)]
     db = cfg.get("silver", {}).get("db", "silver")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
     records = [ingest_file(spark, cfg, f"{bronze.rstrip('/')}/{name}", name, size)
-               for name, size in landed_files(spark, bronze)]
+               for name, size in entries]
     audit = spark.createDataFrame(records, AUDIT_SCHEMA).withColumn(
         "seconds", F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time")))   # X8
     audit_cfg = cfg.get("audit")
