@@ -11,7 +11,6 @@ whole numbers (or integer cents) so the order of addition cannot show.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,7 @@ from .operators import rollup as R
 from .plans import catalog as CAT
 from .plans import reports as REP
 from .plans.ingest import ingest
-from .session import checkpoint_root, scratch_path, unique_name
+from .session import scratch_path, unique_name
 from .sinks import upsert as U
 from .sinks import writers as Wr
 from .sources import json_docs as J
@@ -990,10 +989,3 @@ def q_table_detail(spark, sf):
     Wr.insert_table(T(spark, sf, "lineitem"), f"{db}.lineitem", partition_by="l_returnflag")
     return CAT.table_detail(spark, f"{db}.lineitem").select("name", "format", "num_files",
                                                             "size_in_bytes")
-
-
-def describe() -> str:
-    return json.dumps({k: (k in ORACLE) for k in QUERIES}, indent=1)
-
-
-__all__ = ["QUERIES", "ORACLE", "checkpoint_root"]
