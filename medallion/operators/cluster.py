@@ -64,6 +64,7 @@ class ClusterResult:
     model: PipelineModel
     feature_cols: list[str]
     source: DataFrame | None = None   # the persisted input
+    input_rows: int | None = None     # rows offered to the assembler, when counted
 
     @property
     def cluster_sizes(self) -> list[int]:
@@ -73,6 +74,11 @@ class ClusterResult:
     def trained_rows(self) -> int:
         return int(sum(self.cluster_sizes))
 
+    @property
+    def skipped_rows(self) -> int | None:
+        """M1: rows the assembler skipped for a NULL or NaN feature."""
+        return None if self.input_rows is None else self.input_rows - self.trained_rows
+
     @property
     def centers(self) -> list[list[float]]:
         return [list(map(float, c)) for c in self.model.stages[-1].clusterCenters()]
@@ -124,8 +130,10 @@ def kmeans_clusters(df: DataFrame, feature_cols: Sequence[str], k: int = 3, seed
         raise ValueError("k must be at least 2")
     owned = not df.is_cached          # never release a cache the caller made
     src = df.persist(StorageLevel.MEMORY_AND_DISK) if owned else df
+    rows = None
     if layout_key:
-        n = partitions or partitions_for_rows(src.count())
+        rows = src.count()
+        n = partitions or partitions_for_rows(rows)
         laid = stable_layout(src, layout_key, n, feature_cols).persist(StorageLevel.MEMORY_AND_DISK)
         laid.count()
         if owned:
@@ -135,7 +143,7 @@ def kmeans_clusters(df: DataFrame, feature_cols: Sequence[str], k: int = 3, seed
                 maxIter=max_iter, tol=tol)
     model = Pipeline(stages=[assembler(feature_cols), scaler(), km]).fit(src)
     out = model.transform(src).persist(StorageLevel.MEMORY_AND_DISK)
-    return ClusterResult(out, model, list(feature_cols), src if owned else None)
+    return ClusterResult(out, model, list(feature_cols), src if owned else None, rows)
 
 
 # ------------------------------------------------------------ M5, M6, M8

@@ -41,7 +41,7 @@ def test_kmeans_recovers_blobs_up_to_relabel(spark):            # M3, M4
         mapping.setdefault(r.g, set()).add(r.Clusters)
     assert all(len(v) == 1 for v in mapping.values())
     assert len({next(iter(v)) for v in mapping.values()}) == 3
-    assert res.trained_rows == 90
+    assert res.trained_rows == 90 and res.skipped_rows == 1
     res.unpersist()
 
 
