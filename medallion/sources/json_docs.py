@@ -3,8 +3,8 @@
 Each document may hold its records under a key (``{"count": n, "entries":
 [...]}``).  Documents are read by Spark (JSON Lines by default, so large
 folders split; ``multi_line=True`` for one pretty-printed document per
-file), the record list is exploded, nested objects are flattened to dotted
-names, headers are normalised and only the allowed fields are kept.
+file), the record list is exploded, nested objects are flattened (``a_b``,
+or dotted on request), headers are normalised and only the allowed fields are kept.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from ..functions.names import normalize_field
 DEFAULT_FIELDS = ("ward name", "city", "api")
 
 
-def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
+def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
     """P5: nested structs become top-level columns named ``a<sep>b``; arrays
-    stay arrays."""
+    stay arrays.  ``_`` by default, so no name needs backticks later; ``.``
+    gives the dotted names of a JSON normaliser (the normalised headers are
+    the same either way, since P3 drops both characters)."""
     cols: list[Column] = []
 
     def walk(dtype: T.StructType, path: list[str]):
@@ -56,7 +58,7 @@ def select_fields(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
 
 def read_json_records(spark: SparkSession, path: str, key: str | None = None,
                       fields: Sequence[str] | None = DEFAULT_FIELDS,
-                      multi_line: bool = False, sep: str = ".") -> DataFrame:
+                      multi_line: bool = False, sep: str = "_") -> DataFrame:
     """Documents -> records -> flat, normalised, filtered table."""
     docs = spark.read.option("multiLine", str(multi_line).lower()).json(path)
     if key:

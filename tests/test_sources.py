@@ -78,3 +78,13 @@ def test_list_files_and_bronze_refresh(spark, tmp_path):        # S9, S10
     assert sorted((r.name, r.note) for r in back.collect()) == [("a", 'say "hi"'), ("b", None)]
     files = Rd.list_files(spark, str(landing)).collect()
     assert [f.name for f in files] == ["w.csv"] and files[0].size_bytes > 0
+
+
+def test_flatten_keeps_arrays_and_separator(spark):
+    df = spark.createDataFrame(
+        [((1, (2, "x")), [1, 2])],
+        "a struct<b:int, c:struct<d:int, e:string>>, tags array<int>")
+    flat = J.flatten(df)
+    assert flat.columns == ["a_b", "a_c_d", "a_c_e", "tags"]
+    assert dict(flat.dtypes)["tags"] == "array<int>"
+    assert J.flatten(df, ".").columns == ["a.b", "a.c.d", "a.c.e", "tags"]
