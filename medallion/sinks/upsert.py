@@ -6,14 +6,16 @@ target's partition value is among the update's partition values (K8).
 Matched rows take every column of the update; unmatched updates are
 inserted; a target row matched by two update rows is an error.
 
-Plan: ``touched`` target rows (filtered with a typed IN list of the
-batch's distinct partition values, so the scan is pruned at planning time)
-are anti-joined with the update keys and unioned with the updates.  That result is written to a staging folder under the shared
-checkpoint folder (a table cannot be overwritten while it is read, and the
-write cuts the lineage), then swapped in with a dynamic partition overwrite
-so untouched partitions are never read or rewritten.  The anti join
-shuffles on the keys; a hot key meets at most one update row, and AQE's
-skew handling splits the large side.
+Plan: the batch is staged once; ``touched`` target rows (filtered with a
+typed IN list of the batch's distinct partition values, so the scan is
+pruned at planning time) are anti-joined with the update keys and unioned
+with the updates.  That result is written to a staging folder under the
+shared checkpoint folder (a table cannot be overwritten while it is read,
+and the write cuts the lineage), then swapped in with a dynamic partition
+overwrite, so untouched partitions are never read or rewritten.  The anti
+join shuffles on the keys (or broadcasts them when AQE measures them
+small); a hot key meets at most one update row, and AQE's skew handling
+splits the large side.  The swap is not atomic as a Delta commit is.
 """
 
 from __future__ import annotations
