@@ -26,7 +26,11 @@ def _cols(part_cols: str | Sequence[str] | None) -> list[str]:
 
 @contextmanager
 def partition_overwrite_mode(spark: SparkSession, mode: str):
-    """Set ``spark.sql.sources.partitionOverwriteMode`` for one write."""
+    """Set ``spark.sql.sources.partitionOverwriteMode`` for one write.
+
+    ``insertInto`` ignores the write option of that name, so the session
+    setting is switched around the call; threads sharing a session should
+    not run overwrites of different modes at the same moment."""
     key = "spark.sql.sources.partitionOverwriteMode"
     old = spark.conf.get(key)
     spark.conf.set(key, mode.upper())

@@ -72,3 +72,17 @@ def test_merge_with_keys_upserts(spark, tmp_path):
     ingest(spark, cfg)
     assert sorted(tuple(r) for r in spark.table(f"{silver}.x").collect()) == \
         [(1, 2), (2, 30), (3, 4)]
+
+
+def test_command_line_entry(spark, tmp_path, capsys):
+    import json as js
+
+    from medallion.__main__ import main
+    (tmp_path / "landing").mkdir()
+    (tmp_path / "landing" / "w.csv").write_text("a b,c\n1,2\n3,4\n")
+    cfg = _cfg(str(tmp_path), unique_name("silver"))
+    p = tmp_path / "cfg.json"
+    p.write_text(js.dumps(cfg))
+    assert main([str(p)], spark=spark) == 0
+    rows = [js.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert [r["file_name"] for r in rows] == ["w.csv"] and rows[0]["table_rows"] == 2
