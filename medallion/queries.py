@@ -713,8 +713,11 @@ def part_features(spark, sf):
 
 
 @query("minmax_scale", """
-WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part
-           WHERE p_partkey % 13 <> 0)
+WITH src AS (SELECT p_partkey,
+                    CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END
+                      AS p_size, p_retailprice FROM part),
+     -- the assembler skips rows with a NULL feature
+     p AS (SELECT * FROM src WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL)
 SELECT p_partkey,
        (p_size - min(p_size) OVER ()) * (1.0 / (max(p_size) OVER () - min(p_size) OVER ()))
          + 0.0 AS f0,
