@@ -112,3 +112,17 @@ def test_null_partition_rows_survive_a_null_partition_batch(spark, db):   # D18
     # NULL partitions never match: key 8 is inserted again, 9 stays
     assert {(8, None, 80.0), (9, None, 90.0), (8, None, 88.0), (2, "a", 22.0)} <= got
     assert (2, "a", 20.0) not in got and len(got) == len(base) + 1
+
+
+def test_delta_branch_needs_delta(spark, db):
+    try:
+        import delta  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError, match="delta-spark"):
+            U.upsert(spark.createDataFrame(BASE, SCHEMA), "k", table=f"{db}.d", fmt="delta")
+        pytest.skip("delta-spark is not installed; the native MERGE branch is not exercised")
+    t = f"{db}.d"
+    U.upsert(spark.createDataFrame(BASE, SCHEMA), "k", table=t, fmt="delta", partition_by="p")
+    U.upsert(spark.createDataFrame([(2, "a", 21.0)], SCHEMA), "k", table=t, fmt="delta",
+             partition_by="p")
+    assert spark.table(t).where("k = 2").collect()[0].v == 21.0
