@@ -1,7 +1,7 @@
 """Cleaning operators: sentinel handling, profiling, sparse-column drop,
 type coercion, zero fill, and the whole preprocessing pipeline (P15).
 
-The reference profiles a frame with 2 + N jobs (a count, a null-fraction
+The original notebooks profile a frame with 2 + N jobs (a count, a null-fraction
 collect, and one distinct-collect per column).  Here one aggregate job
 computes, for every column at once, the null fraction and how many
 non-null values look numeric; only that single row reaches the driver.

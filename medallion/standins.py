@@ -1,4 +1,4 @@
-"""Raw stand-ins for the reference's city tables, derived by Spark from the
+"""Raw stand-ins for the original city tables, derived by Spark from the
 driver's tables so that they grow with them.
 
 * wards (one row per customer): City = nation name, counts from the
