@@ -117,3 +117,10 @@ def test_split_imputation_each_part_on_its_own(spark):          # P13, D19
     got = {r.City: (r.SlumPopulationMale, r.SlumPopulationFemale)
            for r in impute_population(df).collect()}
     assert got == {"x": (52.0, 48.0), "y": (60.0, 48.0), "z": (0.0, 0.0)}
+
+
+def test_float32_parity_on_request(spark):                      # float numerics
+    raw = spark.createDataFrame([("a", "1.5"), ("b", "NA")], ["k", "v"])
+    pre = K.preprocess(raw, 0.9, numeric_type="float")
+    assert dict(pre.frame.dtypes)["V"] == "float"
+    assert sorted(r.V for r in pre.frame.collect()) == [0.0, 1.5]
