@@ -11,6 +11,10 @@ built-in literals, weakest first:
 * write command: ``insert overwrite`` < bronze.write_command < file.write_command
 * table name:    file stem < file.table_name
 
+A file's entry may also give ``schema`` (a DDL string such as
+``"id INT, name STRING"``) to skip type inference, which on a large CSV is
+a full extra pass; ``read_options`` may instead carry ``samplingRatio``.
+
 Unmapped files use the defaults (D8).  A ``merge`` command needs
 ``merge_cols`` in the file's entry (D7).
 """
@@ -55,6 +59,7 @@ class FileSettings:
     table_name: str
     merge_cols: list[str] = field(default_factory=list)
     part_cols: list[str] = field(default_factory=list)
+    schema: str | None = None
 
 
 def _pick(*values, default):
@@ -85,6 +90,7 @@ def resolve_settings(cfg: Mapping, file_name: str) -> FileSettings:
         table_name=_pick(per_file.get("table_name"), default=stem),
         merge_cols=list(per_file.get("merge_cols", [])),
         part_cols=list(per_file.get("part_cols", [])),
+        schema=per_file.get("schema"),
     )
 
 
@@ -129,7 +135,7 @@ def ingest_file(spark: SparkSession, cfg: Mapping, path: str, file_name: str,
     start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     # the configured format and options exactly as given (no CSV defaults
     # slipped in when the config names no options)
-    df = read_format(spark, s.source_format, path, s.read_options)
+    df = read_format(spark, s.source_format, path, s.read_options, s.schema)
     df = clean_silver_names(df)
     mode = _mode(s.write_command)
     if mode == "merge" and not s.merge_cols:

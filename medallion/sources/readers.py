@@ -32,9 +32,13 @@ def read_csv(spark: SparkSession, path: str, options: Mapping | None = None) ->
 
 
 def read_format(spark: SparkSession, fmt: str, path: str,
-                options: Mapping | None = None) -> DataFrame:
-    """Any format by path."""
-    return spark.read.format(fmt).options(**_opts(options)).load(path)
+                options: Mapping | None = None, schema: str | None = None) -> DataFrame:
+    """Any format by path; a DDL ``schema`` skips inference (on a large
+    CSV, inference is a full extra pass)."""
+    reader = spark.read.format(fmt).options(**_opts(options))
+    if schema:
+        reader = reader.schema(schema)
+    return reader.load(path)
 
 
 def read_table(spark: SparkSession, table: str, schema: str | None = None) -> DataFrame:

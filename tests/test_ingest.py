@@ -86,3 +86,12 @@ def test_command_line_entry(spark, tmp_path, capsys):
     assert main([str(p)], spark=spark) == 0
     rows = [js.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
     assert [r["file_name"] for r in rows] == ["w.csv"] and rows[0]["table_rows"] == 2
+
+
+def test_declared_schema_skips_inference(spark, tmp_path):
+    (tmp_path / "landing").mkdir()
+    (tmp_path / "landing" / "x.csv").write_text("k,v\n1,2.5\n")
+    silver = unique_name("silver")
+    cfg = _cfg(str(tmp_path), silver, **{"x.csv": {"schema": "k STRING, v DOUBLE"}})
+    ingest(spark, cfg)
+    assert spark.table(f"{silver}.x").dtypes == [("k", "string"), ("v", "double")]
