@@ -37,10 +37,15 @@ def list_tables(spark: SparkSession, db: str) -> DataFrame:
 
 
 def reset_layer(spark: SparkSession, db: str) -> list[str]:
-    """Drop every table of a layer through the catalog; returns the names."""
-    names = [r.table_name for r in list_tables(spark, db).collect()]
-    for t in names:
-        spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{t}`")
+    """Drop every table (and permanent view) of a layer through the
+    catalog; returns the names.  Folders are never deleted by path (D23)."""
+    names = []
+    for t in spark.catalog.listTables(db):
+        if t.isTemporary:
+            continue
+        kind = "VIEW" if (t.tableType or "").upper() == "VIEW" else "TABLE"
+        spark.sql(f"DROP {kind} IF EXISTS `{db}`.`{t.name}`")
+        names.append(t.name)
     return names
 
 

@@ -26,7 +26,8 @@ def test_layers_list_reset_describe(spark, tmp_path):           # C1, C2, C4, C6
     counts = {r.table_name: r.row_count for r in
               CAT.reconcile(spark, [f"{a}.orders", f"{a}.orders2"]).collect()}
     assert counts == {f"{a}.orders": o.count(), f"{a}.orders2": o.count()}   # W7, D11
+    spark.sql(f"CREATE VIEW {a}.v AS SELECT * FROM {a}.orders2")
     dropped = CAT.reset_layer(spark, a)
-    assert sorted(dropped) == ["orders", "orders2"]
+    assert sorted(dropped) == ["orders", "orders2", "v"]
     assert CAT.list_tables(spark, a).count() == 0
     spark.catalog.dropTempView("df")
