@@ -158,7 +158,8 @@ def ingest(spark: SparkSession, cfg: Mapping, refresh: bool = True) -> DataFrame
         landing = cfg["landing"]["path"]
         names = [n for n, _ in landed_files(spark, landing)]
         refresh_bronze(spark, landing, bronze, names,
-                       cfg.get("bronze", {}).get("copy_options"))
+                       cfg.get("bronze", {}).get("copy_options"),
+                       {n: resolve_settings(cfg, n).source_format for n in names})
     entries = landed_files(spark, bronze)
     if refresh and cfg.get("landing", {}).get("path"):
         # bronze holds exactly the landing files: drop entries gone from landing

@@ -106,18 +106,35 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
         F.col("modificationTime").alias("modified"))
 
 
+def copy_to_bronze(spark: SparkSession, src: str, dst: str, fmt: str = "csv",
+                   options: Mapping | None = None) -> None:
+    """Copy one landing file (or folder) to bronze, distributed and
+    splittable: CSV is re-written with its header in every part file (a
+    plain line copy would leave later parts without one), every cell kept
+    as text; line formats without a header (JSON Lines, text) are copied
+    line by line, unparsed; other formats are re-written in their own
+    format."""
+    fmt = (fmt or "csv").lower()
+    if fmt == "csv":
+        opts = _opts(options or BRONZE_OPTIONS)
+        spark.read.options(**opts).csv(src).write.mode("overwrite").options(**opts).csv(dst)
+    elif fmt in ("json", "text", "txt", "jsonl"):
+        spark.read.text(src).write.mode("overwrite").text(dst)
+    else:
+        spark.read.format(fmt).load(src).write.mode("overwrite").format(fmt).save(dst)
+
+
 def refresh_bronze(spark: SparkSession, landing: str, bronze: str,
-                   files: list[str], options: Mapping | None = None) -> dict[str, str]:
-    """Full refresh of bronze from landing.  Every landing file is read
-    as text columns and written unparsed to ``bronze/<file>`` with
-    overwrite, so bronze ends up holding exactly the landing files.
-    Returns file name -> bronze path."""
-    opts = _opts(options or BRONZE_OPTIONS)
+                   files: list[str], options: Mapping | None = None,
+                   formats: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Full refresh of bronze from landing.  Every landing file is
+    copied to ``bronze/<file>`` with overwrite (format per file from
+    ``formats``, CSV by default), so bronze ends up holding exactly the
+    landing files.  Returns file name -> bronze path."""
     out = {}
     for name in files:
         src = f"{landing.rstrip('/')}/{name}"
         dst = f"{bronze.rstrip('/')}/{name}"
-        (spark.read.options(**opts).csv(src)
-         .write.mode("overwrite").options(**opts).csv(dst))
+        copy_to_bronze(spark, src, dst, (formats or {}).get(name, "csv"), options)
         out[name] = dst
     return out

@@ -95,3 +95,15 @@ def test_declared_schema_skips_inference(spark, tmp_path):
     cfg = _cfg(str(tmp_path), silver, **{"x.csv": {"schema": "k STRING, v DOUBLE"}})
     ingest(spark, cfg)
     assert spark.table(f"{silver}.x").dtypes == [("k", "string"), ("v", "double")]
+
+
+def test_json_and_csv_landing_files(spark, tmp_path):             # S10 per format
+    (tmp_path / "landing").mkdir()
+    (tmp_path / "landing" / "a.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "landing" / "b.json").write_text('{"k": 1, "Nested Obj": {"x": 2}}\n{"k": 3}\n')
+    silver = unique_name("silver")
+    cfg = _cfg(str(tmp_path), silver, **{"b.json": {"file_format": "json", "read_options": {}}})
+    ingest(spark, cfg)
+    b = spark.table(f"{silver}.b")
+    assert b.columns == ["NestedObj", "k"] and b.count() == 2
+    assert spark.table(f"{silver}.a").count() == 1
