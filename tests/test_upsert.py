@@ -126,3 +126,46 @@ def test_delta_branch_needs_delta(spark, db):
     U.upsert(spark.createDataFrame([(2, "a", 21.0)], SCHEMA), "k", table=t, fmt="delta",
              partition_by="p")
     assert spark.table(t).where("k = 2").collect()[0].v == 21.0
+
+
+def _model_merge(base, upd, partitioned):
+    """MERGE by the rule: key equal (NULL never matches) and, when
+    partitioned, the target's partition among the batch's non-NULL values;
+    matched rows take the update, unmatched updates are inserted."""
+    vals = {p for _, p, _ in upd if p is not None}
+    upd_keys = {k for k, _, _ in upd if k is not None}
+    out = []
+    for k, p, v in base:
+        matched = k is not None and k in upd_keys and (not partitioned or p in vals)
+        if not matched:
+            out.append((k, p, v))
+    return sorted(out + list(upd), key=repr)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_rows = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)),
+                           st.one_of(st.none(), st.sampled_from(["a", "b", "c"])),
+                           st.integers(0, 99).map(float)), max_size=8)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(base=_rows, upd=_rows, partitioned=st.booleans())
+def test_upsert_matches_model(spark, base, upd, partitioned):
+    from medallion.session import unique_name
+    seen, uniq = set(), []
+    for r in upd:                       # one update row per non-NULL key
+        if r[0] is None or r[0] not in seen:
+            uniq.append(r)
+            seen.add(r[0])
+    db = unique_name("h")
+    spark.sql(f"CREATE DATABASE {db}")
+    t = f"{db}.t"
+    parts = "p" if partitioned else None
+    W.insert_table(spark.createDataFrame(base, SCHEMA), t, partition_by=parts, on_empty="write")
+    U.upsert(spark.createDataFrame(uniq, SCHEMA), "k", table=t, partition_by=parts)
+    got = sorted((tuple(r) for r in spark.table(t).select("k", "p", "v").collect()), key=repr)
+    want = _model_merge(base, uniq, partitioned) if uniq else sorted(base, key=repr)
+    spark.sql(f"DROP DATABASE {db} CASCADE")
+    assert got == want
