@@ -58,3 +58,41 @@ def test_minmax_in_unit_interval(spark):
     arr = vector_to_array("features")
     bad = out.where((F.array_min(arr) < 0) | (F.array_max(arr) > 1)).count()
     assert bad == 0
+
+
+def _model_preprocess(cols, rows, threshold):
+    import re
+    num = re.compile(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$")
+    data = [[None if v == "NA" else v for v in r] for r in rows]
+    keep, numeric = [], []
+    for j, c in enumerate(cols):
+        vals = [r[j] for r in data]
+        frac = (sum(v is None for v in vals) / len(vals)) if vals else None
+        if frac is not None and frac > threshold:
+            continue
+        keep.append(j)
+        nn = [v for v in vals if v is not None]
+        if nn and all(num.match(v) for v in nn):
+            numeric.append(j)
+    out = []
+    for r in data:
+        out.append(tuple((float(r[j]) if r[j] is not None else 0.0) if j in numeric else r[j]
+                         for j in keep))
+    return [cols[j] for j in keep], sorted(out, key=repr)
+
+
+_cell = st.sampled_from(["1", "2.5", "NA", "x", None, " 3 ", "1e2", "-4", ".5"])
+
+
+@settings(max_examples=10, deadline=None,
+          suppress_health_check=[__import__("hypothesis").HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(_cell, _cell, _cell), min_size=1, max_size=6),
+       threshold=st.sampled_from([0.3, 0.5]))
+def test_preprocess_matches_model(spark, rows, threshold):
+    cols = ["Aa", "Bb", "Cc"]
+    df = spark.createDataFrame(rows, "Aa string, Bb string, Cc string")
+    pre = K.preprocess(df, threshold)
+    got = sorted((tuple(r) for r in pre.frame.collect()), key=repr)
+    want_cols, want = _model_preprocess(cols, rows, threshold)
+    assert pre.frame.columns == want_cols
+    assert got == want
