@@ -134,3 +134,14 @@ def test_callers_cache_is_left_alone(spark):
     res2.unpersist()
     assert df.is_cached
     df.unpersist()
+
+
+def test_more_clusters_than_rows(spark):
+    """k above the row count leaves clusters empty instead of failing."""
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0)], "id long, x double, y double")
+    res = C.kmeans_clusters(df, ["x", "y"], k=3, seed=1, layout_key="id")
+    assert sorted(res.cluster_sizes) == [0, 1, 1]
+    assert C.silhouette(res) == 0.0
+    labels = {r.Clusters: r.L for r in C.rank_labels(res.frame, "x", "L").collect()}
+    assert sorted(labels.values()) == ["Medium", "Small"]
+    res.unpersist()
