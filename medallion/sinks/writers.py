@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_FORMAT = "parquet"
@@ -97,7 +98,17 @@ def insert_table(df: DataFrame, table: str, overwrite: bool = False,
     target = spark.table(table).columns
     ordered = _order_for_insert(df, target, parts, by_position)
     with partition_overwrite_mode(spark, partition_mode):
-        ordered.write.insertInto(table, overwrite=overwrite)
+        try:
+            ordered.write.insertInto(table, overwrite=overwrite)
+        except AnalysisException as exc:
+            if not overwrite or "UNSUPPORTED_OVERWRITE" not in (exc.getCondition() or ""):
+                raise
+            # the frame reads the table it overwrites: write it to the shared
+            # folder first (this also cuts its lineage), then swap it in
+            from ..session import scratch_path
+            path = scratch_path(spark, "overwrite-stage")
+            ordered.write.parquet(path)
+            spark.read.parquet(path).write.insertInto(table, overwrite=True)
     return True
 
 

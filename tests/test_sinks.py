@@ -88,3 +88,12 @@ def test_insert_by_name_rejects_mismatched_columns(spark, db):
     with pytest.raises(ValueError, match="missing"):
         W.insert_table(o.drop("o_custkey"), t, overwrite=True)
     assert spark.table(t).count() == o.count()
+
+
+def test_overwrite_from_the_same_table(spark, db):               # staged swap
+    o = orders(spark)
+    t = f"{db}.o"
+    W.insert_table(o, t, partition_by="o_orderstatus")
+    W.insert_table(spark.table(t).where("o_totalprice > 100000"), t, overwrite=True,
+                   partition_by="o_orderstatus")
+    assert spark.table(t).count() == o.where("o_totalprice > 100000").count()
