@@ -8,8 +8,10 @@ checked with ``isEmpty`` (a one-row probe, not a count).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from contextlib import contextmanager
+from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -122,14 +124,43 @@ def write_path(df: DataFrame, path: str, mode: str = "append", fmt: str = DEFAUL
         raise ValueError(f"unknown save mode {mode!r}")
     if _skip(df, on_empty):
         return False
-    w = df.write.mode(mode).format(fmt).option("partitionOverwriteMode", partition_mode)
-    parts = _cols(partition_by)
-    if parts:
-        w = w.partitionBy(*parts)
-    w.options(**(options or {})).save(path)
+    def save(frame: DataFrame) -> None:
+        w = frame.write.mode(mode).format(fmt).option("partitionOverwriteMode", partition_mode)
+        parts = _cols(partition_by)
+        if parts:
+            w = w.partitionBy(*parts)
+        w.options(**(options or {})).save(path)
+
+    if mode == "overwrite" and reads_from(df, path):
+        # Spark would empty the folder before reading it: stage the frame in
+        # the shared folder first (this also cuts its lineage)
+        from ..session import scratch_path
+        stage = scratch_path(df.sparkSession, "overwrite-stage")
+        df.write.parquet(stage)
+        df = df.sparkSession.read.parquet(stage)
+    save(df)
     return True
 
 
+def _location(uri: str) -> tuple[str, str, str]:
+    if "://" not in uri and not uri.startswith(("/", "file:")):
+        uri = os.path.abspath(uri)          # a relative local path
+    u = urlparse(uri)
+    scheme = u.scheme or "file"
+    return scheme, (u.netloc if scheme != "file" else ""), (u.path or "/").rstrip("/") + "/"
+
+
+def reads_from(df: DataFrame, path: str) -> bool:
+    """Whether ``df`` scans files under ``path`` (from the file index the
+    scan already built; no data is read)."""
+    target = _location(path)
+    for f in df.inputFiles():
+        src = _location(f)
+        if src[:2] == target[:2] and src[2].startswith(target[2]):
+            return True
+    return False
+
+
 def export_csv(df: DataFrame, path: str, on_empty: str = "skip") -> bool:
     """Header CSV folder, overwritten; written by the executors (the
     original collects to the driver), no index column (D22)."""

@@ -97,3 +97,11 @@ def test_overwrite_from_the_same_table(spark, db):               # staged swap
     W.insert_table(spark.table(t).where("o_totalprice > 100000"), t, overwrite=True,
                    partition_by="o_orderstatus")
     assert spark.table(t).count() == o.where("o_totalprice > 100000").count()
+
+
+def test_path_overwrite_from_the_same_path(spark, tmp_path):
+    o = orders(spark)
+    p = str(tmp_path / "o")
+    W.write_path(o, p, "overwrite")
+    W.write_path(spark.read.parquet(p).where("o_orderstatus = 'F'"), p, "overwrite")
+    assert spark.read.parquet(p).count() == o.where("o_orderstatus = 'F'").count()
