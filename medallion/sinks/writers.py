@@ -166,6 +166,11 @@ def export_csv(df: DataFrame, path: str, on_empty: str = "skip") -> bool:
     original collects to the driver), no index column (D22)."""
     if _skip(df, on_empty):
         return False
+    if reads_from(df, path):
+        from ..session import scratch_path
+        stage = scratch_path(df.sparkSession, "overwrite-stage")
+        df.write.parquet(stage)
+        df = df.sparkSession.read.parquet(stage)
     df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
     return True
 
