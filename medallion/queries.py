@@ -893,6 +893,38 @@ def q_stream_ingest(spark, sf):
     return spark.table(f"{silver}.customer")
 
 
+STREAM_BASE_SQL = CUSTOMER_TEXT_SQL
+STREAM_UPDATES_SQL = f"""
+SELECT c_custkey, c_name || '-v2' AS c_name, c_nationkey, c_acctbal, c_mktsegment
+FROM ({STREAM_BASE_SQL}) WHERE c_mktsegment = 'AUTOMOBILE'
+UNION ALL
+SELECT CAST(-CAST(c_custkey AS BIGINT) - 1 AS VARCHAR), c_name, c_nationkey, c_acctbal, c_mktsegment
+FROM ({STREAM_BASE_SQL}) WHERE c_mktsegment = 'MACHINERY'"""
+
+
+@query("stream_merge", f"""
+WITH base AS ({STREAM_BASE_SQL}), u AS ({STREAM_UPDATES_SQL})
+SELECT * FROM base WHERE c_custkey NOT IN (SELECT c_custkey FROM u)
+UNION ALL SELECT * FROM u""")
+def q_stream_merge(spark, sf):
+    """W1 merge mode as a stream: customers land, then a file of changed and
+    new customers lands; each micro-batch is upserted on the key."""
+    root = scratch_path(spark, "stream_merge")
+    landing, ck = f"{root}/landing", f"{root}/_checkpoint"
+    c = T(spark, sf, "customer")
+    c.write.option("header", "true").csv(landing)
+    silver = layer_db(spark, "silver")
+    t = f"{silver}.customer"
+    stream_ingest(spark, landing, t, ck, mode="merge", keys=["c_custkey"])
+    changed = c.where(F.col("c_mktsegment") == "AUTOMOBILE").withColumn(
+        "c_name", F.concat("c_name", F.lit("-v2")))
+    new = c.where(F.col("c_mktsegment") == "MACHINERY").withColumn(
+        "c_custkey", -F.col("c_custkey") - 1)
+    changed.unionByName(new).write.mode("append").option("header", "true").csv(landing)
+    stream_ingest(spark, landing, t, ck, mode="merge", keys=["c_custkey"])
+    return spark.table(t)
+
+
 @query("workflow")
 def q_workflow(spark, sf):
     """Ingest the raw city files, then both cluster jobs, in order."""

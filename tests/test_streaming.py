@@ -18,3 +18,17 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
     (landing / "b.csv").write_text("City Name,Total (x)\nGoa,3\n")
     stream_ingest(spark, str(landing), t, ck)
     assert sorted(r.CityName for r in spark.table(t).collect()) == ["Agra", "Goa", "Pune"]
+
+
+def test_stream_merge_upserts_each_batch(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.csv").write_text("Id,Val\n1,a\n2,b\n")
+    db = unique_name("silver")
+    spark.sql(f"CREATE DATABASE {db}")
+    t = f"{db}.m"
+    ck = str(tmp_path / "ck")
+    stream_ingest(spark, str(landing), t, ck, mode="merge", keys=["Id"])
+    (landing / "b.csv").write_text("Id,Val\n2,B\n3,c\n")
+    stream_ingest(spark, str(landing), t, ck, mode="merge", keys=["Id"])
+    assert sorted(tuple(r) for r in spark.table(t).collect()) == [("1", "a"), ("2", "B"), ("3", "c")]
