@@ -25,8 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .writers import DEFAULT_FORMAT, _cols, create_table, partition_overwrite_mode, write_path
+from .writers import (DEFAULT_FORMAT, _cols, create_table, partition_overwrite_mode, staged,
+                      write_path)
 
 
 def check_single_match(target: DataFrame, updates: DataFrame, keys: list[str]) -> None:
@@ -122,13 +122,6 @@ def merged_table(target: DataFrame, updates: DataFrame, keys: str | Sequence[str
     return untouched.unionByName(kept).unionByName(updates.select(*target.columns))
 
 
-def _stage(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def delta_upsert(updates: DataFrame, keys: list[str], parts: list[str], table: str | None,
                  path: str | None) -> bool:
     """K7-K9 with Delta's own MERGE, used when ``fmt="delta"`` and the
@@ -176,7 +169,7 @@ def upsert(updates: DataFrame, keys: str | Sequence[str] | None, *, table: str |
     # duplicate check, the union).  Staging it once in the shared folder
     # makes those reads agree even for a non-deterministic source and cuts
     # its lineage, so a lost executor re-reads files instead of recomputing.
-    updates = _stage(updates, "upsert-batch")
+    updates = staged(updates, "upsert-batch")
     if table:
         if not spark.catalog.tableExists(table):          # K9
             create_table(updates, table, fmt, parts)
@@ -192,17 +185,17 @@ def upsert(updates: DataFrame, keys: str | Sequence[str] | None, *, table: str |
         raise ValueError("upsert needs a table or a path")
 
     if len(parts) == 1:
-        staged = _stage(merge_frames(target, updates, keys, parts), "upsert")
+        result = staged(merge_frames(target, updates, keys, parts), "upsert")
         mode = "dynamic"
     else:
         # No partition column: whole rewrite.  Two or more: a partition may
         # lose all its rows, which a dynamic overwrite would not clear.
-        staged = _stage(merged_table(target, updates, keys, parts), "upsert")
+        result = staged(merged_table(target, updates, keys, parts), "upsert")
         mode = "static"
-    staged = staged.select(*target.columns)
+    result = result.select(*target.columns)
     if table:
         with partition_overwrite_mode(spark, mode):
-            staged.write.insertInto(table, overwrite=True)
+            result.write.insertInto(table, overwrite=True)
     else:
-        write_path(staged, path, "overwrite", fmt, parts, partition_mode=mode, on_empty="write")
+        write_path(result, path, "overwrite", fmt, parts, partition_mode=mode, on_empty="write")
     return True

@@ -16,6 +16,8 @@ from urllib.parse import urlparse
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
+
 DEFAULT_FORMAT = "parquet"
 
 
@@ -105,12 +107,8 @@ def insert_table(df: DataFrame, table: str, overwrite: bool = False,
         except AnalysisException as exc:
             if not overwrite or "UNSUPPORTED_OVERWRITE" not in (exc.getCondition() or ""):
                 raise
-            # the frame reads the table it overwrites: write it to the shared
-            # folder first (this also cuts its lineage), then swap it in
-            from ..session import scratch_path
-            path = scratch_path(spark, "overwrite-stage")
-            ordered.write.parquet(path)
-            spark.read.parquet(path).write.insertInto(table, overwrite=True)
+            # the frame reads the table it overwrites: stage it, then swap it in
+            staged(ordered).write.insertInto(table, overwrite=True)
     return True
 
 
@@ -124,6 +122,7 @@ def write_path(df: DataFrame, path: str, mode: str = "append", fmt: str = DEFAUL
         raise ValueError(f"unknown save mode {mode!r}")
     if _skip(df, on_empty):
         return False
+
     def save(frame: DataFrame) -> None:
         w = frame.write.mode(mode).format(fmt).option("partitionOverwriteMode", partition_mode)
         parts = _cols(partition_by)
@@ -131,17 +130,20 @@ def write_path(df: DataFrame, path: str, mode: str = "append", fmt: str = DEFAUL
             w = w.partitionBy(*parts)
         w.options(**(options or {})).save(path)
 
-    if mode == "overwrite" and reads_from(df, path):
-        # Spark would empty the folder before reading it: stage the frame in
-        # the shared folder first (this also cuts its lineage)
-        from ..session import scratch_path
-        stage = scratch_path(df.sparkSession, "overwrite-stage")
-        df.write.parquet(stage)
-        df = df.sparkSession.read.parquet(stage)
-    save(df)
+    # Spark would empty the folder before reading it: stage such a frame
+    save(staged(df) if mode == "overwrite" and reads_from(df, path) else df)
     return True
 
 
+def staged(df: DataFrame, name: str = "overwrite-stage") -> DataFrame:
+    """Write ``df`` to a fresh folder under the shared checkpoint folder and
+    read it back: a frame that no longer depends on its sources (lineage
+    cut; safe to overwrite what it was read from)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _location(uri: str) -> tuple[str, str, str]:
     if "://" not in uri and not uri.startswith(("/", "file:")):
         uri = os.path.abspath(uri)          # a relative local path
@@ -167,10 +169,7 @@ def export_csv(df: DataFrame, path: str, on_empty: str = "skip") -> bool:
     if _skip(df, on_empty):
         return False
     if reads_from(df, path):
-        from ..session import scratch_path
-        stage = scratch_path(df.sparkSession, "overwrite-stage")
-        df.write.parquet(stage)
-        df = df.sparkSession.read.parquet(stage)
+        df = staged(df)
     df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
     return True
 

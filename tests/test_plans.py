@@ -67,7 +67,7 @@ def test_upsert_reads_only_named_partitions(spark, db):
     o = Q.T(spark, SF, "orders")
     t = f"{db}.op"
     W.insert_table(o, t, partition_by="o_orderstatus")
-    batch = U._stage(Q.moved_batch(o).where("o_orderstatus = 'F'"), "plan-test")
+    batch = U.staged(Q.moved_batch(o).where("o_orderstatus = 'F'"), "plan-test")
     merged = U.merge_frames(spark.table(t), batch, "o_orderkey", "o_orderstatus", check=False)
     merged.write.format("noop").mode("overwrite").save()
     p = plan(merged)
