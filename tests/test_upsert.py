@@ -169,3 +169,38 @@ def test_upsert_matches_model(spark, base, upd, partitioned):
     want = _model_merge(base, uniq, partitioned) if uniq else sorted(base, key=repr)
     spark.sql(f"DROP DATABASE {db} CASCADE")
     assert got == want
+
+
+_rows2 = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 5)),
+                            st.one_of(st.none(), st.sampled_from(["a", "b"])),
+                            st.sampled_from(["x", "y"]),
+                            st.integers(0, 99).map(float)), max_size=7)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(base=_rows2, upd=_rows2)
+def test_two_column_partition_upsert_matches_model(spark, base, upd):
+    from medallion.session import unique_name
+    schema = "k int, p string, q string, v double"
+    seen, uniq = set(), []
+    for r in upd:
+        if r[0] is None or r[0] not in seen:
+            uniq.append(r)
+            seen.add(r[0])
+    if not uniq:
+        return
+    pv = {r[1] for r in uniq if r[1] is not None}
+    qv = {r[2] for r in uniq if r[2] is not None}
+    keys = {r[0] for r in uniq if r[0] is not None}
+    want = sorted([r for r in base if not (r[0] is not None and r[0] in keys
+                                          and r[1] in pv and r[2] in qv)] + uniq, key=repr)
+    db = unique_name("h2")
+    spark.sql(f"CREATE DATABASE {db}")
+    t = f"{db}.t"
+    W.insert_table(spark.createDataFrame(base, schema), t, partition_by=["p", "q"],
+                   on_empty="write")
+    U.upsert(spark.createDataFrame(uniq, schema), "k", table=t, partition_by=["p", "q"])
+    got = sorted((tuple(r) for r in spark.table(t).select("k", "p", "q", "v").collect()),
+                 key=repr)
+    spark.sql(f"DROP DATABASE {db} CASCADE")
+    assert got == want
