@@ -58,9 +58,14 @@ def select_fields(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
 
 def read_json_records(spark: SparkSession, path: str, key: str | None = None,
                       fields: Sequence[str] | None = DEFAULT_FIELDS,
-                      multi_line: bool = False, sep: str = "_") -> DataFrame:
-    """Documents -> records -> flat, normalised, filtered table."""
-    docs = spark.read.option("multiLine", str(multi_line).lower()).json(path)
+                      multi_line: bool = False, sep: str = "_",
+                      schema=None) -> DataFrame:
+    """Documents -> records -> flat, normalised, filtered table.  A
+    document ``schema`` (DDL or StructType) skips the inference pass."""
+    reader = spark.read.option("multiLine", str(multi_line).lower())
+    if schema is not None:
+        reader = reader.schema(schema)
+    docs = reader.json(path)
     if key:
         recs = docs.select(F.explode(F.col(f"`{key}`")).alias("__r")).select("__r.*")
     else:

@@ -88,3 +88,11 @@ def test_flatten_keeps_arrays_and_separator(spark):
     assert flat.columns == ["a_b", "a_c_d", "a_c_e", "tags"]
     assert dict(flat.dtypes)["tags"] == "array<int>"
     assert J.flatten(df, ".").columns == ["a.b", "a.c.d", "a.c.e", "tags"]
+
+
+def test_json_records_with_declared_schema(spark, tmp_path):
+    p = tmp_path / "d.json"
+    p.write_text(json.dumps({"entries": [{"API": "a", "City": "x", "extra": 1}]}) + "\n")
+    df = J.read_json_records(spark, str(p), "entries", ["api", "city"],
+                             schema="entries array<struct<API:string, City:string>>")
+    assert sorted(df.columns) == ["api", "city"] and df.count() == 1
