@@ -22,6 +22,7 @@ Unmapped files use the defaults (D8).  A ``merge`` command needs
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -70,6 +71,14 @@ def _pick(*values, default):
     return out
 
 
+def _options(value) -> dict:
+    """Read options as a dict; text in the original config style (a JSON
+    object written with single quotes) is parsed too."""
+    if isinstance(value, str):
+        return json.loads(value.replace("'", '"')) if value.strip() else {}
+    return dict(value or {})
+
+
 def resolve_settings(cfg: Mapping, file_name: str) -> FileSettings:
     """The precedence rules of the module docstring."""
     landing = cfg.get("landing", {})
@@ -81,8 +90,8 @@ def resolve_settings(cfg: Mapping, file_name: str) -> FileSettings:
         file_name=file_name,
         source_format=_pick(landing.get("file_format"), bronze.get("format"),
                             per_file.get("file_format"), default=DEFAULT_SOURCE_FORMAT),
-        read_options=dict(_pick(landing.get("read_options"), per_file.get("read_options"),
-                                default={})),
+        read_options=_options(_pick(landing.get("read_options"), per_file.get("read_options"),
+                                    default={})),
         table_format=_pick(silver.get("table_format"), per_file.get("table_format"),
                            default=DEFAULT_TABLE_FORMAT),
         write_command=_pick(bronze.get("write_command"), per_file.get("write_command"),
