@@ -1,9 +1,10 @@
 """Config-driven ingest (W1) with its audit table (W2) and the bronze
 refresh (S10).
 
-Configuration is a plain dict with real option dicts (no JSON text with
-swapped quotes); per-file settings override layer defaults, which override
-built-in literals, weakest first:
+Configuration is a plain dict (read options may be a dict, or text of a
+JSON object written with single quotes as in the original config); per-file
+settings override layer defaults, which override built-in literals, weakest
+first:
 
 * source format: ``csv`` < landing.file_format < bronze.format < file.file_format
 * read options:  ``{}``  < landing.read_options < file.read_options
