@@ -72,6 +72,15 @@ def _pick(*values, default):
     return out
 
 
+def normalise_config(cfg: Mapping) -> dict:
+    """Accept the original layout too, where the layers sit under an
+    ``ingestion`` key; top-level keys win."""
+    nested = cfg.get("ingestion")
+    if isinstance(nested, Mapping):
+        return {**nested, **{k: v for k, v in cfg.items() if k != "ingestion"}}
+    return dict(cfg)
+
+
 def _options(value) -> dict:
     """Read options as a dict; text in the original config style (a JSON
     object written with single quotes) is parsed too."""
@@ -82,6 +91,7 @@ def _options(value) -> dict:
 
 def resolve_settings(cfg: Mapping, file_name: str) -> FileSettings:
     """The precedence rules of the module docstring."""
+    cfg = normalise_config(cfg)
     landing = cfg.get("landing", {})
     bronze = cfg.get("bronze", {})
     silver = cfg.get("silver", {})
@@ -140,6 +150,7 @@ def ingest_file(spark: SparkSession, cfg: Mapping, path: str, file_name: str,
                 size_kb: float | None = None) -> dict:
     """W1 for one bronze file: read, clean names (P1), write to silver, and
     return the audit record (W2)."""
+    cfg = normalise_config(cfg)
     s = resolve_settings(cfg, file_name)
     db = cfg.get("silver", {}).get("db", "silver")
     start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -163,6 +174,7 @@ def ingest_file(spark: SparkSession, cfg: Mapping, path: str, file_name: str,
 def ingest(spark: SparkSession, cfg: Mapping, refresh: bool = True) -> DataFrame:
     """W1 + W2 + S10: refresh bronze from landing, ingest every bronze file
     into silver, append the audit rows to the audit table, return them."""
+    cfg = normalise_config(cfg)
     bronze = cfg["bronze"]["path"]
     if refresh and cfg.get("landing", {}).get("path"):
         landing = cfg["landing"]["path"]

@@ -147,8 +147,9 @@ def api_table(spark: SparkSession, json_path: str, out_path: str, key: str | Non
 
 def run_all(spark: SparkSession, cfg: Mapping) -> dict[str, DataFrame]:
     """Ingest, then the slum and electricity jobs, in order."""
-    from .ingest import ingest
+    from .ingest import ingest, normalise_config
 
+    cfg = normalise_config(cfg)
     audit = ingest(spark, cfg)
     silver = cfg.get("silver", {}).get("db", "silver")
     gold = cfg.get("gold", {}).get("db", "gold")
