@@ -7,8 +7,9 @@ driver's tables so that they grow with them.
 * electricity (one row per user of ``events``): per event type the count and
   the rounded value sum, plus the rounded total; text cells again.
 
-The SQL twins (``WARDS_SQL``, ``ELECTRICITY_SQL``) give DuckDB the same
-rows for the oracle checks.
+The SQL twins (``WARDS_SQL`` for the cleaned wards, ``CITIES_SQL`` for the
+rolled-up, imputed cities) give DuckDB the same rows for the oracle checks;
+the electricity stand-in feeds only the K-means report, which has none.
 """
 
 from __future__ import annotations
