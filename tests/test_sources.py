@@ -96,3 +96,11 @@ def test_json_records_with_declared_schema(spark, tmp_path):
     df = J.read_json_records(spark, str(p), "entries", ["api", "city"],
                              schema="entries array<struct<API:string, City:string>>")
     assert sorted(df.columns) == ["api", "city"] and df.count() == 1
+
+
+def test_csv_dir_infers_dates(spark, tmp_path):
+    d = tmp_path / "dated"
+    d.mkdir()
+    (d / "a.csv").write_text("k;day\n1;2020-01-01\n")
+    (d / "b.csv").write_text("k;day\n2;2021-12-31\n")
+    assert dict(Rd.read_csv_dir(spark, str(d)).dtypes) == {"k": "int", "day": "date"}
