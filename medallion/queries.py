@@ -515,12 +515,17 @@ def q_api_table(spark, sf):
     return REP.api_table(spark, path, scratch_path(spark, "api_csv"), "entries", API_FIELDS)
 
 
-@query("file_listing")
+@query("file_listing", """
+SELECT DISTINCT 'l_returnflag=' || l_returnflag AS folder, true AS has_data FROM lineitem""")
 def q_file_listing(spark, sf):
-    """Name, path, size of the files of a written folder."""
+    """The files of a written, partitioned folder, listed with name,
+    path and size, then summed per partition folder (one per value)."""
     path = scratch_path(spark, "listing")
     T(spark, sf, "lineitem").write.partitionBy("l_returnflag").parquet(path)
-    return Rd.list_files(spark, path).select("name", "size_bytes", "size_kb")
+    files = Rd.list_files(spark, path)
+    folder = F.element_at(F.split(F.col("path"), "/"), -2)
+    return (files.groupBy(folder.alias("folder"))
+            .agg(((F.count(F.lit(1)) > 0) & (F.sum("size_bytes") > 0)).alias("has_data")))
 
 
 # ============================================================ sinks
