@@ -19,14 +19,15 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 # The headline set: the two end-to-end cluster jobs, the cleaning pipeline
-# and its profile, the roll-up and top-k, the upserts, the ingest, the JSON
-# source, the semi join and the ML building blocks.
+# and its profile, the roll-up and top-k, the upserts, the ingest (batch and
+# streaming merge), the JSON source, the semi join, the ML building blocks
+# and a full scan of the largest table.
 HEADLINE = [
     "slum_report", "electricity_report", "preprocess", "null_profile", "numeric_profile",
     "rollup_city", "impute_split", "top_k_wards", "semi_join_distinct", "exclude_entities",
     "upsert_keys", "upsert_partitioned", "insert_partition_dynamic", "ingest_silver",
     "stream_ingest", "json_flatten", "csv_dir_scan", "minmax_scale", "kmeans_clusters",
-    "silhouette", "pca_2d", "rank_labels", "reconcile_counts",
+    "silhouette", "pca_2d", "rank_labels", "reconcile_counts", "format_scan", "stream_merge",
 ]
 
 
