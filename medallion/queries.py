@@ -1018,9 +1018,11 @@ def q_table_exists(spark, sf):
 
 @query("describe_schema", """
 SELECT column_name AS col_name,
-       CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
-            WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
-            WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS data_type
+       CASE WHEN column_type = 'BIGINT' THEN 'bigint' WHEN column_type = 'INTEGER' THEN 'int'
+            WHEN column_type = 'DOUBLE' THEN 'double' WHEN column_type = 'VARCHAR' THEN 'string'
+            WHEN column_type LIKE 'TIMESTAMP%' AND column_type NOT LIKE '%TIME ZONE%'
+                 THEN 'timestamp_ntz'
+            ELSE lower(column_type) END AS data_type
 FROM (DESCRIBE lineitem)""")
 def q_describe_schema(spark, sf):
     """A table's schema as rows."""
