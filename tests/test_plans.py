@@ -15,7 +15,8 @@ PURE = ["rollup_city", "impute_split", "group_means", "sorted_summary", "top_k",
         "top_k_wards", "preview", "clean_names", "nice_case", "na_to_null", "regex_na_to_null",
         "null_profile", "drop_sparse", "numeric_profile", "coerce_types", "fill_zero",
         "preprocess", "drop_columns", "exclude_entities", "semi_join_distinct", "union_counts",
-        "partition_values", "format_scan", "minmax_scale", "label_map", "rank_labels"]
+        "partition_values", "format_scan", "minmax_scale", "label_map", "rank_labels",
+        "table_scan", "query_source", "reconcile_counts"]
 
 
 def plan(df) -> str:
