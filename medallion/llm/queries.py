@@ -11,7 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_tiles, toxicity
+import public_tokenizers
+
+from ..session import scratch_path
+from . import bpe, simhash_tiles, token_store, toxicity
 from .common import fold_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +42,26 @@ def op2_simhash_dedup(spark, sf):
     found = simhash_tiles.near_duplicates(read_table(spark, sf, "documents"))
     return found.select("doc_id", simhash_tiles.hex_fingerprint(F.col("fp")).alias("fingerprint"),
                         "component_id")
+
+
+@query("op3_token_store")
+def op3_token_store(spark, sf):
+    folder = scratch_path(spark, "token-store")
+    token_store.write(read_table(spark, sf, "documents"), folder,
+                      public_tokenizers.path("byte_bpe_50k.json"), n_vocabulary=50257)
+    return token_store.digests(spark, folder)
+
+
+def bpe_digests(docs):
+    """Digest columns of a byte-level BPE round trip."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    trip = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    return trip.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_bpe")
+def op4_bpe(spark, sf):
+    return bpe_digests(read_table(spark, sf, "documents"))
