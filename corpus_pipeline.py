@@ -1,11 +1,71 @@
-"""Corpus pipeline; its stages are added below as their operators are done."""
+"""Corpus pipeline: from raw documents to token ids.
 
+Each stage takes what the one before kept, calls one operator of
+``medallion.llm`` and returns a DataFrame, which is written as Parquet and
+read again for the next.  All but the last return the columns of documents.
+Rows without an id can be named by no decision and are kept by the stages
+that drop documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from medallion.llm import decontaminate, line_dedup, simhash_tiles, toxicity
+from medallion.llm.common import keep_ids, read_table, staged
+from medallion.llm.queries import bpe_digests
+
+#: The toxicity scores come from a fitted model, which SQL cannot express.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return keep_ids(docs, rejected.where("doc_id IS NOT NULL"), "doc_id", "left_anti")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = toxicity.classify(docs, read_table(spark, sf_dir, "labels"))
+    return _without(docs, scored.where("predicted = 1"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated long lines stay in one document; ``n_chars`` follows the text."""
+    found = line_dedup.dedup_lines(docs, carry=True)
+    own = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return found.select(*[(own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one that names it;
+    exact repeats of its row go too."""
+    found = simhash_tiles.near_duplicates(docs)
+    return _without(docs, found.where("doc_id <> component_id")).dropDuplicates(["doc_id", "text"])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark")))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, and the digests of their round trip."""
+    return bpe_digests(docs, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("byte_level_bpe", bpe_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import bpe, simhash_tiles, token_store, toxicity
+from . import bpe, decontaminate, line_dedup, simhash_tiles, token_store, toxicity
 from .common import fold_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,16 +52,46 @@ def op3_token_store(spark, sf):
     return token_store.digests(spark, folder)
 
 
-def bpe_digests(docs):
+def bpe_digests(docs, with_ids: bool = False):
     """Digest columns of a byte-level BPE round trip."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     trip = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
     return trip.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if with_ids else []))
 
 
 @query("op4_bpe")
 def op4_bpe(spark, sf):
     return bpe_digests(read_table(spark, sf, "documents"))
+
+
+@query("op5_line_dedup", """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed
+  WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT k.doc_id, k.pos, k.line, (r.key IS NOT NULL AND k.doc_id <> r.keeper) AS gone
+  FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""")
+def op5_line_dedup(spark, sf):
+    return line_dedup.dedup_lines(read_table(spark, sf, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark, sf):
+    return decontaminate.find_contamination(read_table(spark, sf, "documents"),
+                                            read_table(spark, sf, "benchmark"))
