@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import bpe, decontaminate, line_dedup, simhash_tiles, token_store, toxicity
+from . import bpe, decontaminate, fingerprints, langid, line_dedup, secret_scan, simhash_tiles, token_store, toxicity
 from .common import fold_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +91,74 @@ def op5_line_dedup(spark, sf):
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op6_fingerprints")
+def op6_fingerprints(spark, sf):
+    """``n_near``: other rows within the radius, for every 50th id."""
+    rows = fingerprints.document_fingerprints(read_table(spark, sf, "documents"))
+    asked = rows.where("doc_id % 50 = 0")
+    near = fingerprints.near_counts(rows, asked)
+    asks = F.col("doc_id") % 50 == 0
+    return rows.join(near, (F.col("fp") == F.col("query")) & asks, "left").select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.hex_fingerprint(F.col("fp")).alias("fingerprint"),
+        fingerprints.hex_fingerprint(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        (F.col("n_near") - 1).alias("n_near"))
+
+
+@query("op8_language")
+def op8_language(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    return langid.identify(docs, langid.fit(docs)).select(
+        "doc_id", (fold_remainder(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_decontaminate")
 def op9_decontaminate(spark, sf):
     return decontaminate.find_contamination(read_table(spark, sf, "documents"),
                                             read_table(spark, sf, "benchmark"))
+
+
+def _scan_sql() -> str:
+    """DuckDB SQL of the secret scan: pattern by pattern, without an index."""
+    parts, length = [], "length"
+    for i, r in enumerate(secret_scan.RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT doc_id, {i} AS kind_no, '{r.kind}' AS kind,
+         unnest([{{
+           'start': list_sum([{length}(x) for x in gaps[1:k]])
+                    + coalesce(list_sum([{length}(x) for x in whole[1:k - 1]]), 0),
+           'size': {length}(whole[k]), 'tested': {length}(tested[k])}} for k in range(1, len(whole) + 1)]) AS span, {r.min_length} AS least
+  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{p}') AS gaps,
+               regexp_extract_all(coalesce(text, ''), '{p}', 0) AS whole,
+               regexp_extract_all(coalesce(text, ''), '{p}', {r.group}) AS tested FROM documents)""")
+    return f"""
+WITH spans AS ({" UNION ALL ".join(parts)}),
+kept AS (
+  SELECT doc_id, kind_no, kind, span.start::BIGINT AS s, (span.start + span.size)::BIGINT AS e
+  FROM spans WHERE span.tested >= least),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access,
+         count(*) FILTER (kind_no = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) FILTER (kind_no < 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) AS spans
+  FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id"""
+
+
+@query("op10_secret_scan", _scan_sql())
+def op10_secret_scan(spark, sf):
+    rules = secret_scan.RULES
+    found = secret_scan.scan(read_table(spark, sf, "documents"))
+
+    def of(kind):
+        return F.filter("found", lambda s: s["kind"] == kind)
+
+    base = F.filter("found", lambda s: s["kind"] < len(secret_scan.BASE_RULES))
+    return found.select(
+        "doc_id", *[F.size(of(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE_RULES)],
+        F.sha2(secret_scan.span_text(base, rules).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("found"), rules).alias("spans"))
