@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import bpe, decontaminate, fingerprints, langid, line_dedup, secret_scan, simhash_tiles, token_store, toxicity
+from . import bpe, decontaminate, fingerprints, langid, licenses, line_dedup, secret_scan, simhash_tiles, token_store, toxicity
 from .common import fold_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,11 @@ def op6_fingerprints(spark, sf):
         (F.col("n_near") - 1).alias("n_near"))
 
 
+@query("op7_licenses")
+def op7_licenses(spark, sf):
+    return licenses.scan_licenses(read_table(spark, sf, "documents"))
+
+
 @query("op8_language")
 def op8_language(spark, sf):
     docs = read_table(spark, sf, "documents")
