@@ -205,6 +205,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def python_spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
-    """The same spans of one text in plain Python, for tests."""
-    return sorted((m.start(), i, m.end()) for i, r in enumerate(rules) for m in re.finditer(r.pattern, text)
+    """The same spans of one text in plain Python, for tests (letter case is
+    that of A-Z only, as in Java)."""
+    return sorted((m.start(), i, m.end()) for i, r in enumerate(rules)
+                  for m in re.finditer(r.pattern, text, re.ASCII)
                   if len(m.group(r.group)) >= r.min_length)

@@ -224,8 +224,10 @@ def _decoded(spark, folder, shards, fields, kind, value) -> DataFrame:
 def lookup(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
     """The rows of one document: the shard is found in the offsets, its place
     in the shard's own arrays, and only its frame is decompressed."""
+    # a shard that begins with null ids has no first id: they come before all others
     hits = spark.read.parquet(f"{folder}/offsets").where(
-        (F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).select("part", "seq")
+        (F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id)) & (F.col("last_doc") >= doc_id)).select(
+        "part", "seq")
     shards = spark.read.parquet(f"{folder}/shards").join(F.broadcast(hits), ["part", "seq"])
     place = F.explode(F.filter(F.sequence(F.lit(1), F.size("doc_ids")),
                                lambda i: F.element_at("doc_ids", i) == doc_id))

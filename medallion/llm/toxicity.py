@@ -42,10 +42,6 @@ NEAREST = 1e-2               # added to distances, so that a copy has a finite w
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def term_counts(text: str) -> Counter:
-    return Counter(WORD.findall(text.lower()))
-
-
 @dataclass
 class BlockIndex:
     """Examples as unit vectors in blocks; each block keeps the weights of the
@@ -183,10 +179,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_exampl
     return docs.join(F.broadcast(sample), "doc_id")
 
 
-def _chosen_terms(counted: DataFrame, n: int, n_toxic: int, max_terms: int) -> list[str]:
+def _chosen_terms(held: DataFrame, n: int, n_toxic: int, max_terms: int) -> list[str]:
     """Terms whose presence depends on the label beyond chance (chi-square of
     the two-by-two table), the strongest first."""
-    per_term = counted.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
+    per_term = held.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).cast("double").alias("n_with"), F.sum("toxic").cast("double").alias("n_toxic"))
     a, w = F.col("n_toxic"), F.col("n_with")
     diff = a * F.lit(float(n)) - w * F.lit(float(n_toxic))
@@ -197,14 +193,12 @@ def _chosen_terms(counted: DataFrame, n: int, n_toxic: int, max_terms: int) -> l
     return [r["term"] for r in rows]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
-        counts = [term_counts(t) for t in texts_of(part)]
         yield pa.RecordBatch.from_arrays([
             part.column(0), part.column(2),
-            pa.array([list(c) for c in counts], pa.list_(pa.string())),
-            pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
-            ["doc_id", "toxic", "terms", "counts"])
+            pa.array([list(dict.fromkeys(WORD.findall(t.lower()))) for t in texts_of(part)],
+                     pa.list_(pa.string()))], ["doc_id", "toxic", "terms"])
 
 
 def vectorize(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -230,10 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out:
     """The model, and the term counts of all documents it was fitted with."""
     docs = id_text(docs)
     sample = training_rows(docs, labels, label_col, max_examples, held_out)
-    counted = staged(sample.select("doc_id", "text", "toxic").mapInArrow(
-        _counted, "doc_id long, toxic int, terms array<string>, counts array<int>"), "toxicity-examples")
-    n, n_toxic = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    terms = _chosen_terms(counted, n, n_toxic, max_terms) if 0 < n_toxic < n else []
+    held = staged(sample.select("doc_id", "text", "toxic").mapInArrow(
+        _with_terms, "doc_id long, toxic int, terms array<string>"), "toxicity-examples")
+    n, n_toxic = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    terms = _chosen_terms(held, n, n_toxic, max_terms) if 0 < n_toxic < n else []
 
     vectors = staged(vectorize(docs, terms), "toxicity-vectors")
     n_docs = vectors.count()
@@ -242,18 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out:
     idf = np.array([np.log((1 + n_docs) / (1 + frequency.get(i, 0))) + 1 for i in range(len(terms))],
                    dtype=np.float32)
 
-    position = {t: i for i, t in enumerate(terms)}
-    lookup = F.create_map(*[x for t, i in position.items() for x in (F.lit(t), F.lit(i))]) if terms else None
-    if lookup is None:
-        rows = counted.select("doc_id", "toxic", F.array().cast("array<struct<t:int,c:int>>").alias("kept"))
-    else:
-        pairs = F.arrays_zip("terms", "counts")
-        kept = F.filter(pairs, lambda p: F.array_contains(F.array(*map(F.lit, terms)), p["terms"]))
-        rows = counted.select("doc_id", "toxic", F.transform(
-            kept, lambda p: F.struct(lookup[p["terms"]].alias("t"), p["counts"].alias("c"))).alias("kept"))
-    examples = rows.orderBy("doc_id").collect()           # at most max_examples rows
-    sparse = [(np.array([p["t"] for p in r["kept"]], dtype=np.int64),
-               np.array([p["c"] for p in r["kept"]], dtype=np.float64)) for r in examples]
+    # the sample's rows again, now as vectors: at most max_examples documents
+    labelled = held.select("doc_id", "toxic").distinct()
+    examples = vectors.join(F.broadcast(labelled), "doc_id").orderBy("doc_id", "terms", "counts").collect()
+    sparse = [(np.array(r["terms"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)) for r in examples]
     toxic = np.array([r["toxic"] for r in examples], dtype=np.int64)
     ids = np.array([r["doc_id"] for r in examples], dtype=np.int64)
 

@@ -1,0 +1,49 @@
+import pytest
+
+WORDS = ("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma "
+         "tau upsilon phi chi psi omega").split()
+
+
+def prose(seed: int, n: int) -> str:
+    """Made-up words, different for each seed."""
+    out, state = [], seed * 7919 + 13
+    for _ in range(n):
+        state = (state * 1103515245 + 12345) % (1 << 31)
+        out.append(WORDS[state % 24] + WORDS[state // 24 % 24])
+    return " ".join(out)
+
+
+#: ids and texts with nulls, empty and blank ones, ties, repeated rows, odd
+#: characters and a long text
+EDGE_ROWS = [
+    (1, prose(1, 40)), (2, prose(1, 40)), (2, prose(1, 40)), (3, None), (4, ""), (5, " \t\n "), (None, prose(2, 30)),
+    (None, None), (6, "one"), (7, "ONE"), (8, "naïve Ünïcode 漢字 😀  two  spaces\n\nand a line"),
+    (9, prose(3, 4000)), (10, prose(1, 39) + " changed"), (11, "x" * 3000), (12, "tie one two three"),
+    (13, "tie one two three"), (-5, "negative id " + prose(4, 8)),
+]
+
+#: names that operators use inside; a caller's table may have them too
+CLASHING = ["fp", "component_id", "hash", "rules", "bucket", "tile", "drops", "row", "ids", "terms", "counts",
+            "candidate_id", "text_", "n_lines", "found", "start"]
+
+
+@pytest.fixture(scope="session")
+def edge_docs(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
+        f"{c} string" for c in CLASHING)
+    rows = [(i, t, None if i is None else ("en" if i % 2 else "de"), None, None if t is None else len(t),
+             *["?"] * len(CLASHING)) for i, t in EDGE_ROWS]
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def no_docs(edge_docs):
+    return edge_docs.limit(0)
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def by_key(rows):
+    return sorted(rows, key=repr)

@@ -1,0 +1,88 @@
+"""Benchmark decontamination against a plain sliding window."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from medallion.llm import decontaminate as D
+from tests.llm.conftest import EDGE_ROWS, by_key, prose, rows_of
+
+WORD = re.compile(r"\w+")
+
+
+def grams(words, k=5):
+    k = min(k, len(words))
+    return [tuple(words[i:i + k]) for i in range(len(words) - k + 1)] if words else []
+
+
+def plain(doc, item):
+    """The best weighted Jaccard of an item-sized window."""
+    words, own = WORD.findall((doc or "").lower()), WORD.findall((item or "").lower())
+    if not own or not words:
+        return 0.0
+    wanted, best = Counter(grams(own)), 0.0
+    for s in range(max(1, len(words) - len(own) + 1)):
+        if len(words) < len(own) <= 5:
+            break
+        held = Counter(grams(words[s:s + len(own)], min(5, len(own))))
+        shared = sum((held & wanted).values())
+        best = max(best, shared / (sum(held.values()) + sum(wanted.values()) - shared))
+    return best
+
+
+def edited(text, seed, n):
+    rng, words = random.Random(seed), text.split()
+    for i in rng.sample(range(len(words)), n):
+        words[i] = "edited"
+    return " ".join(words)
+
+
+ITEMS = [(i, prose(100 + i, 12 + 4 * i)) for i in range(10)] + [
+    (50, None), (51, ""), (52, "Three word item"), (None, prose(300, 20)), (53, "same same same same same same same")]
+
+
+def doc_rows():
+    rows = [(1000 + i, prose(500 + i, 60) + "\n" + t.upper().replace(" ", ", ") + "!\n" + prose(600 + i, 40))
+            for i, (_, t) in enumerate(ITEMS) if t]
+    rows += [(2000 + 10 * i + n, prose(700 + i, 30) + " " + edited(t, n, n) + " " + prose(800, 9))
+             for i, (_, t) in enumerate(ITEMS[:10]) for n in (1, 2, 4)]
+    rows += [(3000 + i, " ".join(t.split()[:-1])) for i, (_, t) in enumerate(ITEMS[:10])]
+    return rows + rows[:2] + [(4000, "a three word item stands here"), (4001, "same " * 30)] + EDGE_ROWS
+
+
+def test_against_the_plain_window(spark):
+    rows = doc_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(d, i, round(s, 9)) for d, i, s, _, _ in rows_of(D.find_contamination(
+        docs, spark.createDataFrame(ITEMS, "item_id long, text string")))]
+    want = [(d, i, round(best, 9)) for d, t in rows for i, x in ITEMS if (best := plain(t, x)) >= 0.8]
+    assert by_key(got) == by_key(want) and len(want) > 20
+
+
+def test_items_in_several_blocks_give_the_same(spark):
+    docs = spark.createDataFrame(doc_rows(), "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert by_key(rows_of(D.find_contamination(docs, bench, items_per_block=4))) == by_key(
+        rows_of(D.find_contamination(docs, bench)))
+
+
+def test_empty_tables(spark, edge_docs, no_docs):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert rows_of(D.find_contamination(no_docs, bench)) == []
+    assert rows_of(D.find_contamination(edge_docs, bench.limit(0))) == []
+
+
+@pytest.mark.parametrize("radius, blocks", [(3, 8), (18, 8), (7, 16), (0, 8)])
+def test_block_tables_miss_nothing(radius, blocks):
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    queries = np.concatenate([fps[rng.integers(0, 200, 300)], rng.integers(0, 1 << 63, 50, dtype=np.uint64)])
+    for q in range(300):
+        for bit in rng.choice(64, rng.integers(0, radius + 4), replace=False):
+            queries[q] ^= np.uint64(1) << np.uint64(bit)
+    got = set(zip(*(a.tolist() for a in D.BlockTables(fps, radius, blocks).search(queries))))
+    near = np.bitwise_count(queries[:, None] ^ fps[None, :]) <= radius
+    assert got == set(zip(*(a.tolist() for a in np.nonzero(near))))
