@@ -1,125 +1,167 @@
 """Upsert (K7-K9, J2, K8) on plain Parquet tables and paths.
 
 MERGE semantics reproduced: a target row matches an update row when all
-keys are equal (NULL never matches) and, for partitioned targets, when the
-target's partition value is among the update's partition values (K8).
+keys are equal (NULL never matches) and the target's value of each
+``partition_by`` column is among the update's values of it (K8).  Those
+columns only narrow the match; the target need not be partitioned by them.
 Matched rows take every column of the update; unmatched updates are
 inserted; a target row matched by two update rows is an error.
 
-Plan: the batch is staged once; ``touched`` target rows (filtered with a
-typed IN list of the batch's distinct partition values, so the scan is
-pruned at planning time) are anti-joined with the update keys and unioned
-with the updates.  That result is written to a staging folder under the
-shared checkpoint folder (a table cannot be overwritten while it is read,
-and the write cuts the lineage), then swapped in with a dynamic partition
-overwrite, so untouched partitions are never read or rewritten.  The anti
-join shuffles on the keys (or broadcasts them when AQE measures them
-small); a hot key meets at most one update row, and AQE's skew handling
-splits the large side.  The swap is not atomic as a Delta commit is.
+Plan: the batch is staged once.  The target's real partition columns come
+from its own scan.  Only partitions that hold a matched row or receive an
+update row are rewritten: their remaining rows (an anti join with the
+update keys, the scan pruned by a typed IN list) and the updates are
+written once, beside the target, and moved in by renaming folders.  A
+partition left without rows is removed.  An unpartitioned target is one
+such partition.  The anti join shuffles on the keys (or broadcasts them
+when AQE measures them small); a hot key meets at most one update row, and
+AQE's skew handling splits the large side.
+
+The swap is a rename per partition folder, not one atomic commit as in
+Delta.  If it breaks, nothing is lost: both versions lie in the folder
+named by the error.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .writers import (DEFAULT_FORMAT, _cols, create_table, partition_overwrite_mode, staged,
-                      write_path)
+from . import files
+from .writers import DEFAULT_FORMAT, _cols, create_table, staged, write_path
 
 
-def check_single_match(target: DataFrame, updates: DataFrame, keys: list[str]) -> None:
-    """Raise when one target row would match more than one update row."""
-    nonnull = F.lit(True)
-    for k in keys:
-        nonnull = nonnull & F.col(f"`{k}`").isNotNull()
-    dups = (updates.where(nonnull).groupBy(*keys).count().where(F.col("count") > 1)
-            .select(*keys))
-    hit = dups.join(target.select(*keys), keys, "left_semi").limit(1).collect()
-    if hit:
-        raise ValueError(f"several update rows match one target row, e.g. keys {hit[0].asDict()}")
+def _quoted(name: str) -> Column:
+    return F.col(f"`{name}`")
 
 
-# Above this many distinct values of one partition column in a batch, the
-# partition filter is applied as a semi join instead of a literal IN list.
-MAX_LITERAL_PARTITIONS = 10000
+def check_columns(target: DataFrame, updates: DataFrame) -> None:
+    """Both sides must have the same columns; nothing is dropped or made up."""
+    missing = [c for c in target.columns if c not in updates.columns]
+    extra = [c for c in updates.columns if c not in target.columns]
+    if missing or extra:
+        raise ValueError(f"updates do not match the target: missing {missing}, extra {extra}")
 
 
-def partition_values(updates: DataFrame, p: str, limit: int = MAX_LITERAL_PARTITIONS):
-    """Distinct non-NULL values of a partition column in the batch, as typed
-    Python values (F5), or None when there are more than ``limit``.  The
-    count is bounded by the target's partition count, not by its rows."""
-    vals = (updates.select(p).where(F.col(p).isNotNull()).distinct()
-            .limit(limit + 1).collect())
-    return None if len(vals) > limit else [r[0] for r in vals]
+def partition_values(updates: DataFrame, p: str) -> list:
+    """Distinct non-NULL values of a column in the batch, as typed Python
+    values (F5).  For partition columns these name partitions of the target
+    or ones the batch creates, a list that the write keeps anyway."""
+    return [r[0] for r in updates.select(_quoted(p)).where(_quoted(p).isNotNull()).distinct().collect()]
 
 
-def touched_rows(target: DataFrame, updates: DataFrame, parts: list[str]) -> DataFrame:
-    """K8: target rows in partitions named by the update, per partition
-    column independently (``p1 IN (...) AND p2 IN (...)``); NULL partition
-    values match nothing (D18).  The literal IN list lets Spark prune
-    partitions at planning time (``PartitionFilters``), so only the named
-    partitions are listed and read; with very many values an exact semi
-    join takes over."""
-    out = target
+def match_predicate(updates: DataFrame, parts: list[str]) -> Column:
+    """K8: the target rows that may match, per column independently
+    (``p1 IN (...) AND p2 IN (...)``); a NULL matches nothing (D18)."""
+    inside = F.lit(True)
     for p in parts:
-        vals = partition_values(updates, p)
-        if vals is None:
-            out = out.join(updates.select(p).where(F.col(p).isNotNull()).distinct(), p,
-                           "left_semi")
-        else:
-            out = out.where(F.col(p).isin(vals))
-    return out
+        inside = inside & F.coalesce(_quoted(p).isin(partition_values(updates, p)), F.lit(False))
+    return inside
+
+
+def check_single_match(target: DataFrame, updates: DataFrame, keys: list[str]) -> None:
+    """Raise when one target row would match more than one update row.  The
+    target is read only if the batch has repeated keys at all."""
+    nonnull = F.lit(True)
+    for k in keys:
+        nonnull = nonnull & _quoted(k).isNotNull()
+    dups = updates.where(nonnull).groupBy(*[_quoted(k) for k in keys]).count().where("`count` > 1").select(
+        *[_quoted(k) for k in keys])
+    if dups.isEmpty():
+        return
+    hit = dups.join(target.select(*[_quoted(k) for k in keys]), keys, "left_semi").limit(1).collect()
+    if hit:
+        raise ValueError(f"several update rows match one target row, e.g. keys {hit[0].asDict()}")
+
+
+def _key_join(target: DataFrame, updates: DataFrame, keys: list[str], inside: Column, how: str) -> DataFrame:
+    names = [f"__key{i}" for i in range(len(keys))]
+    side = updates.select(*[_quoted(k).alias(n) for k, n in zip(keys, names)]).distinct()
+    on = inside
+    for k, n in zip(keys, names):
+        on = on & (_quoted(k) == F.col(n))
+    return target.join(side, on, how)
 
 
 def merge_frames(target: DataFrame, updates: DataFrame, keys: str | Sequence[str],
-                 partition_by: str | Sequence[str] | None = None,
-                 check: bool = True) -> DataFrame:
-    """The rows of every partition the batch writes, after the MERGE (for an
-    unpartitioned target: the whole target).
-
-    With one partition column, a batch row whose partition value is NULL
-    matches nothing (D18) but is still written to the NULL partition, so
-    the existing rows of that partition are carried over unchanged."""
-    keys = _cols(keys)
-    parts = _cols(partition_by)
+                 partition_by: str | Sequence[str] | None = None, check: bool = True) -> DataFrame:
+    """The rows of ``target`` after the MERGE.  ``upsert`` calls it with the
+    part of the target that it rewrites."""
+    keys, parts = _cols(keys), _cols(partition_by)
     if not keys:
         raise ValueError("upsert needs merge keys (D7)")
-    touched = touched_rows(target, updates, parts) if parts else target
+    check_columns(target, updates)
+    inside = match_predicate(updates, parts)
     if check:
-        check_single_match(touched, updates, keys)
-    kept = touched.join(updates.select(*keys), keys, "left_anti")
-    if len(parts) == 1 and not updates.where(F.col(parts[0]).isNull()).isEmpty():
-        kept = kept.unionByName(target.where(F.col(parts[0]).isNull()))
-    return kept.unionByName(updates.select(*target.columns))
+        check_single_match(target.where(inside), updates, keys)
+    kept = _key_join(target, updates, keys, inside, "left_anti")
+    return kept.unionByName(updates.select(*[_quoted(c) for c in target.columns]))
 
 
-def merged_table(target: DataFrame, updates: DataFrame, keys: str | Sequence[str],
-                 partition_by: str | Sequence[str] | None = None) -> DataFrame:
-    """The whole target after the MERGE: untouched rows plus the merged
-    touched part (used for multi-column partitions and for previews)."""
-    parts = _cols(partition_by)
-    if not parts:
-        return merge_frames(target, updates, keys)
-    marked = target
-    flags = []
+def _named(df: DataFrame, rows: list, parts: list[str]) -> DataFrame:
+    """The rows of the partitions named by ``rows`` (NULL is a value): an IN
+    list per column prunes the scan, a semi join on all of them is exact."""
+    out = df
     for i, p in enumerate(parts):
-        flag = f"__in{i}"
-        vals = (updates.select(p).where(F.col(p).isNotNull()).distinct()
-                .withColumn(flag, F.lit(True)))
-        marked = marked.join(vals, p, "left")
-        flags.append(F.coalesce(F.col(flag), F.lit(False)))
-    inside = flags[0]
-    for f in flags[1:]:
-        inside = inside & f
-    cols = [f"`{c}`" for c in target.columns]
-    touched = marked.where(inside).select(*cols)
-    untouched = marked.where(~inside).select(*cols)
-    keys = _cols(keys)
-    check_single_match(touched, updates, keys)
-    kept = touched.join(updates.select(*keys), keys, "left_anti")
-    return untouched.unionByName(kept).unionByName(updates.select(*target.columns))
+        values = {r[i] for r in rows}
+        named = _quoted(p).isin([v for v in values if v is not None])
+        out = out.where(named | _quoted(p).isNull() if None in values else named)
+    if len(parts) > 1:
+        names = [f"__part{i}" for i in range(len(parts))]
+        schema = ", ".join(f"{n} {df.schema[p].dataType.simpleString()}" for n, p in zip(names, parts))
+        side = df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+        on = F.lit(True)
+        for p, n in zip(parts, names):
+            on = on & _quoted(p).eqNullSafe(F.col(n))
+        out = out.join(side, on, "left_semi")
+    return out
+
+
+def _rewrite(spark: SparkSession, target: DataFrame, updates: DataFrame, keys: list[str],
+             predicate: list[str], fmt: str) -> None:
+    """Write the touched partitions of a folder of files anew and swap them in."""
+    (root,) = files.scan_roots(target)
+    parts = files.partition_columns(target)
+    inside = match_predicate(updates, predicate)
+    check_single_match(target.where(inside), updates, keys)
+    side = f"{files.parent(root)}/.upsert-{uuid.uuid4().hex[:12]}"
+    old_folders = [""]
+    try:
+        if parts:
+            cols = [_quoted(p) for p in parts]
+            matched = _key_join(target, updates, keys, inside, "left_semi").select(*cols)
+            touched = matched.union(updates.select(*cols)).distinct().collect()
+            part = _named(target, touched, parts)
+            folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1)
+            old = [files.from_uri(spark, r[0]) for r in part.select(folder).distinct().collect()]
+            old_folders = sorted(f[len(root):].strip("/") for f in old)
+        else:
+            part = target
+        kept = _key_join(part, updates, keys, inside, "left_anti")
+        result = kept.unionByName(updates.select(*[_quoted(c) for c in target.columns]))
+        writer = result
+        if parts:
+            # rows of one partition together, large partitions in several tasks
+            writer = result.hint("rebalance", *[_quoted(p) for p in parts])
+        writer.write.format(fmt).partitionBy(*parts).save(f"{side}/new")
+    except BaseException:
+        files.delete_path(spark, side)
+        raise
+    try:
+        for rel in old_folders:
+            files.move(spark, f"{root}/{rel}".rstrip("/"), f"{side}/old/{rel}".rstrip("/"))
+        for rel in files.leaf_folders(spark, f"{side}/new") if parts else [""]:
+            files.move(spark, f"{side}/new/{rel}".rstrip("/"), f"{root}/{rel}".rstrip("/"))
+    except Exception as exc:
+        raise OSError(f"the swap broke off; the old and new files are under {side}") from exc
+    files.delete_path(spark, side)
+
+
+def _table_properties(spark: SparkSession, table: str) -> dict[str, str]:
+    return {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
 
 
 def delta_upsert(updates: DataFrame, keys: list[str], parts: list[str], table: str | None,
@@ -127,7 +169,7 @@ def delta_upsert(updates: DataFrame, keys: list[str], parts: list[str], table: s
     """K7-K9 with Delta's own MERGE, used when ``fmt="delta"`` and the
     delta-spark package is importable (not installed in this environment).
     Same match rule: keys equal, and the target's partition value among the
-    batch's (a typed IN list, bounded by the table's partition count)."""
+    batch's (a typed IN list)."""
     try:
         from delta.tables import DeltaTable
     except ImportError as exc:
@@ -136,8 +178,8 @@ def delta_upsert(updates: DataFrame, keys: list[str], parts: list[str], table: s
     if table and not spark.catalog.tableExists(table):
         create_table(updates, table, "delta", parts)
         return True
-    if path and not DeltaTable.isDeltaTable(spark, path):
-        write_path(updates, path, "overwrite", "delta", parts, on_empty="write")
+    if path and not files.has_entries(spark, path):
+        write_path(updates, path, "append", "delta", parts, on_empty="write")
         return True
     target = DeltaTable.forName(spark, table) if table else DeltaTable.forPath(spark, path)
     cond = None
@@ -145,8 +187,7 @@ def delta_upsert(updates: DataFrame, keys: list[str], parts: list[str], table: s
         c = F.col(f"existing.`{k}`") == F.col(f"updates.`{k}`")
         cond = c if cond is None else cond & c
     for p in parts:
-        vals = [r[0] for r in updates.select(p).where(F.col(p).isNotNull()).distinct().collect()]
-        cond = cond & F.col(f"existing.`{p}`").isin(vals)
+        cond = cond & F.col(f"existing.`{p}`").isin(partition_values(updates, p))
     (target.alias("existing").merge(updates.alias("updates"), cond)
      .whenMatchedUpdateAll().whenNotMatchedInsertAll().execute())
     return True
@@ -155,47 +196,45 @@ def delta_upsert(updates: DataFrame, keys: list[str], parts: list[str], table: s
 def upsert(updates: DataFrame, keys: str | Sequence[str] | None, *, table: str | None = None,
            path: str | None = None, partition_by: str | Sequence[str] | None = None,
            fmt: str = DEFAULT_FORMAT, on_empty: str = "skip") -> bool:
-    """K7 + K8 + K9 on a table (``table``) or a folder (``path``)."""
+    """K7 + K8 + K9 on a table (``table``) or a folder (``path``).
+
+    ``partition_by`` narrows the match; for a target that this call creates
+    it is the partitioning too.  A folder is created only when the file
+    system says that it is absent or empty; one that cannot be read as
+    ``fmt`` is an error and stays as it is."""
     spark: SparkSession = updates.sparkSession
     keys = _cols(keys)
     parts = _cols(partition_by)
     if not keys:
         raise ValueError("upsert needs merge keys (D7)")
-    if on_empty == "skip" and updates.isEmpty():
-        return False
+    if not table and not path:
+        raise ValueError("upsert needs a table or a path")
     if fmt == "delta":
-        return delta_upsert(updates, keys, parts, table, path)
-    # The batch is read four times below (partition values, keys, the
-    # duplicate check, the union).  Staging it once in the shared folder
-    # makes those reads agree even for a non-deterministic source and cuts
-    # its lineage, so a lost executor re-reads files instead of recomputing.
-    updates = staged(updates, "upsert-batch")
-    if table:
-        if not spark.catalog.tableExists(table):          # K9
+        return False if on_empty == "skip" and updates.isEmpty() else \
+            delta_upsert(updates, keys, parts, table, path)
+    # The batch is read several times below (values, keys, the duplicate
+    # check, the union).  Staging it once in the shared folder makes those
+    # reads agree even for a non-deterministic source and cuts its lineage,
+    # so a lost executor re-reads files instead of recomputing.
+    with staged(updates, "upsert-batch") as updates:
+        if on_empty == "skip" and updates.isEmpty():
+            return False
+        if table and not spark.catalog.tableExists(table):             # K9
             create_table(updates, table, fmt, parts)
             return True
-        target = spark.table(table)
-    elif path:
-        try:
-            target = spark.read.format(fmt).load(path)
-        except Exception:                                   # K9 for paths
-            write_path(updates, path, "overwrite", fmt, parts, on_empty="write")
+        if path and not files.has_entries(spark, path):                # K9 for paths
+            write_path(updates, path, "append", fmt, parts, on_empty="write")
             return True
-    else:
-        raise ValueError("upsert needs a table or a path")
-
-    if len(parts) == 1:
-        result = staged(merge_frames(target, updates, keys, parts), "upsert")
-        mode = "dynamic"
-    else:
-        # No partition column: whole rewrite.  Two or more: a partition may
-        # lose all its rows, which a dynamic overwrite would not clear.
-        result = staged(merged_table(target, updates, keys, parts), "upsert")
-        mode = "static"
-    result = result.select(*target.columns)
-    if table:
-        with partition_overwrite_mode(spark, mode):
-            result.write.insertInto(table, overwrite=True)
-    else:
-        write_path(result, path, "overwrite", fmt, parts, partition_mode=mode, on_empty="write")
+        target = spark.table(table) if table else spark.read.format(fmt).load(path)
+        check_columns(target, updates)
+        updates = updates.select(*[_quoted(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+        if table:
+            properties = _table_properties(spark, table)
+            _rewrite(spark, target, updates, keys, parts, properties.get("Provider", fmt))
+            if properties.get("Partition Provider") == "Catalog":
+                spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
+            spark.catalog.refreshTable(table)
+        else:
+            _rewrite(spark, target, updates, keys, parts, fmt)
+            spark.catalog.refreshByPath(path)
     return True

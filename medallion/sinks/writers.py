@@ -8,17 +8,18 @@ checked with ``isEmpty`` (a one-row probe, not a count).
 
 from __future__ import annotations
 
-import os
+import threading
 from collections.abc import Sequence
 from contextlib import contextmanager
-from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
+from . import files
 
 DEFAULT_FORMAT = "parquet"
+_MODE_LOCK = threading.RLock()
 
 
 def _cols(part_cols: str | Sequence[str] | None) -> list[str]:
@@ -34,15 +35,16 @@ def partition_overwrite_mode(spark: SparkSession, mode: str):
     """Set ``spark.sql.sources.partitionOverwriteMode`` for one write.
 
     ``insertInto`` ignores the write option of that name, so the session
-    setting is switched around the call; threads sharing a session should
-    not run overwrites of different modes at the same moment."""
+    setting is switched around the call.  The setting is read when the write
+    is planned, so a lock lets one thread at a time switch it and write."""
     key = "spark.sql.sources.partitionOverwriteMode"
-    old = spark.conf.get(key)
-    spark.conf.set(key, mode.upper())
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
+    with _MODE_LOCK:
+        old = spark.conf.get(key)
+        spark.conf.set(key, mode.upper())
+        try:
+            yield
+        finally:
+            spark.conf.set(key, old)
 
 
 def table_exists(spark: SparkSession, table: str, schema: str | None = None) -> bool:
@@ -101,14 +103,18 @@ def insert_table(df: DataFrame, table: str, overwrite: bool = False,
         return True
     target = spark.table(table).columns
     ordered = _order_for_insert(df, target, parts, by_position)
+    if not overwrite:
+        ordered.write.insertInto(table)
+        return True
     with partition_overwrite_mode(spark, partition_mode):
         try:
-            ordered.write.insertInto(table, overwrite=overwrite)
+            ordered.write.insertInto(table, overwrite=True)
         except AnalysisException as exc:
-            if not overwrite or "UNSUPPORTED_OVERWRITE" not in (exc.getCondition() or ""):
+            if "UNSUPPORTED_OVERWRITE" not in (exc.getCondition() or ""):
                 raise
             # the frame reads the table it overwrites: stage it, then swap it in
-            staged(ordered).write.insertInto(table, overwrite=True)
+            with staged(ordered) as held:
+                held.write.insertInto(table, overwrite=True)
     return True
 
 
@@ -131,46 +137,54 @@ def write_path(df: DataFrame, path: str, mode: str = "append", fmt: str = DEFAUL
         w.options(**(options or {})).save(path)
 
     # Spark would empty the folder before reading it: stage such a frame
-    save(staged(df) if mode == "overwrite" and reads_from(df, path) else df)
+    if mode == "overwrite" and reads_from(df, path):
+        with staged(df) as held:
+            save(held)
+    else:
+        save(df)
     return True
 
 
-def staged(df: DataFrame, name: str = "overwrite-stage") -> DataFrame:
-    """Write ``df`` to a fresh folder under the shared checkpoint folder and
-    read it back: a frame that no longer depends on its sources (lineage
-    cut; safe to overwrite what it was read from)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+@contextmanager
+def staged(df: DataFrame, name: str = "overwrite-stage"):
+    """``df`` written to a fresh folder under the shared checkpoint folder and
+    read back, for as long as the block lasts: a frame that no longer depends
+    on its sources (lineage cut; safe to overwrite what it was read from).
+    The folder is deleted afterwards."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        files.delete_path(spark, path)
 
 
-def _location(uri: str) -> tuple[str, str, str]:
-    if "://" not in uri and not uri.startswith(("/", "file:")):
-        uri = os.path.abspath(uri)          # a relative local path
-    u = urlparse(uri)
-    scheme = u.scheme or "file"
-    return scheme, (u.netloc if scheme != "file" else ""), (u.path or "/").rstrip("/") + "/"
+def reads_from(df: DataFrame, path: str) -> bool:
+    """Whether ``df`` scans files under ``path``, or a folder above it (from
+    the root folders of its scans; no file is listed for it)."""
+    target = files.qualified(df.sparkSession, path) + "/"
+    return any((root + "/").startswith(target) or target.startswith(root + "/") for root in files.scan_roots(df))
 
 
-def reads_from(df: DataFrame, path: str) -> bool:
-    """Whether ``df`` scans files under ``path`` (from the file index the
-    scan already built; no data is read)."""
-    target = _location(path)
-    for f in df.inputFiles():
-        src = _location(f)
-        if src[:2] == target[:2] and src[2].startswith(target[2]):
-            return True
-    return False
+#: Cells are written as they are: the CSV writer would trim them by default.
+CSV_AS_IS = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def export_csv(df: DataFrame, path: str, on_empty: str = "skip") -> bool:
     """Header CSV folder, overwritten; written by the executors (the
-    original collects to the driver), no index column (D22)."""
+    original collects to the driver), no index column (D22), cells untrimmed."""
     if _skip(df, on_empty):
         return False
+
+    def save(frame: DataFrame) -> None:
+        frame.write.mode("overwrite").option("header", "true").options(**CSV_AS_IS).csv(path)
+
     if reads_from(df, path):
-        df = staged(df)
-    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+        with staged(df) as held:
+            save(held)
+    else:
+        save(df)
     return True
 
 

@@ -68,8 +68,10 @@ def test_upsert_reads_only_named_partitions(spark, db):
     o = Q.T(spark, SF, "orders")
     t = f"{db}.op"
     W.insert_table(o, t, partition_by="o_orderstatus")
-    batch = U.staged(Q.moved_batch(o).where("o_orderstatus = 'F'"), "plan-test")
-    merged = U.merge_frames(spark.table(t), batch, "o_orderkey", "o_orderstatus", check=False)
+    batch = Q.moved_batch(o).where("o_orderstatus = 'F'")
+    target = spark.table(t)
+    touched = U._named(target, batch.select("o_orderstatus").distinct().collect(), ["o_orderstatus"])
+    merged = U.merge_frames(touched, batch, "o_orderkey", "o_orderstatus", check=False)
     merged.write.format("noop").mode("overwrite").save()
     p = plan(merged)
     assert "LeftAnti" in p
@@ -93,8 +95,13 @@ def test_hot_key_rollup_is_exact_and_map_side(spark):
     assert hot.n == 10000 and hot.v == float(sum(range(0, 30000, 3)))
 
 
-def test_location_matching():
-    from medallion.sinks.writers import _location
-    assert _location("file:///tmp/a/o") == _location("/tmp/a/o/") == _location("file:/tmp/a/o")
-    assert _location("s3a://b/x") == ("s3a", "b", "/x/")
-    assert _location("s3a://b/x")[:2] != _location("s3a://c/x")[:2]
+def test_a_frame_knows_where_it_reads(spark, db, tmp_path):
+    from medallion.sinks.writers import reads_from
+    path = str(tmp_path / "a" / "o")
+    spark.range(3).write.parquet(path)
+    df = spark.read.parquet(path).where("id > 1")
+    assert reads_from(df, path) and reads_from(df, f"file://{path}/") and reads_from(df, str(tmp_path / "a"))
+    assert not reads_from(df, str(tmp_path / "a" / "other")) and not reads_from(spark.range(3), path)
+    spark.range(3).write.saveAsTable(f"{db}.located")
+    t = spark.table(f"{db}.located")
+    assert reads_from(t.join(df, "id"), path) and not reads_from(t, path)

@@ -204,3 +204,73 @@ def test_two_column_partition_upsert_matches_model(spark, base, upd):
                  key=repr)
     spark.sql(f"DROP DATABASE {db} CASCADE")
     assert got == want
+
+
+def test_predicate_column_of_an_unpartitioned_table(spark, db):
+    t = f"{db}.flat"
+    W.insert_table(spark.createDataFrame(BASE, SCHEMA), t)
+    U.upsert(spark.createDataFrame([(1, "a", 11.0)], SCHEMA), "k", table=t, partition_by="p")
+    want = [(1, "a", 11.0)] + BASE[1:]
+    assert rows(spark.table(t)) == rows(spark.createDataFrame(want, SCHEMA))
+    # a value of p that the batch does not name keeps its row: inserted beside it
+    U.upsert(spark.createDataFrame([(5, "b", 55.0)], SCHEMA), "k", table=t, partition_by="p")
+    assert rows(spark.table(t).where("k = 5")) == [(5, "b", 55.0), (5, "c", 50.0)]
+
+
+def test_predicate_on_one_of_two_partition_columns(spark, db, tmp_path):
+    schema = "k int, p string, q string, v double"
+    base = [(1, "a", "x", 1.0), (2, "a", "y", 2.0), (3, "b", "y", 3.0), (4, None, "z w", 4.0)]
+    upd = [(2, "a", "z", 20.0), (4, None, "z w", 40.0)]
+    want = sorted([(1, "a", "x", 1.0), (2, "a", "z", 20.0), (3, "b", "y", 3.0), (4, None, "z w", 4.0),
+                   (4, None, "z w", 40.0)], key=repr)
+    t, path = f"{db}.mp1", str(tmp_path / "two")
+    W.insert_table(spark.createDataFrame(base, schema), t, partition_by=["p", "q"])
+    W.write_path(spark.createDataFrame(base, schema), path, partition_by=["p", "q"])
+    U.upsert(spark.createDataFrame(upd, schema), "k", table=t, partition_by="p")
+    U.upsert(spark.createDataFrame(upd, schema), "k", path=path, partition_by="p")
+    for df in (spark.table(t), spark.read.parquet(path)):
+        assert sorted((tuple(r) for r in df.select("k", "p", "q", "v").collect()), key=repr) == want
+    assert not (tmp_path / "two" / "p=a" / "q=y").exists()          # left without rows
+    assert {r[0] for r in spark.sql(f"SHOW PARTITIONS {t}").collect()} >= {"p=a/q=x", "p=a/q=z", "p=b/q=y"}
+
+
+def test_untouched_partitions_keep_their_files(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    W.write_path(spark.createDataFrame(BASE, SCHEMA), path, partition_by="p")
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "kept" / "p=c").iterdir()}
+    U.upsert(spark.createDataFrame([(1, "a", 0.0)], SCHEMA), "k", path=path, partition_by="p")
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "kept" / "p=c").iterdir()} == before
+
+
+def test_unreadable_folder_is_an_error_and_stays(spark, tmp_path):
+    path = tmp_path / "csv"
+    spark.createDataFrame(BASE, SCHEMA).write.csv(str(path))
+    before = sorted(f.name for f in path.iterdir())
+    with pytest.raises(Exception):
+        U.upsert(spark.createDataFrame([(1, "a", 0.0)], SCHEMA), "k", path=str(path))
+    assert sorted(f.name for f in path.iterdir()) == before
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["csv"]
+
+
+@pytest.mark.parametrize("schema, row", [("k int, p string, v double, w int", (1, "a", 0.0, 1)),
+                                         ("k int, p string", (1, "a"))])
+def test_columns_must_match(spark, db, schema, row):
+    t = f"{db}.cols"
+    W.insert_table(spark.createDataFrame(BASE, SCHEMA), t)
+    with pytest.raises(ValueError, match="do not match"):
+        U.upsert(spark.createDataFrame([row], schema), "k", table=t)
+    assert spark.table(t).count() == len(BASE)
+
+
+def test_nothing_is_left_behind(spark, db, tmp_path):
+    import glob
+
+    from medallion.session import checkpoint_root
+    scratch = checkpoint_root(spark).removeprefix("file:") + "/medallion-scratch/upsert*"
+    left = set(glob.glob(scratch))
+    t, path = f"{db}.clean", str(tmp_path / "clean")
+    for _ in range(2):
+        U.upsert(spark.createDataFrame(BASE, SCHEMA).dropDuplicates(["k"]), "k", table=t, partition_by="p")
+        U.upsert(spark.createDataFrame(BASE, SCHEMA).dropDuplicates(["k"]), "k", path=path)
+    assert set(glob.glob(scratch)) == left
+    assert [f.name for f in tmp_path.iterdir()] == ["clean"]

@@ -30,7 +30,7 @@ def main() -> None:
         db = Q.layer_db(spark, "silver")
         o = Q.T(spark, sf, "orders")
         W.insert_table(o, f"{db}.orders_p", partition_by="o_orderstatus")
-        batch = U.staged(Q.moved_batch(o), "plan-batch")
+        batch = Q.moved_batch(o)
         return U.merge_frames(spark.table(f"{db}.orders_p"), batch, "o_orderkey",
                               "o_orderstatus", check=False)
 
