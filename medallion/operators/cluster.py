@@ -32,7 +32,7 @@ RAW = "raw_features"
 FEATURES = "features"
 CLUSTER = "Clusters"
 PCA_OUT = "pca_features"
-ROWS_PER_PARTITION = 1_000_000
+LAYOUT_PARTITIONS = 8
 
 
 def _q(name: str) -> Column:
@@ -64,7 +64,7 @@ class ClusterResult:
     model: PipelineModel
     feature_cols: list[str]
     source: DataFrame | None = None   # the persisted input
-    input_rows: int | None = None     # rows offered to the assembler, when counted
+    offered: DataFrame | None = None  # rows offered to the assembler
 
     @property
     def cluster_sizes(self) -> list[int]:
@@ -77,7 +77,7 @@ class ClusterResult:
     @property
     def skipped_rows(self) -> int | None:
         """M1: rows the assembler skipped for a NULL or NaN feature."""
-        return None if self.input_rows is None else self.input_rows - self.trained_rows
+        return None if self.offered is None else self.offered.count() - self.trained_rows
 
     @property
     def centers(self) -> list[list[float]]:
@@ -107,16 +107,9 @@ def stable_layout(df: DataFrame, key: str | Sequence[str], partitions: int,
         *[_q(c) for c in cols])
 
 
-def partitions_for_rows(rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
-    """Partition count for the layout: a function of the row count only, so
-    it is repeatable, and it grows with the data (about a million feature
-    rows, some hundred MB, per task)."""
-    return max(1, -(-rows // rows_per_partition))
-
-
 def kmeans_clusters(df: DataFrame, feature_cols: Sequence[str], k: int = 3, seed: int = 1,
                     layout_key: str | Sequence[str] | None = None,
-                    partitions: int | None = None,
+                    partitions: int = LAYOUT_PARTITIONS,
                     max_iter: int = 20, tol: float = 1e-4) -> ClusterResult:
     """M3 + M4: fit assemble -> scale -> K-means and return the transformed
     frame (persisted, since silhouette, PCA, labels and the write all read
@@ -124,26 +117,23 @@ def kmeans_clusters(df: DataFrame, feature_cols: Sequence[str], k: int = 3, seed
 
     The input is persisted (spilling to disk when needed; lost blocks are
     rebuilt from lineage) because the scaler fit, every K-means pass and
-    the transform read it.  With ``layout_key`` it is first counted, then
-    laid out (see ``stable_layout``) and the laid-out copy is kept instead."""
+    the transform read it.  With ``layout_key`` it is laid out first (see
+    ``stable_layout``) over ``partitions`` partitions, a number that the
+    caller sizes for the data and the cluster and that no row count changes:
+    the same rows give the same centres, however they arrive."""
     if k < 2:
         raise ValueError("k must be at least 2")
     owned = not df.is_cached          # never release a cache the caller made
-    src = df.persist(StorageLevel.MEMORY_AND_DISK) if owned else df
-    rows = None
+    src = df
     if layout_key:
-        rows = src.count()
-        n = partitions or partitions_for_rows(rows)
-        laid = stable_layout(src, layout_key, n, feature_cols).persist(StorageLevel.MEMORY_AND_DISK)
-        laid.count()
-        if owned:
-            src.unpersist()
-        src, owned = laid, True
+        src, owned = stable_layout(df, layout_key, partitions, feature_cols), True
+    if owned:
+        src = src.persist(StorageLevel.MEMORY_AND_DISK)
     km = KMeans(featuresCol=FEATURES, predictionCol=CLUSTER, k=k, seed=seed,
                 maxIter=max_iter, tol=tol)
     model = Pipeline(stages=[assembler(feature_cols), scaler(), km]).fit(src)
     out = model.transform(src).persist(StorageLevel.MEMORY_AND_DISK)
-    return ClusterResult(out, model, list(feature_cols), src if owned else None, rows)
+    return ClusterResult(out, model, list(feature_cols), src if owned else None, src)
 
 
 # ------------------------------------------------------------ M5, M6, M8
@@ -183,8 +173,8 @@ def label_clusters(df: DataFrame, label_col: str, mapping: Mapping[int, str] = C
 def rank_labels(df: DataFrame, measure: str, label_col: str,
                 labels: Sequence[str] = RANK_LABELS, cluster_col: str = CLUSTER) -> DataFrame:
     """M7: order clusters by the mean of ``measure`` and name them by rank
-    (Small < Medium < Large).  Only one row per cluster takes part in the
-    window, and that k-row table is broadcast back (its size is bounded by k)."""
+    (Small < Medium < Large).  Only one row per value of ``cluster_col``
+    takes part in the window; the optimizer chooses how that table comes back."""
     means = df.groupBy(_q(cluster_col)).agg(F.avg(_q(measure)).alias("__mean"))
     ranked = means.withColumn(
         "__rank", F.row_number().over(Window.orderBy(F.col("__mean").asc_nulls_first(),
@@ -193,7 +183,7 @@ def rank_labels(df: DataFrame, measure: str, label_col: str,
     for i, name in enumerate(labels, start=1):
         expr = F.when(F.col("__rank") == i, F.lit(name)).otherwise(expr)
     table = ranked.select(_q(cluster_col), expr.alias(label_col))
-    return df.join(F.broadcast(table), cluster_col, "left")
+    return df.join(table, cluster_col, "left")
 
 
 def portable(df: DataFrame, vector_cols: Sequence[str] = (RAW, FEATURES)) -> DataFrame:

@@ -24,21 +24,24 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import clean_silver_names
+from ..sinks import files
 from ..sinks.writers import write_sink
-from ..sources.readers import list_files, read_format, refresh_bronze
+from ..sources.readers import BRONZE_MARK, bronze_read_options, copy_to_bronze, list_files, read_format
 
 # Built-in defaults, weakest in the precedence chain.
 DEFAULT_SOURCE_FORMAT = "csv"
 DEFAULT_WRITE_COMMAND = "insert overwrite"
 DEFAULT_TABLE_FORMAT = "parquet"
+DEFAULT_WORKERS = 4          # files under way at once
 
 AUDIT_SCHEMA = T.StructType([
     T.StructField("file_name", T.StringType()),
@@ -47,7 +50,7 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("size_kb", T.DoubleType()),
     T.StructField("start_time", T.TimestampType()),
     T.StructField("end_time", T.TimestampType()),
-    T.StructField("table_rows", T.LongType()),
+    T.StructField("rows_written", T.LongType()),
 ])
 
 
@@ -124,7 +127,7 @@ def _mode(command: str) -> str:
 def landed_files(spark: SparkSession, folder: str) -> list[tuple[str, float]]:
     """Top-level entries of a landing or bronze folder with their size in KB
     (a bronze entry is a folder of part files; its size is their sum)."""
-    root = _norm(spark, folder)
+    root = files.qualified(spark, folder)
     rel = F.split(F.substring(F.col("path"), len(root) + 2, 1 << 20), "/")
     rows = (list_files(spark, root)
             .where(~F.col("name").startswith("_") & ~F.col("name").startswith("."))
@@ -133,19 +136,6 @@ def landed_files(spark: SparkSession, folder: str) -> list[tuple[str, float]]:
     return sorted((r["entry"], float(r["size_kb"])) for r in rows)
 
 
-def _norm(spark: SparkSession, path: str) -> str:
-    """The fully qualified form Spark reports for ``path`` (e.g. file:/...)."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.makeQualified(jvm_path).toString().rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a bronze entry through the Hadoop file system of its path."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
 def ingest_file(spark: SparkSession, cfg: Mapping, path: str, file_name: str,
                 size_kb: float | None = None) -> dict:
     """W1 for one bronze file: read, clean names (P1), write to silver, and
@@ -153,45 +143,70 @@ def ingest_file(spark: SparkSession, cfg: Mapping, path: str, file_name: str,
     cfg = normalise_config(cfg)
     s = resolve_settings(cfg, file_name)
     db = cfg.get("silver", {}).get("db", "silver")
-    start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    # the configured format and options exactly as given (no CSV defaults
-    # slipped in when the config names no options)
-    df = read_format(spark, s.source_format, path, s.read_options, s.schema)
-    df = clean_silver_names(df)
     mode = _mode(s.write_command)
     if mode == "merge" and not s.merge_cols:
         raise ValueError(f"{file_name}: merge needs merge_cols (D7)")
-    table = f"{db}.{s.table_name}"
-    write_sink(df, table=table, mode=mode, keys=s.merge_cols, partition_by=s.part_cols,
-               fmt=s.table_format, partition_mode="dynamic" if s.part_cols else "static")
+    start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    # the configured format and options exactly as given (no CSV defaults
+    # slipped in when the config names no options); a bronze copy is read in
+    # its own syntax
+    options = s.read_options
+    if s.source_format.lower() == "csv" and files.exists(spark, f"{path.rstrip('/')}/{BRONZE_MARK}"):
+        options = bronze_read_options(options)
+    df = clean_silver_names(read_format(spark, s.source_format, path, options, s.schema))
+    table, written = f"{db}.{s.table_name}", 0
+    if not df.isEmpty():                               # K10
+        seen = Observation()
+        write_sink(df.observe(seen, F.count(F.lit(1)).alias("rows")), table=table, mode=mode,
+                   keys=s.merge_cols, partition_by=s.part_cols, fmt=s.table_format,
+                   partition_mode="dynamic" if s.part_cols else "static", on_empty="write")
+        written = seen.get["rows"]
     end = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    rows = spark.table(table).count() if spark.catalog.tableExists(table) else 0
     return {"file_name": file_name, "table_name": table, "write_command": s.write_command,
-            "size_kb": size_kb, "start_time": start, "end_time": end,
-            "table_rows": int(rows)}
+            "size_kb": size_kb, "start_time": start, "end_time": end, "rows_written": int(written)}
+
+
+def _side_by_side(spark: SparkSession, work: Callable, items: list, workers: int) -> list:
+    """``work`` on each item, a few at a time; results in the items' order.
+    The items are files of a folder: their names, not their rows."""
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        return list(pool.map(work, items))
 
 
 def ingest(spark: SparkSession, cfg: Mapping, refresh: bool = True) -> DataFrame:
     """W1 + W2 + S10: refresh bronze from landing, ingest every bronze file
-    into silver, append the audit rows to the audit table, return them."""
+    into silver (``workers`` files at once), append the audit rows to the
+    audit table, return them.  Files that share a table go one after the
+    other, in the order of their names."""
     cfg = normalise_config(cfg)
-    bronze = cfg["bronze"]["path"]
-    if refresh and cfg.get("landing", {}).get("path"):
-        landing = cfg["landing"]["path"]
+    bronze = cfg["bronze"]["path"].rstrip("/")
+    workers = int(cfg.get("workers", DEFAULT_WORKERS))
+    landing = cfg.get("landing", {}).get("path") if refresh else None
+    if landing:
         names = [n for n, _ in landed_files(spark, landing)]
-        refresh_bronze(spark, landing, bronze, names,
-                       cfg.get("bronze", {}).get("copy_options"),
-                       {n: resolve_settings(cfg, n).source_format for n in names})
+
+        def copy(name: str) -> None:
+            s = resolve_settings(cfg, name)
+            copy_to_bronze(spark, f"{landing.rstrip('/')}/{name}", f"{bronze}/{name}", s.source_format,
+                           s.read_options)
+        _side_by_side(spark, copy, names, workers)
     entries = landed_files(spark, bronze)
-    if refresh and cfg.get("landing", {}).get("path"):
+    if landing:
         # bronze holds exactly the landing files: drop entries gone from landing
         for stale in {n for n, _ in entries} - set(names):
-            delete_path(spark, f"{bronze.rstrip('/')}/{stale}")
+            files.delete_path(spark, f"{bronze}/{stale}")
         entries = [(n, kb) for n, kb in entries if n in set(names)]
     db = cfg.get("silver", {}).get("db", "silver")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
-    records = [ingest_file(spark, cfg, f"{bronze.rstrip('/')}/{name}", name, size)
-               for name, size in entries]
+    by_table: dict[str, list] = {}
+    for name, size in entries:
+        by_table.setdefault(resolve_settings(cfg, name).table_name.lower(), []).append((name, size))
+
+    def load(own: list) -> list[dict]:
+        return [ingest_file(spark, cfg, f"{bronze}/{name}", name, size) for name, size in own]
+
+    records = sorted((r for done in _side_by_side(spark, load, list(by_table.values()), workers) for r in done),
+                     key=lambda r: r["file_name"])
     audit = spark.createDataFrame(records, AUDIT_SCHEMA).withColumn(
         "seconds", F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time")))   # X8
     audit_cfg = cfg.get("audit")

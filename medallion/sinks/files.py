@@ -34,6 +34,17 @@ def has_entries(spark: SparkSession, path: str) -> bool:
         not fs.getFileStatus(p).isDirectory()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return bool(fs.exists(p))
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    p, fs = _path(spark, path)
+    fs.create(p, True).close()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.delete(p, True)
@@ -61,6 +72,13 @@ def leaf_folders(spark: SparkSession, root: str) -> list[str]:
     return sorted(found)
 
 
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the visible files of a folder."""
+    p, fs = _path(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isFile()]
+    return sorted(n for n in names if not n.startswith(("_", ".")))
+
+
 def parent(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[0]
 

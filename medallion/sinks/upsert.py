@@ -225,6 +225,8 @@ def upsert(updates: DataFrame, keys: str | Sequence[str] | None, *, table: str |
         if path and not files.has_entries(spark, path):                # K9 for paths
             write_path(updates, path, "append", fmt, parts, on_empty="write")
             return True
+        if table:
+            spark.catalog.refreshTable(table)
         target = spark.table(table) if table else spark.read.format(fmt).load(path)
         check_columns(target, updates)
         updates = updates.select(*[_quoted(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])

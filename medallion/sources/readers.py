@@ -13,12 +13,19 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks import files
+
 # Options of the raw CSV files (header, comma, inferred types)
 # and of the directory merge (semicolon files with a header).
 CSV_OPTIONS = {"header": "true", "delimiter": ",", "inferSchema": "true"}
 CSV_DIR_OPTIONS = {"header": "true", "delimiter": ";", "inferSchema": "true"}
-# Bronze copies keep every cell as text; '"' escapes quotes both ways.
-BRONZE_OPTIONS = {"header": "true", "escape": '"', "inferSchema": "false"}
+# The CSV options that say where cells begin and end, and the
+# one syntax of bronze copies ('"' escapes quotes both ways).
+CSV_SYNTAX = ("sep", "delimiter", "quote", "escape", "chartoescapequoteescaping", "unescapedquotehandling",
+              "header", "multiline", "linesep", "encoding", "charset", "comment", "maxcolumns",
+              "maxcharspercolumn")
+BRONZE_SYNTAX = {"sep": ",", "quote": '"', "escape": '"'}
+BRONZE_MARK = "_canonical_csv"
 
 
 def _opts(options: Mapping | None) -> dict[str, str]:
@@ -106,35 +113,55 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
         F.col("modificationTime").alias("modified"))
 
 
+def bronze_read_options(options: Mapping | None) -> dict[str, str]:
+    """The options that read a bronze CSV copy of a file whose own options
+    are ``options``: the canonical syntax, the file's header and line rule,
+    and everything that says how to understand a cell (types, null marks)."""
+    own = _opts(options)
+    values = {k: v for k, v in own.items() if k.lower() not in CSV_SYNTAX}
+    shape = {k: v for k, v in own.items() if k.lower() in ("header", "multiline")}
+    return {**BRONZE_SYNTAX, **shape, **values}
+
+
 def copy_to_bronze(spark: SparkSession, src: str, dst: str, fmt: str = "csv",
                    options: Mapping | None = None) -> None:
-    """Copy one landing file (or folder) to bronze, distributed and
-    splittable: CSV is re-written with its header in every part file (a
-    plain line copy would leave later parts without one), every cell kept
-    as text; line formats without a header (JSON Lines, text) are copied
-    line by line, unparsed; other formats are re-written in their own
-    format."""
+    """Copy one landing file (or folder) to bronze on the executors, without
+    loss.  CSV is parsed by the file's own syntax (delimiter, quote, escape,
+    header, multi-line records, encoding), every cell kept as text and
+    nothing trimmed or turned into NULL, and written in one canonical syntax;
+    a ragged line is an error, never cut.  A folder copied so holds the mark
+    ``BRONZE_MARK``.  Line formats are copied line by line, unparsed (whole
+    files where a record may span lines); other formats in their own."""
     fmt = (fmt or "csv").lower()
+    own = _opts(options)
     if fmt == "csv":
-        opts = _opts(options or BRONZE_OPTIONS)
-        spark.read.options(**opts).csv(src).write.mode("overwrite").options(**opts).csv(dst)
+        syntax = {k: v for k, v in own.items() if k.lower() in CSV_SYNTAX}
+        header = next((v for k, v in own.items() if k.lower() == "header"), "false")
+        # a mark no cell has keeps quoted empty cells apart from absent ones
+        cells = spark.read.options(**syntax).options(
+            mode="FAILFAST", inferSchema="false", nullValue="\0").csv(src)
+        cells.write.mode("overwrite").options(**BRONZE_SYNTAX).options(
+            ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").option("header", header).csv(dst)
+        files.touch(spark, f"{dst.rstrip('/')}/{BRONZE_MARK}")
     elif fmt in ("json", "text", "txt", "jsonl"):
-        spark.read.text(src).write.mode("overwrite").text(dst)
+        spanning = next((v for k, v in own.items() if k.lower() in ("multiline", "wholetext")), "false")
+        spark.read.option("wholetext", spanning).text(src).write.mode("overwrite").text(dst)
     else:
         spark.read.format(fmt).load(src).write.mode("overwrite").format(fmt).save(dst)
 
 
 def refresh_bronze(spark: SparkSession, landing: str, bronze: str,
-                   files: list[str], options: Mapping | None = None,
+                   files: list[str], options: Mapping[str, Mapping] | None = None,
                    formats: Mapping[str, str] | None = None) -> dict[str, str]:
     """Full refresh of bronze from landing.  Every landing file is
-    copied to ``bronze/<file>`` with overwrite (format per file from
-    ``formats``, CSV by default), so bronze ends up holding exactly the
-    landing files.  Returns file name -> bronze path."""
+    copied to ``bronze/<file>`` with overwrite (``options`` and ``formats``
+    per file; a comma CSV with a header by default), so bronze ends up
+    holding exactly the landing files.  Returns file name -> bronze path."""
     out = {}
     for name in files:
         src = f"{landing.rstrip('/')}/{name}"
         dst = f"{bronze.rstrip('/')}/{name}"
-        copy_to_bronze(spark, src, dst, (formats or {}).get(name, "csv"), options)
+        copy_to_bronze(spark, src, dst, (formats or {}).get(name, "csv"),
+                       (options or {}).get(name, {"header": "true"}))
         out[name] = dst
     return out

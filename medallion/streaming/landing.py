@@ -1,25 +1,59 @@
 """Incremental form of the ingest (W1) with Structured Streaming.
 
 The landing folder is read as a file stream; each run picks up only files
-not seen before (the checkpoint keeps the list), cleans the headers (P1)
-and appends to the silver table through the file sink, whose commit log
-makes every micro-batch exactly-once even when executors die mid-batch.
+not seen before (the checkpoint keeps the list) and cleans the headers (P1).
 ``availableNow`` processes everything present and stops, so the job can be
-scheduled like the batch ingest.  In merge mode each micro-batch is upserted
-on keys instead (``foreachBatch``; the upsert is idempotent, so a replayed
-batch changes nothing).
+scheduled like the batch ingest.
+
+Spark may hand a micro-batch over again after a failure (at least once).
+Both modes make that harmless:
+
+* append: the batch is written beside the table, then its files are renamed
+  into it under names that carry the stream and the batch.  A replay first
+  removes what that batch had brought in, so its rows count once.  The files
+  are ordinary table files: batch appends and streamed ones add up.
+* merge: the batch is upserted on its keys; a replay writes the same rows
+  over themselves.  That holds only for rows that can match, so a NULL key
+  or a NULL ``partition_by`` value is refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.names import clean_silver_names
+from ..sinks import files
 from ..sinks.upsert import upsert
 
 
+def append_once(batch: DataFrame, batch_id: int, table: str, stream: str) -> None:
+    """Add a micro-batch to an unpartitioned table of files, replacing what
+    an earlier try of the same batch left there."""
+    spark = batch.sparkSession
+    spark.catalog.refreshTable(table)
+    target = spark.table(table)
+    if files.partition_columns(target):
+        raise ValueError("a streamed append needs an unpartitioned table")
+    (root,) = files.scan_roots(target)
+    provider = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}["Provider"]
+    mark = f"stream-{stream}-{batch_id}-"
+    side = f"{root}/.{mark}new"
+    files.delete_path(spark, side)
+    for name in files.file_names(spark, root):
+        if name.startswith(mark):
+            files.delete_path(spark, f"{root}/{name}")
+    rows = batch.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema.fields])
+    rows.write.format(provider).save(side)
+    for name in files.file_names(spark, side):
+        files.move(spark, f"{side}/{name}", f"{root}/{mark}{name}")
+    files.delete_path(spark, side)
+    spark.catalog.refreshTable(table)
+
+
 def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
                   fmt: str = "csv", options: Mapping | None = None,
                   schema=None, max_files_per_trigger: int | None = None,
@@ -29,10 +63,11 @@ def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str
 
     Without a ``schema`` the header of the files already present names the
     columns and every column is text (no inference on a stream, as bronze).
-
-    ``mode="merge"`` upserts each micro-batch on ``keys`` (K7/K8) through
-    ``foreachBatch``.  The upsert is idempotent, so a micro-batch replayed
-    after a failure leaves the same table: the effect stays exactly-once."""
+    ``mode="merge"`` upserts each micro-batch on ``keys`` (K7/K8)."""
+    if mode not in ("append", "merge"):
+        raise ValueError(f"unknown stream mode {mode!r}")
+    if mode == "merge" and not keys:
+        raise ValueError("a merge stream needs keys")
     opts = {"header": "true", **{k: str(v) for k, v in (options or {}).items()}}
     if schema is None:
         schema = spark.read.format(fmt).options(**opts).load(landing).schema
@@ -40,17 +75,24 @@ def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = clean_silver_names(reader.load(landing))
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        q = writer.format("parquet").toTable(table)
-    elif mode == "merge":
-        if not keys:
-            raise ValueError("a merge stream needs keys")
-
-        def merge_batch(batch: DataFrame, batch_id: int) -> None:
-            upsert(batch, list(keys), table=table, partition_by=partition_by)
-
-        q = writer.foreachBatch(merge_batch).start()
-    else:
-        raise ValueError(f"unknown stream mode {mode!r}")
-    q.awaitTermination()
+    name = hashlib.sha1(files.qualified(spark, checkpoint).encode()).hexdigest()[:10]
+    needed = [*(keys or []), *(partition_by or [])]
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        if mode == "append":
+            if not spark.catalog.tableExists(table):
+                spark.createDataFrame([], batch.schema).write.saveAsTable(table)
+            append_once(batch, batch_id, table, name)
+            return
+        unmatched = F.lit(False)
+        for c in needed:
+            unmatched = unmatched | F.col(f"`{c}`").isNull()
+        if not batch.where(unmatched).isEmpty():
+            raise ValueError(f"a merge stream needs values in {needed}: rows without them would be "
+                             "inserted again by every replay")
+        upsert(batch, list(keys), table=table, partition_by=partition_by)
+
+    q = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take)
+    q.start().awaitTermination()
+    if spark.catalog.tableExists(table):
+        spark.catalog.refreshTable(table)         # batches ran in a session of their own

@@ -119,7 +119,6 @@ def test_layout_spreads_a_hot_key(spark):
     rows = [(("hot" if i % 3 == 0 else f"k{i}"), float(i), float(i % 7)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, x double, y double")
     laid = C.stable_layout(df, "k", 8, extra=["x", "y"])
-    assert C.partitions_for_rows(2_500_000) == 3 and C.partitions_for_rows(0) == 1
     sizes = [r["count"] for r in laid.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == 3000 and max(sizes) < 0.25 * 3000
 

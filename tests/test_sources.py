@@ -72,8 +72,9 @@ def test_list_files_and_bronze_refresh(spark, tmp_path):        # S9, S10
     landing = tmp_path / "landing"
     landing.mkdir()
     (landing / "w.csv").write_text('name,note\n"a","say ""hi"""\nb,\n')
-    out = Rd.refresh_bronze(spark, str(landing), str(tmp_path / "bronze"), ["w.csv"])
-    back = spark.read.options(**Rd.BRONZE_OPTIONS).csv(out["w.csv"])
+    out = Rd.refresh_bronze(spark, str(landing), str(tmp_path / "bronze"), ["w.csv"],
+                            {"w.csv": {"header": "true", "escape": '"'}})
+    back = spark.read.options(**Rd.bronze_read_options({"header": "true"})).csv(out["w.csv"])
     assert back.columns == ["name", "note"]
     assert sorted((r.name, r.note) for r in back.collect()) == [("a", 'say "hi"'), ("b", None)]
     files = Rd.list_files(spark, str(landing)).collect()

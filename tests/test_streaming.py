@@ -32,3 +32,45 @@ def test_stream_merge_upserts_each_batch(spark, tmp_path):
     (landing / "b.csv").write_text("Id,Val\n2,B\n3,c\n")
     stream_ingest(spark, str(landing), t, ck, mode="merge", keys=["Id"])
     assert sorted(tuple(r) for r in spark.table(t).collect()) == [("1", "a"), ("2", "B"), ("3", "c")]
+
+
+def _landed(tmp_path, *texts):
+    landing = tmp_path / "landing"
+    landing.mkdir(exist_ok=True)
+    for i, text in enumerate(texts):
+        (landing / f"{i}.csv").write_text(text)
+    return str(landing)
+
+
+def test_streamed_and_batch_appends_add_up(spark, tmp_path):
+    from medallion.sinks.writers import insert_table
+    t = f"{unique_name('silver')}.s"
+    spark.sql(f"CREATE DATABASE {t.split('.')[0]}")
+    ck = str(tmp_path / "ck")
+    stream_ingest(spark, _landed(tmp_path, "Id,Val\n1,a\n2,b\n3,c\n"), t, ck)
+    insert_table(spark.createDataFrame([("4", "d"), ("5", "e")], "Id string, Val string"), t)
+    assert spark.table(t).count() == 5
+    (tmp_path / "landing" / "later.csv").write_text("Id,Val\n6,f\n")
+    stream_ingest(spark, str(tmp_path / "landing"), t, ck)
+    assert sorted(r.Id for r in spark.table(t).collect()) == ["1", "2", "3", "4", "5", "6"]
+
+
+def test_replayed_append_counts_once(spark, tmp_path):
+    from medallion.streaming.landing import append_once
+    t = f"{unique_name('silver')}.s"
+    spark.sql(f"CREATE DATABASE {t.split('.')[0]}")
+    spark.createDataFrame([(0, None)], "k int, v string").write.saveAsTable(t)
+    for batch, rows in ((1, [(1, "a"), (None, "b")]), (1, [(1, "a"), (None, "b")]), (11, [(2, "c")])):
+        append_once(spark.createDataFrame(rows, "k int, v string"), batch, t, "s1")
+    assert sorted((tuple(r) for r in spark.table(t).collect()), key=repr) == sorted(
+        [(0, None), (1, "a"), (None, "b"), (2, "c")], key=repr)
+
+
+def test_merge_stream_refuses_rows_that_cannot_match(spark, tmp_path):
+    import pytest
+    t = f"{unique_name('silver')}.s"
+    spark.sql(f"CREATE DATABASE {t.split('.')[0]}")
+    with pytest.raises(Exception, match="inserted again"):
+        stream_ingest(spark, _landed(tmp_path, "Id,Val\n,a\n2,b\n"), t, str(tmp_path / "ck"), mode="merge",
+                      keys=["Id"])
+    assert not spark.catalog.tableExists(t)
