@@ -50,10 +50,10 @@ def reset_layer(spark: SparkSession, db: str) -> list[str]:
 
 
 def describe_schema(spark: SparkSession, table: str) -> DataFrame:
-    """The schema of a table as rows (col_name, data_type)."""
-    return (spark.sql(f"DESCRIBE TABLE {table}")
-            .where(~F.col("col_name").startswith("#") & (F.col("col_name") != ""))
-            .select("col_name", "data_type").dropDuplicates(["col_name"]))
+    """The schema of a table as rows (col_name, data_type), in order (the
+    columns come first in DESCRIBE; partition and storage details follow)."""
+    n = len(spark.table(table).columns)
+    return spark.sql(f"DESCRIBE TABLE {table}").limit(n).select("col_name", "data_type")
 
 
 def describe_database(spark: SparkSession, db: str) -> DataFrame:

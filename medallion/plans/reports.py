@@ -10,11 +10,12 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import cluster as C
 from ..operators.clean import drop_columns, exclude_values, preprocess
 from ..operators.rollup import group_counts, group_means, impute_population, rollup, top_k
-from ..sinks.writers import export_csv, write_sink
+from ..sinks.writers import DEFAULT_FORMAT, export_csv, write_sink
 from ..sources.json_docs import DEFAULT_FIELDS, read_json_records
 
 # Fixed values of the slum job: columns dropped before the roll-up, the
@@ -128,10 +129,23 @@ def electricity_report(raw: DataFrame, exclude: Sequence[str] = ELECTRICITY_EXCL
                           mean_names={ELECTRICITY_MEASURE: ELECTRICITY_MEAN_NAME})
 
 
-def publish(report: ClusterReport, table: str) -> DataFrame:
-    """K4 into gold, then read back (the job's last step)."""
+def report_outputs(report: ClusterReport, top: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Everything a report holds, by the suffix of its gold table."""
     spark = report.report.sparkSession
-    write_sink(report.report, table=table, mode="overwrite")
+    out = {"": report.report, "_sizes": report.sizes, "_means": report.means, "_label_means": report.label_means,
+           "_scatter": report.scatter,
+           "_silhouette": spark.range(1).select(F.lit(report.silhouette).cast("double").alias("silhouette"))}
+    return out if top is None else {**out, "_top10": top}
+
+
+def publish(report: ClusterReport, table: str, top: DataFrame | None = None,
+            fmt: str = DEFAULT_FORMAT) -> DataFrame:
+    """K4 into gold, every output of the report in a table of its own
+    (``table`` and, with a suffix, sizes, means, scatter points, silhouette
+    and the top ten), then the main one read back (the job's last step)."""
+    spark = report.report.sparkSession
+    for suffix, frame in report_outputs(report, top).items():
+        write_sink(frame, table=f"{table}{suffix}", mode="overwrite", fmt=fmt)
     report.release()
     return spark.table(table)
 
@@ -145,22 +159,35 @@ def api_table(spark: SparkSession, json_path: str, out_path: str, key: str | Non
     return spark.read.option("header", "true").option("escape", '"').csv(out_path)
 
 
+# The silver table each job reads and the gold table it writes.
+JOBS = {"slums": {"source": "house_holds_slums", "target": "household_slums_clusters"},
+        "electricity": {"source": "electricity_consumption", "target": "electricity_clusters"}}
+
+
 def run_all(spark: SparkSession, cfg: Mapping) -> dict[str, DataFrame]:
-    """Ingest, then the slum and electricity jobs, in order."""
+    """Ingest, then the slum and electricity jobs, in order.
+
+    Both jobs run unless the configuration has a ``jobs`` key, which then
+    names the ones to run (``{"slums": {}}``) and may rename their ``source``
+    and ``target``.  A source table that is not there is an error."""
     from .ingest import ingest, normalise_config
 
     cfg = normalise_config(cfg)
     audit = ingest(spark, cfg)
     silver = cfg.get("silver", {}).get("db", "silver")
     gold = cfg.get("gold", {}).get("db", "gold")
+    fmt = cfg.get("gold", {}).get("table_format") or DEFAULT_FORMAT
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{gold}`")
-    jobs = cfg.get("jobs", {})
+    jobs = cfg.get("jobs", JOBS)
+    unknown = set(jobs) - set(JOBS)
+    if unknown:
+        raise ValueError(f"unknown jobs {sorted(unknown)}; known are {sorted(JOBS)}")
     out = {"audit": audit}
-    if "slums" in jobs:
-        rep, _ = slum_report(spark.table(f"{silver}.{jobs['slums']['source']}"))
-        out["slums"] = publish(rep, f"{gold}.{jobs['slums'].get('target', 'household_slums_clusters')}")
-    if "electricity" in jobs:
-        rep = electricity_report(spark.table(f"{silver}.{jobs['electricity']['source']}"))
-        out["electricity"] = publish(
-            rep, f"{gold}.{jobs['electricity'].get('target', 'electricity_clusters')}")
+    for name in JOBS:
+        if name not in jobs:
+            continue
+        names = {**JOBS[name], **(jobs[name] or {})}
+        raw = spark.table(f"{silver}.{names['source']}")
+        rep, top = slum_report(raw) if name == "slums" else (electricity_report(raw), None)
+        out[name] = publish(rep, f"{gold}.{names['target']}", top, fmt)
     return out

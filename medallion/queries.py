@@ -10,15 +10,16 @@ whole numbers (or integer cents) so the order of addition cannot show.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import standins as S
 from .functions.names import clean_silver_names, nice_case_names
-from .functions.values import NUMERIC_PATTERN
+from .functions.values import NUMERIC_PATTERN, RANK_LABELS
 from .operators import cluster as C
 from .operators import clean as K
 from .operators import rollup as R
@@ -419,33 +420,42 @@ def q_format_scan(spark, sf):
     return Rd.read_source(spark, "parquet", path=f"{sf.rstrip('/')}/lineitem.parquet")
 
 
+def as_bigint(df: DataFrame, *cols: str) -> DataFrame:
+    """Inferred whole numbers as BIGINT: which width inference picks depends
+    on the largest key, and so on the scale."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
+
+
 @query("csv_scan", """
-SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
+       c_acctbal, c_mktsegment
 FROM customer""")
 def q_csv_scan(spark, sf):
-    """Header CSV with inferred types (keys fit INT at this scale)."""
+    """Header CSV with inferred types."""
     path = scratch_path(spark, "csv_scan")
     T(spark, sf, "customer").write.option("header", "true").csv(path)
-    return Rd.read_csv(spark, path)
+    return as_bigint(Rd.read_csv(spark, path), "c_custkey", "c_nationkey")
 
 
 @query("csv_dir_scan", """
-SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey,
-       o_orderstatus, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate,
-       o_orderpriority
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey,
+       o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+       'timestamp' AS date_type, o_orderpriority
 FROM orders""")
 def q_csv_dir_scan(spark, sf):
-    """A folder of ';' CSV files merged in one scan."""
+    """A folder of ';' CSV files merged in one scan; the inferred type of
+    the time column is a result column, its value shown as text."""
     path = scratch_path(spark, "csv_dir")
-    o = T(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    o = T(spark, sf, "orders").withColumn(
+        "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     # two writes into one folder: at least two files, each with its header
     for part, mode in ((o.where(F.col("o_orderstatus") == "F"), "overwrite"),
                        (o.where(F.col("o_orderstatus") != "F"), "append")):
         part.write.mode(mode).option("header", "true").option("delimiter", ";").csv(path)
-    # the date column is inferred as DATE; it is shown as ISO text so that
-    # every client renders it alike (inference itself is unit-tested)
     df = Rd.read_csv_dir(spark, path)
-    return df.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+    return as_bigint(df, "o_orderkey", "o_custkey").withColumn(
+        "date_type", F.typeof("o_orderdate")).withColumn(
+        "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("ext_read", """
@@ -464,13 +474,35 @@ SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARC
        CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer"""
 
 
-@query("bronze_refresh", CUSTOMER_TEXT_SQL)
+BRONZE_OPTIONS = {"plain.csv": {"header": "true"},
+                  "semi.csv": {"header": "true", "sep": ";", "multiLine": "true", "escape": '"'},
+                  "bare.csv": {"header": "false"}}
+
+
+@query("bronze_refresh", """
+WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_name || ',;' || chr(34) || chr(10) || ' x ' AS odd,
+                  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '  ' || c_mktsegment || ' ' END AS padded
+           FROM customer)
+SELECT 'plain.csv' AS file, k AS a, replace(replace(odd, chr(10), ' '), chr(34), '') AS b, padded AS c FROM c
+UNION ALL SELECT 'semi.csv', k, odd, padded FROM c
+UNION ALL SELECT 'bare.csv', k, replace(replace(odd, chr(10), ' '), chr(34), ''), padded FROM c""")
 def q_bronze_refresh(spark, sf):
-    """Landing -> bronze full refresh; bronze keeps every cell as text."""
+    """Landing -> bronze full refresh of a comma file, a ';' file with
+    quotes and line breaks in its cells, and one without a header; every cell
+    as it was, padding included."""
     root = scratch_path(spark, "layers")
-    T(spark, sf, "customer").write.option("header", "true").csv(f"{root}/landing/customer.csv")
-    out = Rd.refresh_bronze(spark, f"{root}/landing", f"{root}/bronze", ["customer.csv"])
-    return spark.read.options(**Rd.BRONZE_OPTIONS).csv(out["customer.csv"])
+    odd = F.concat("c_name", F.lit(',;"\n x '))
+    rows = T(spark, sf, "customer").repartition(3, "c_custkey").select(
+        F.col("c_custkey").cast("string").alias("a"), odd.alias("b"),
+        F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).alias("c"))
+    tame = rows.withColumn("b", F.translate("b", '\n"', " "))
+    for name, options in BRONZE_OPTIONS.items():
+        (rows if name == "semi.csv" else tame).write.options(**{**Wr.CSV_AS_IS, **options}).csv(
+            f"{root}/landing/{name}")
+    out = Rd.refresh_bronze(spark, f"{root}/landing", f"{root}/bronze", list(BRONZE_OPTIONS), BRONZE_OPTIONS)
+    parts = [spark.read.options(**Rd.bronze_read_options(BRONZE_OPTIONS[n])).csv(p).toDF("a", "b", "c").withColumn(
+        "file", F.lit(n)) for n, p in out.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def customer_docs(spark, sf, path):
@@ -610,13 +642,17 @@ def q_skip_empty(spark, sf):
 
 
 @query("csv_export", """
-SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
-       o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice, o_orderpriority
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+       CAST(o_totalprice AS VARCHAR) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+       o_orderpriority, '  ' || o_orderpriority || ' ' AS padded
 FROM orders""")
 def q_csv_export(spark, sf):
-    """Header CSV export written by the executors."""
+    """Header CSV export written by the executors, cells as they are."""
     path = scratch_path(spark, "export")
-    Wr.export_csv(T(spark, sf, "orders").drop("o_orderdate"), path)
+    o = T(spark, sf, "orders").withColumn(
+        "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).withColumn(
+        "padded", F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")))
+    Wr.export_csv(o, path)
     return spark.read.option("header", "true").csv(path)
 
 
@@ -690,6 +726,42 @@ def q_upsert_partitioned(spark, sf):
     return spark.table(t)
 
 
+@query("upsert_partition_predicate", f"""
+WITH u AS ({MOVED_BATCH_SQL})
+SELECT * FROM orders o
+WHERE NOT (o.o_orderstatus IN (SELECT DISTINCT o_orderstatus FROM u)
+           AND o.o_orderkey IN (SELECT o_orderkey FROM u))
+UNION ALL SELECT * FROM u""")
+def q_upsert_partition_predicate(spark, sf):
+    """K8: the partition predicate on a table that is not partitioned."""
+    db = layer_db(spark, "silver")
+    o = T(spark, sf, "orders")
+    t = f"{db}.orders_flat"
+    Wr.insert_table(o, t)
+    U.upsert(moved_batch(o), "o_orderkey", table=t, partition_by="o_orderstatus")
+    return spark.table(t)
+
+
+def two_part_batch(o: DataFrame) -> DataFrame:
+    """Urgent orders move to another priority, so to another sub-partition."""
+    return o.where(F.col("o_orderpriority") == "1-URGENT").withColumn("o_orderpriority", F.lit("9-MOVED"))
+
+
+@query("upsert_two_partitions", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN '9-MOVED' ELSE o_orderpriority END AS o_orderpriority
+FROM orders""")
+def q_upsert_two_partitions(spark, sf):
+    """K8: a table partitioned by two columns, the predicate on the first;
+    keys move between sub-partitions and leave nothing behind."""
+    db = layer_db(spark, "silver")
+    o = T(spark, sf, "orders")
+    t = f"{db}.orders_pp"
+    Wr.insert_table(o, t, partition_by=["o_orderstatus", "o_orderpriority"])
+    U.upsert(two_part_batch(o), "o_orderkey", table=t, partition_by="o_orderstatus")
+    return spark.table(t)
+
+
 @query("upsert_create", UPSERT_BATCH_SQL)
 def q_upsert_create(spark, sf):
     """K9: upsert into a missing target creates it (table and path)."""
@@ -740,56 +812,99 @@ def q_minmax_scale(spark, sf):
     return out.select("p_partkey", arr[0].alias("f0"), arr[1].alias("f1"))
 
 
-def embedding_frame(spark, sf):
-    """Every element of every embedding, as one ML vector column."""
-    e = T(spark, sf, "embeddings")
-    return e.select("vec_id", "label", C.array_to_vector(F.col("embedding")).alias("emb"))
+GROUP_FEATURES = ["f0", "f1"]
+#: Three groups far apart, by the label of each embedding.
+GROUPS_SQL = """
+SELECT vec_id, label % 3 AS g, CAST(1000 * (label % 3) + vec_id % 7 AS DOUBLE) AS f0,
+       CAST(CASE WHEN label % 3 = 1 THEN 500 ELSE 0 END + vec_id % 5 AS DOUBLE) AS f1
+FROM embeddings"""
+#: The same, scaled to [0, 1] (M2).
+SCALED_SQL = f"""
+SELECT vec_id, g, (f0 - min(f0) OVER ()) / (max(f0) OVER () - min(f0) OVER ()) AS s0,
+       (f1 - min(f1) OVER ()) / (max(f1) OVER () - min(f1) OVER ()) AS s1
+FROM ({GROUPS_SQL})"""
+#: Projections on the two principal components, in closed form.
+PCA_SQL = f"""
+WITH s AS ({SCALED_SQL}),
+m AS (SELECT var_samp(s0) AS a, covar_samp(s0, s1) AS b, var_samp(s1) AS c FROM s),
+e AS (SELECT a, b, (a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b) AS top FROM m),
+v AS (SELECT b / sqrt(b * b + power(top - a, 2)) AS x, (top - a) / sqrt(b * b + power(top - a, 2)) AS y FROM e)
+SELECT vec_id, min(vec_id) OVER (PARTITION BY g) AS first_key,
+       CAST(round(1e6 * abs(s0 * x + s1 * y)) AS BIGINT) AS pc1,
+       CAST(round(1e6 * abs(s1 * x - s0 * y)) AS BIGINT) AS pc2
+FROM s, v"""
+
+
+def grouped_embeddings(spark, sf):
+    """One row per embedding, in three well-separated groups by its label."""
+    g, k = F.col("label") % 3, F.col("vec_id")
+    return T(spark, sf, "embeddings").select(
+        "vec_id", (1000 * g + k % 7).cast("double").alias("f0"),
+        (F.when(g == 1, 500).otherwise(0) + k % 5).cast("double").alias("f1"))
 
 
-EMB_FEATURES = ["emb"]
+def _groups(spark, sf):
+    return C.kmeans_clusters(grouped_embeddings(spark, sf), GROUP_FEATURES, k=3, seed=1, layout_key="vec_id")
 
 
-def _emb_clusters(spark, sf):
-    return C.kmeans_clusters(embedding_frame(spark, sf), EMB_FEATURES, k=3, seed=1,
-                             layout_key="vec_id")
+def _first_keys(df: DataFrame) -> DataFrame:
+    """Clusters named by their lowest key: the ids K-means gives are arbitrary."""
+    return df.groupBy(C.CLUSTER).agg(F.min("vec_id").alias("first_key"))
 
 
-@query("kmeans_clusters")
+def _micro(c):
+    return F.round(F.abs(c) * 1e6).cast("bigint")
+
+
+@query("kmeans_clusters", f"""
+SELECT vec_id, min(vec_id) OVER (PARTITION BY g) AS first_key FROM ({GROUPS_SQL})""")
 def q_kmeans_clusters(spark, sf):
-    """M3 + M4: K-means on scaled embedding features; one row per vector."""
-    res = _emb_clusters(spark, sf)
-    return res.frame.select("vec_id", "label", C.CLUSTER)
+    """M3 + M4: K-means on scaled features; one row per vector, its cluster
+    named by the lowest key in it."""
+    frame = _groups(spark, sf).frame
+    return frame.join(_first_keys(frame), C.CLUSTER).select("vec_id", "first_key")
 
 
-@query("cluster_sizes")
+@query("cluster_sizes", f"""
+SELECT min(vec_id) AS first_key, count(*) AS "City Count" FROM ({GROUPS_SQL}) GROUP BY g""")
 def q_cluster_sizes(spark, sf):
     """A2: vectors per cluster."""
-    return R.group_counts(_emb_clusters(spark, sf).frame, C.CLUSTER, "City Count")
-
-
-@query("silhouette")
+    frame = _groups(spark, sf).frame
+    return R.group_counts(frame, C.CLUSTER, "City Count").join(_first_keys(frame), C.CLUSTER).select(
+        "first_key", "City Count")
+
+
+@query("silhouette", f"""
+WITH s AS ({SCALED_SQL}),
+c AS (SELECT g, count(*) AS n, sum(s0) AS y0, sum(s1) AS y1, sum(s0 * s0 + s1 * s1) AS q FROM s GROUP BY g),
+d AS (SELECT s.vec_id, s.g = c.g AS own, c.n,
+             c.n * (s0 * s0 + s1 * s1) + c.q - 2 * (s0 * c.y0 + s1 * c.y1) AS total FROM s, c),
+p AS (SELECT vec_id, max(CASE WHEN own THEN total / (n - 1) END) AS a,
+             min(CASE WHEN NOT own THEN total / n END) AS b FROM d GROUP BY vec_id)
+SELECT CAST(round(1e6 * avg((b - a) / greatest(a, b))) AS BIGINT) AS silhouette FROM p""")
 def q_silhouette(spark, sf):
-    """M5: silhouette of the embedding clusters, as a one-row frame."""
-    res = _emb_clusters(spark, sf)
-    score = C.silhouette(res)
-    return res.frame.sparkSession.range(1).select(F.lit(score).cast("double").alias("silhouette"))
+    """M5: silhouette (squared euclidean), in millionths.  The evaluator
+    gives one number, which becomes a one-row frame."""
+    score = C.silhouette(_groups(spark, sf))
+    return spark.range(1).select(_micro(F.lit(score).cast("double")).alias("silhouette"))
 
 
-@query("pca_2d")
+@query("pca_2d", f"SELECT vec_id, pc1, pc2 FROM ({PCA_SQL})")
 def q_pca_2d(spark, sf):
-    """M6: two principal components of the scaled features."""
-    res = _emb_clusters(spark, sf)
-    pca, _ = C.pca_2d(res.frame)
+    """M6: two principal components of the scaled features, in millionths
+    without sign (a component's direction is arbitrary)."""
+    pca, _ = C.pca_2d(_groups(spark, sf).frame)
     arr = C.vector_to_array(F.col(C.PCA_OUT))
-    return pca.select("vec_id", arr[0].alias("pc1"), arr[1].alias("pc2"))
+    return pca.select("vec_id", _micro(arr[0]).alias("pc1"), _micro(arr[1]).alias("pc2"))
 
 
-@query("cluster_scatter")
+@query("cluster_scatter", f"SELECT vec_id, first_key, pc1 AS x, pc2 AS y FROM ({PCA_SQL})")
 def q_cluster_scatter(spark, sf):
     """M8 (+X9): x, y, cluster per vector."""
-    res = _emb_clusters(spark, sf)
-    pca, _ = C.pca_2d(res.frame)
-    return C.scatter_points(pca, ["vec_id"])
+    pca, _ = C.pca_2d(_groups(spark, sf).frame)
+    points = C.scatter_points(pca, ["vec_id"])
+    return points.join(_first_keys(points), C.CLUSTER).select(
+        "vec_id", "first_key", _micro(F.col("x")).alias("x"), _micro(F.col("y")).alias("y"))
 
 
 @query("label_map", """
@@ -820,29 +935,103 @@ def q_rank_labels(spark, sf):
                                                                   "Cluster_Type")
 
 
-@query("slum_report")
+SLUM_RESULT_SQL = f"""
+WITH c AS ({S.CITIES_SQL})
+SELECT 'slums' AS job, 'report' AS output, City AS name, round(SlumPopulationMale, 3) AS value FROM c
+UNION ALL SELECT 'slums', 'top10', City, round(SlumPopulationMale, 3) FROM (
+  SELECT * FROM c ORDER BY SlumPopulationTotal DESC NULLS LAST, City LIMIT 10)
+UNION ALL SELECT 'slums', 'sizes', 'all', CAST(count(*) AS DOUBLE) FROM c
+UNION ALL SELECT 'slums', 'scatter', 'all', CAST(count(*) AS DOUBLE) FROM c
+UNION ALL SELECT 'slums', 'means', 'all', round(sum(SlumPopulationMale), 3) FROM c
+UNION ALL SELECT 'slums', 'label_means', 'out of order', CAST(0 AS DOUBLE)
+UNION ALL SELECT 'slums', 'silhouette', 'positive', CAST(1 AS DOUBLE)"""
+
+
+def electricity_sql(exclude: str) -> str:
+    return f"""
+WITH e AS (SELECT 'City' || user_id AS CityName,
+                  CAST(floor(sum(CAST(round(value * 100) AS BIGINT)) / 100) AS DOUBLE) AS total
+           FROM events GROUP BY user_id),
+c AS (SELECT * FROM e WHERE {exclude})
+SELECT 'electricity' AS job, 'report' AS output, CityName AS name, total AS value FROM c
+UNION ALL SELECT 'electricity', 'sizes', 'all', CAST(count(*) AS DOUBLE) FROM c
+UNION ALL SELECT 'electricity', 'scatter', 'all', CAST(count(*) AS DOUBLE) FROM c
+UNION ALL SELECT 'electricity', 'means', 'all', round(sum(total), 3) FROM c
+UNION ALL SELECT 'electricity', 'label_means', 'out of order', CAST(0 AS DOUBLE)
+UNION ALL SELECT 'electricity', 'silhouette', 'positive', CAST(1 AS DOUBLE)"""
+
+
+def published_rows(spark, job: str, table: str, key: str, measure: str, mean: str, label: str,
+                   top: bool = False) -> DataFrame:
+    """All gold tables of a report as (job, output, name, value): its rows,
+    the top ten, the sizes, the means weighted with them, the points of the
+    scatter, how many labels break the order of their means, and whether the
+    silhouette is positive.  Cluster ids are arbitrary, so none appears."""
+    def rows(output, frame, name, value):
+        return frame.select(F.lit(job).alias("job"), F.lit(output).alias("output"), name.alias("name"),
+                            value.cast("double").alias("value"))
+
+    every = F.lit("all")
+    sizes, means = spark.table(f"{table}_sizes"), spark.table(f"{table}_means")
+    ranks = F.array_position(F.array(*[F.lit(x) for x in RANK_LABELS]), F.col(label))
+    ordered = spark.table(f"{table}_label_means").withColumn(
+        "before", F.lag(mean).over(Window.orderBy(ranks)))           # one row per label
+    parts = [
+        rows("report", spark.table(table), F.col(key), F.round(measure, 3)),
+        rows("sizes", sizes.agg(F.sum("City Count").alias("n")), every, F.col("n")),
+        rows("scatter", spark.table(f"{table}_scatter").agg(F.count("x").alias("n")), every, F.col("n")),
+        rows("means", sizes.join(means, C.CLUSTER).agg(
+            F.round(F.sum(F.col("City Count") * F.col(mean)), 3).alias("n")), every, F.col("n")),
+        rows("label_means", ordered.agg(F.count_if(F.col(mean) < F.col("before")).alias("n")),
+             F.lit("out of order"), F.col("n")),
+        rows("silhouette", spark.table(f"{table}_silhouette"), F.lit("positive"),
+             (F.col("silhouette") > 0).cast("int")),
+    ]
+    if top:
+        parts.append(rows("top10", spark.table(f"{table}_top10"), F.col(key), F.round(measure, 3)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def slum_rows(spark, table):
+    return published_rows(spark, "slums", table, REP.SLUM_KEY, REP.SLUM_MEASURE, REP.SLUM_MEASURE,
+                          REP.SLUM_LABEL, top=True)
+
+
+def electricity_rows(spark, table):
+    return published_rows(spark, "electricity", table, REP.ELECTRICITY_KEY, REP.ELECTRICITY_MEASURE,
+                          REP.ELECTRICITY_MEAN_NAME, REP.ELECTRICITY_LABEL)
+
+
+def published_slums(spark, sf) -> str:
+    """The slum job from raw wards to gold; the name of its main table."""
+    table = f"{layer_db(spark, 'gold')}.household_slums_clusters"
+    report, top = REP.slum_report(S.wards_raw(spark, sf))
+    REP.publish(report, table, top)
+    return table
+
+
+@query("slum_report", SLUM_RESULT_SQL)
 def q_slum_report(spark, sf):
-    """Wards -> cities -> clusters -> labelled gold rows (read back)."""
-    rep, _ = REP.slum_report(S.wards_raw(spark, sf))
-    db = layer_db(spark, "gold")
-    return REP.publish(rep, f"{db}.household_slums_clusters")
+    """W3 (with A2, A3, M5, M7, M8, T1): wards -> cities -> clusters -> all
+    gold tables, read back."""
+    return slum_rows(spark, published_slums(spark, sf))
 
 
-@query("electricity_report")
+@query("electricity_report", electricity_sql("CityName NOT IN ('City7', 'City42')"))
 def q_electricity_report(spark, sf):
-    """Electricity by city -> clusters on every numeric column -> gold."""
-    rep = REP.electricity_report(S.electricity_raw(spark, sf), exclude=["City7", "City42"])
-    db = layer_db(spark, "gold")
-    return REP.publish(rep, f"{db}.electricity_clusters")
+    """W4 (M9): electricity by city -> clusters on every numeric column -> gold."""
+    table = f"{layer_db(spark, 'gold')}.electricity_clusters"
+    REP.publish(REP.electricity_report(S.electricity_raw(spark, sf), exclude=["City7", "City42"]), table)
+    return electricity_rows(spark, table)
 
 
 # ============================================================ ingest / catalog
 
 def land_files(spark, sf, root):
     """Landing CSV files made from the driver's tables (raw headers)."""
-    awkward_customer(spark, sf).write.option("header", "true").csv(f"{root}/landing/Customers.csv")
-    T(spark, sf, "orders").drop("o_orderdate").write.option("header", "true") \
-        .csv(f"{root}/landing/orders.csv")
+    awkward_customer(spark, sf).write.option("header", "true").option("sep", ";").csv(
+        f"{root}/landing/Customers.csv")
+    T(spark, sf, "orders").write.option("header", "true").csv(f"{root}/landing/orders.csv")
 
 
 def ingest_config(root: str, silver: str) -> dict:
@@ -851,7 +1040,9 @@ def ingest_config(root: str, silver: str) -> dict:
                     "read_options": {"header": "true", "delimiter": ",", "inferSchema": "true"}},
         "bronze": {"path": f"{root}/bronze", "format": "csv", "write_command": "insert overwrite"},
         "silver": {"db": silver, "table_format": "parquet"},
-        "bronze_silver_mapping": {"Customers.csv": {"table_name": "customer_wards"}},
+        "bronze_silver_mapping": {"Customers.csv": {
+            "table_name": "customer_wards",
+            "read_options": {"header": "true", "delimiter": ";", "inferSchema": "true"}}},
         "audit": {"db": silver, "table": "ingestion_audit"},
     }
 
@@ -865,18 +1056,18 @@ def _ingested(spark, sf):
 
 
 @query("ingest_silver", """
-SELECT CAST(c_custkey AS INTEGER) AS CustKey, c_name AS CustomerName,
-       c_nationkey AS Nation_Key, c_acctbal AS AcctBalUSD, c_mktsegment AS mkt_segment
+SELECT CAST(c_custkey AS BIGINT) AS CustKey, c_name AS CustomerName,
+       CAST(c_nationkey AS BIGINT) AS Nation_Key, c_acctbal AS AcctBalUSD, c_mktsegment AS mkt_segment
 FROM customer""")
 def q_ingest_silver(spark, sf):
-    """Landing -> bronze -> silver with cleaned names."""
+    """Landing (a ';' file) -> bronze -> silver with cleaned names."""
     silver, _ = _ingested(spark, sf)
-    return spark.table(f"{silver}.customer_wards")
+    return as_bigint(spark.table(f"{silver}.customer_wards"), "CustKey", "Nation_Key")
 
 
 @query("ingest_audit", """
 SELECT 'Customers.csv' AS file_name, 'customer_wards' AS table_name,
-       'insert overwrite' AS write_command, count(*) AS table_rows, true AS timed FROM customer
+       'insert overwrite' AS write_command, count(*) AS rows_written, true AS timed FROM customer
 UNION ALL
 SELECT 'orders.csv', 'orders', 'insert overwrite', count(*), true FROM orders""")
 def q_ingest_audit(spark, sf):
@@ -886,7 +1077,7 @@ def q_ingest_audit(spark, sf):
     a = spark.table(f"{silver}.ingestion_audit")
     return a.select(
         "file_name", F.regexp_extract("table_name", r"\.([^.]+)$", 1).alias("table_name"),
-        "write_command", "table_rows",
+        "write_command", "rows_written",
         ((F.col("seconds") >= 0) & (F.col("end_time") >= F.col("start_time"))
          & (F.col("size_kb") > 0)).alias("timed"))
 
@@ -934,11 +1125,17 @@ def q_stream_merge(spark, sf):
     return spark.table(t)
 
 
-@query("workflow")
+@query("workflow", f"""
+SELECT * FROM ({SLUM_RESULT_SQL}) UNION ALL SELECT * FROM ({electricity_sql('true')})
+UNION ALL SELECT 'audit', 'rows_written', 'House_Holds.csv', CAST(count(*) AS DOUBLE)
+          FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'audit', 'rows_written', 'Electricity.csv', CAST(count(DISTINCT user_id) AS DOUBLE)
+          FROM events""")
 def q_workflow(spark, sf):
-    """Ingest the raw city files, then both cluster jobs, in order."""
+    """Ingest the raw city files, then both cluster jobs, in order; the
+    rows of every gold table and of the audit."""
     root = scratch_path(spark, "workflow")
-    S.wards_raw(spark, sf).write.option("header", "true").csv(f"{root}/landing/Wards.csv")
+    S.wards_raw(spark, sf).write.option("header", "true").csv(f"{root}/landing/House_Holds.csv")
     S.electricity_raw(spark, sf).write.option("header", "true") \
         .csv(f"{root}/landing/Electricity.csv")
     silver, gold = layer_db(spark, "silver"), layer_db(spark, "gold")
@@ -947,14 +1144,14 @@ def q_workflow(spark, sf):
                     "read_options": {"header": "true", "inferSchema": "true"}},
         "bronze": {"path": f"{root}/bronze"},
         "silver": {"db": silver}, "gold": {"db": gold},
-        "bronze_silver_mapping": {"Wards.csv": {"table_name": "house_holds_slums"},
+        "bronze_silver_mapping": {"House_Holds.csv": {"table_name": "house_holds_slums"},
                                   "Electricity.csv": {"table_name": "electricity_consumption"}},
-        "jobs": {"slums": {"source": "house_holds_slums"},
-                 "electricity": {"source": "electricity_consumption"}},
     }
-    from .plans.reports import run_all
-    out = run_all(spark, cfg)
-    return out["slums"]
+    audit = REP.run_all(spark, cfg)["audit"]
+    written = audit.select(F.lit("audit").alias("job"), F.lit("rows_written").alias("output"),
+                           F.col("file_name").alias("name"), F.col("rows_written").cast("double").alias("value"))
+    return slum_rows(spark, f"{gold}.household_slums_clusters").unionByName(
+        electricity_rows(spark, f"{gold}.electricity_clusters")).unionByName(written)
 
 
 @query("create_layers", """
@@ -979,41 +1176,54 @@ def q_create_layers(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("list_tables", "SELECT 'customer' AS table_name UNION ALL SELECT 'orders'")
-def q_list_tables(spark, sf):
-    """C4: permanent tables of a layer (a temp view does not count)."""
-    db = layer_db(spark, "silver")
+def row_counts(spark, sf, names) -> DataFrame:
+    """(table_name, row_count) of the driver's tables."""
+    return R.reconcile_counts({n: T(spark, sf, n) for n in names})
+
+
+LAYER_COUNTS_SQL = """
+SELECT 'customer' AS table_name, count(*) AS row_count FROM customer
+UNION ALL SELECT 'orders', count(*) FROM orders"""
+
+
+def _layer_with_tables(spark, sf, prefix: str) -> str:
+    db = layer_db(spark, prefix)
     for t in ("customer", "orders"):
         Wr.insert_table(T(spark, sf, t), f"{db}.{t}")
+    return db
+
+
+@query("list_tables", LAYER_COUNTS_SQL)
+def q_list_tables(spark, sf):
+    """C4: permanent tables of a layer (a temp view does not count), with the
+    rows that each was filled from."""
+    db = _layer_with_tables(spark, sf, "silver")
     T(spark, sf, "nation").createOrReplaceTempView("df")
-    out = CAT.list_tables(spark, db).select("table_name").collect()
+    listed = CAT.list_tables(spark, db).select("table_name")
     spark.catalog.dropTempView("df")
-    return spark.createDataFrame(out, "table_name string")
+    return listed.join(row_counts(spark, sf, ("customer", "orders", "nation")), "table_name", "left")
 
 
-@query("reset_layer", """
-SELECT 'customer' AS dropped, CAST(0 AS BIGINT) AS tables_left
-UNION ALL SELECT 'orders', CAST(0 AS BIGINT)""")
+@query("reset_layer", f"SELECT table_name AS dropped, row_count FROM ({LAYER_COUNTS_SQL})")
 def q_reset_layer(spark, sf):
-    """Every table of a layer dropped through the catalog."""
-    db = layer_db(spark, "gold")
-    for t in ("customer", "orders"):
-        Wr.insert_table(T(spark, sf, t), f"{db}.{t}")
-    dropped = CAT.reset_layer(spark, db)
-    left = CAT.list_tables(spark, db).count()
-    return spark.createDataFrame([(d, left) for d in dropped], "dropped string, tables_left long")
+    """Every table of a layer dropped through the catalog: those that the
+    layer no longer lists, with the rows that each had."""
+    db = _layer_with_tables(spark, sf, "gold")
+    CAT.reset_layer(spark, db)
+    had = row_counts(spark, sf, ("customer", "orders"))
+    return had.join(CAT.list_tables(spark, db), "table_name", "left_anti").withColumnRenamed("table_name", "dropped")
 
 
 @query("table_exists", """
-SELECT 'orders' AS table_name, true AS present UNION ALL SELECT 'ORDERS', true
-UNION ALL SELECT 'missing', false""")
+SELECT 'orders' AS table_name, count(*) AS row_count FROM orders
+UNION ALL SELECT 'ORDERS', count(*) FROM orders""")
 def q_table_exists(spark, sf):
-    """Case-insensitive existence test, for present and absent names."""
+    """Case-insensitive existence test; the rows of the tables that are
+    there, none for an absent name."""
     db = layer_db(spark, "silver")
     Wr.insert_table(T(spark, sf, "orders"), f"{db}.orders")
     names = ["orders", "ORDERS", "missing"]
-    return spark.createDataFrame([(n, Wr.table_exists(spark, n, db)) for n in names],
-                                 "table_name string, present boolean")
+    return R.reconcile_counts({n: spark.table(f"{db}.{n}") for n in names if Wr.table_exists(spark, n, db)})
 
 
 @query("describe_schema", """
@@ -1026,15 +1236,31 @@ SELECT column_name AS col_name,
 FROM (DESCRIBE lineitem)""")
 def q_describe_schema(spark, sf):
     """A table's schema as rows."""
+    return CAT.describe_schema(spark, f"{source_db(spark, sf)}.lineitem")
+
+
+@query("describe_database", """
+SELECT 'Namespace Name' AS info_name, 'silver' AS info_value, count(*) AS row_count FROM customer
+UNION ALL SELECT 'Location', 'silver.db', count(*) FROM customer""")
+def q_describe_database(spark, sf):
+    """A database's name and location (without the part that each run
+    makes up), with the rows of the table in it."""
     db = layer_db(spark, "silver")
-    Wr.insert_table(T(spark, sf, "lineitem"), f"{db}.lineitem", partition_by="l_returnflag")
-    return CAT.describe_schema(spark, f"{db}.lineitem")
+    Wr.insert_table(T(spark, sf, "customer"), f"{db}.customer")
+    info = CAT.describe_database(spark, db).where(F.col("info_name").isin("Namespace Name", "Location"))
+    shown = F.replace(F.regexp_extract("info_value", "([^/]*)$", 1), F.lit(db), F.lit("silver"))
+    counts = spark.table(f"{db}.customer").agg(F.count(F.lit(1)).alias("row_count"))
+    return info.select("info_name", shown.alias("info_value")).join(counts)
 
 
-@query("table_detail")
+@query("table_detail", """
+SELECT 'lineitem' AS name, 'parquet' AS format, true AS has_files, true AS bytes_as_listed, count(*) AS row_count
+FROM lineitem""")
 def q_table_detail(spark, sf):
-    """Format, location, file count and bytes of a table."""
-    db = layer_db(spark, "silver")
-    Wr.insert_table(T(spark, sf, "lineitem"), f"{db}.lineitem", partition_by="l_returnflag")
-    return CAT.table_detail(spark, f"{db}.lineitem").select("name", "format", "num_files",
-                                                            "size_in_bytes")
+    """Format, files and bytes of a table, against a listing of its folder."""
+    table = f"{source_db(spark, sf)}.lineitem"
+    listed = Rd.list_files(spark, f"{sf.rstrip('/')}/lineitem.parquet").agg(F.sum("size_bytes").alias("listed"))
+    counts = spark.table(table).agg(F.count(F.lit(1)).alias("row_count"))
+    return CAT.table_detail(spark, table).join(listed).join(counts).select(
+        F.substring_index("name", ".", -1).alias("name"), "format", (F.col("num_files") > 0).alias("has_files"),
+        (F.col("size_in_bytes") == F.col("listed")).alias("bytes_as_listed"), "row_count")

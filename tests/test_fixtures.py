@@ -141,9 +141,7 @@ def test_workflow_from_landing_to_gold(spark, tmp_path):        # W6
            "silver": {"db": silver}, "gold": {"db": gold},
            "bronze_silver_mapping": {
                "House_Holds_And_Slums.csv": {"table_name": "house_holds_slums"},
-               "Electricity.csv": {"table_name": "electricity_consumption"}},
-           "jobs": {"slums": {"source": "house_holds_slums"},
-                    "electricity": {"source": "electricity_consumption"}}}
+               "Electricity.csv": {"table_name": "electricity_consumption"}}}
     out = run_all(spark, cfg)
     assert sorted(r.table_name for r in
                   spark.sql(f"SHOW TABLES IN {silver}").selectExpr("tableName AS table_name")

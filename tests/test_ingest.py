@@ -80,7 +80,7 @@ def test_command_line_entry(spark, tmp_path, capsys):
     from medallion.__main__ import main
     (tmp_path / "landing").mkdir()
     (tmp_path / "landing" / "w.csv").write_text("a b,c\n1,2\n3,4\n")
-    cfg = _cfg(str(tmp_path), unique_name("silver"))
+    cfg = {**_cfg(str(tmp_path), unique_name("silver")), "jobs": {}}
     p = tmp_path / "cfg.json"
     p.write_text(js.dumps(cfg))
     assert main([str(p)], spark=spark) == 0
