@@ -110,7 +110,8 @@ def reconcile_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
 
 def distinct_joined(df: DataFrame, col: str, sep: str = ",") -> DataFrame:
     """Distinct non-NULL values of a column joined into one string
-    (empty set gives ''), sorted so the string is repeatable.  Meant for a
-    low-cardinality column such as a partition column."""
-    return df.agg(F.concat_ws(sep, F.array_sort(F.collect_set(_q(col).cast("string"))))
-                  .alias(f"{col}_values"))
+    (empty set gives ''), sorted so the string is repeatable.  The string is
+    one row in one task: for partition columns only, whose values a table
+    lists anyway.  The values are made distinct before they meet."""
+    values = df.select(_q(col).cast("string").alias("__value")).distinct()
+    return values.agg(F.concat_ws(sep, F.array_sort(F.collect_list("__value"))).alias(f"{col}_values"))

@@ -548,16 +548,23 @@ def q_api_table(spark, sf):
 
 
 @query("file_listing", """
-SELECT DISTINCT 'l_returnflag=' || l_returnflag AS folder, true AS has_data FROM lineitem""")
+SELECT 'l_returnflag=' || l_returnflag AS folder, true AS same_files, true AS same_bytes, count(*) AS row_count
+FROM lineitem GROUP BY l_returnflag""")
 def q_file_listing(spark, sf):
-    """The files of a written, partitioned folder, listed with name,
-    path and size, then summed per partition folder (one per value)."""
+    """The files of a written, partitioned folder, listed with name, path
+    and size, against what a scan of the folder says of the files it read."""
     path = scratch_path(spark, "listing")
     T(spark, sf, "lineitem").write.partitionBy("l_returnflag").parquet(path)
-    files = Rd.list_files(spark, path)
-    folder = F.element_at(F.split(F.col("path"), "/"), -2)
-    return (files.groupBy(folder.alias("folder"))
-            .agg(((F.count(F.lit(1)) > 0) & (F.sum("size_bytes") > 0)).alias("has_data")))
+    folder = F.element_at(F.split(F.col("path"), "/"), -2).alias("folder")
+    listed = Rd.list_files(spark, path).groupBy(folder).agg(
+        F.count(F.lit(1)).alias("n_listed"), F.sum("size_bytes").alias("listed"))
+    read = spark.read.parquet(path).groupBy(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).count()
+    held = read.groupBy(folder).agg(F.count(F.lit(1)).alias("n_read"), F.sum("size").alias("held"),
+                                    F.sum("count").alias("row_count"))
+    return held.join(listed, "folder").select(
+        "folder", (F.col("n_listed") == F.col("n_read")).alias("same_files"),
+        (F.col("listed") == F.col("held")).alias("same_bytes"), "row_count")
 
 
 # ============================================================ sinks

@@ -3,8 +3,8 @@
 Everything that must outlive a task (staging tables for upserts, bronze
 copies, round-trip files written by the example queries) goes under the
 folder the cluster names in ``spark.checkpoint.dir``.  A machine-local
-temporary folder is only chosen when that setting is absent, which is the
-case in unit tests on a laptop.
+temporary folder is only chosen for a local master without that setting, as
+in unit tests on a laptop; a cluster without it is an error.
 """
 
 from __future__ import annotations
@@ -52,6 +52,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share; "
+                               "a temporary folder would be another disk on each machine")
         root = tempfile.mkdtemp(prefix="medallion-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     elif spark.sparkContext.getCheckpointDir() is None:

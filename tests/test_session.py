@@ -14,3 +14,25 @@ def test_scratch_paths_are_fresh_and_shared(spark):
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(checkpoint_root(spark))
     assert unique_name("t") != unique_name("t")
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    import pytest
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, key, default=None):
+            return default
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = conf = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())
