@@ -21,7 +21,7 @@ from .common import id_text
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-_SPACES = "[\\x20\\x09-\\x0D]"
+_SPACES = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -31,20 +31,20 @@ def split_lines(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """The line without white space at its ends, A-Z in lower case."""
-    return F.translate(F.regexp_replace(line, f"^{_SPACES}+|{_SPACES}+$", ""), _UPPER, _UPPER.lower())
+    return F.translate(F.btrim(line, F.lit(_SPACES)), _UPPER, _UPPER.lower())
 
 
-def _hash(key: Column, min_chars: int) -> Column:
-    return F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key.cast("binary"))))
+def _hash(key: Column) -> Column:
+    return F.unhex(F.md5(key.cast("binary")))
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(hash, doc_id) of the distinct long lines of each document."""
-    exploded = docs.select("doc_id", F.explode(split_lines(F.col("text"))).alias("line"))
-    # the length test first: most lines of junk are short and never hashed
-    longish = exploded.where(F.char_length("line") >= min_chars)
-    return longish.select(_hash(line_key(F.col("line")), min_chars).alias("hash"), "doc_id").where(
-        "hash IS NOT NULL").distinct()
+    """(hash, doc_id) of the distinct long lines of each document.  The keys
+    are made inside the arrays, so that no filter makes them a second time."""
+    keys = F.transform(F.filter(split_lines(F.col("text")), lambda x: F.char_length(x) >= min_chars), line_key)
+    long_keys = F.filter(keys, lambda k: F.char_length(k) >= min_chars)
+    return docs.select("doc_id", F.explode(F.array_distinct(F.transform(long_keys, _hash))).alias("hash")).select(
+        "hash", "doc_id").distinct()
 
 
 def repeated_lines(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -66,8 +66,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("doc_id").alias("drop_id")).agg(F.collect_list("hash").alias("drops"))
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["drop_id"]), "left")
     lines = split_lines(F.col("text"))
-    stays = F.filter(lines, lambda x: ~F.coalesce(
-        F.array_contains(F.col("drops"), _hash(line_key(x), min_chars)), F.lit(False)))
+    # the hashes to drop are of long keys only: no second test of the length
+    stays = F.filter(lines, lambda x: ~F.array_contains(F.col("drops"), _hash(line_key(x))))
     kept = joined.select("doc_id", lines.alias("lines"),
                          F.when(F.col("drops").isNull(), lines).otherwise(stays).alias("kept"), *also)
     return kept.select("doc_id", F.array_join("kept", "\n").alias("text"),
