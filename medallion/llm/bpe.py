@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import ragged_gather, text_slices, texts_of
+from .common import process_cache, ragged_gather, text_slices, texts_of
 
 NONE = np.int32(2 ** 31 - 1)
 MATRIX_CELLS = 1 << 19
@@ -213,15 +213,13 @@ class Bpe:
         return data, np.bincount(owner, weights=sizes, minlength=len(lengths)).astype(np.int64)
 
 
-_LOADED: dict[bytes, Bpe] = {}
-
-
 def load(rank_file: bytes, pattern: str) -> Bpe:
     """One encoder per process and vocabulary."""
     key = hashlib.sha256(rank_file + pattern.encode()).digest()
-    if key not in _LOADED:
-        _LOADED[key] = Bpe(rank_file, pattern)
-    return _LOADED[key]
+    cache = process_cache()
+    if key not in cache:
+        cache[key] = Bpe(rank_file, pattern)
+    return cache[key]
 
 
 def _offsets(lengths: np.ndarray) -> pa.Array:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def process_cache() -> dict:
+    """What tasks of one Python process keep from one another (tables built
+    from a vocabulary).  It hangs on ``sys``: functions sent by value have
+    module globals of their own in every task."""
+    import sys
+    return sys.__dict__.setdefault("_medallion_llm_cache", {})
+
+
+def share(spark: SparkSession, value):
+    """Broadcast an object whose class is defined here; the size of what is
+    shared is bounded by the caller's parameters."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(shared):
+    return cloudpickle.loads(shared.value)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

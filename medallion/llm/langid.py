@@ -6,8 +6,8 @@ present in each.  A few training texts are landmarks; the Nyström map sends a
 text to its kernels with them, whitened; one-versus-rest ridge regression on
 these features is the classifier.  Scoring is one matrix product per batch.
 
-What is fitted on a bounded sample (parameters ``max_examples`` and
-``n_landmarks``): the whole model.  Every row is scored from its whole text.
+What is fitted on a bounded sample (``max_examples`` texts of at most
+``MAX_EXAMPLE_CHARS``, ``n_landmarks`` of them landmarks): the whole model.  Every row is scored from its whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score
 0; with a single training language every other text gets it; without
@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_list, fold_remainder, id_text, text_slices
+from .common import column_list, fold_remainder, id_text, share, shared_value, text_slices
 
 MAX_EXAMPLES = 2000          # training texts, at most
+MAX_EXAMPLE_CHARS = 50_000   # longer texts are not trained on (they are scored)
 N_LANDMARKS = 128            # landmark texts, at most
 RIDGE = 1e-2
 SHARPNESS = 6.0              # of the soft maximum that turns margins into scores
@@ -151,7 +152,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on at most ``max_examples`` rows (the lowest hashes of the id) with
     a language, outside the held-out fold."""
     usable = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"),
-                         docs[lang_col].cast("string").alias("lang")).dropna()
+                         docs[lang_col].cast("string").alias("lang")).dropna().where(
+        F.char_length("text") <= MAX_EXAMPLE_CHARS)
     if held_out is not None:
         usable = usable.where(fold_remainder(F.col("doc_id"), folds) != held_out)
     chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
@@ -163,10 +165,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = shared.value, np.zeros(N_GRAMS, dtype=bool)
+        m, seen = shared_value(shared), np.zeros(N_GRAMS, dtype=bool)
         for big in text_slices(batches):
             for lo in range(0, big.num_rows, 256):
                 part = big.slice(lo, 256)

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder, flatten
-from .common import id_text, text_slices, texts_of
+from .common import id_text, process_cache, text_slices, texts_of
 
 END_ID = 0
 SAMPLE_DOCS = 2000          # documents the dictionary is trained on, at most
@@ -46,12 +46,10 @@ DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 1 << 20
 LEVEL = 3
 
-_LOADED: dict[bytes, ChunkEncoder] = {}
-
 
 def _encoder(vocabulary: bytes) -> ChunkEncoder:
-    key = hashlib.sha256(vocabulary).digest()
-    if key not in _LOADED:
+    key, cache = hashlib.sha256(vocabulary).digest(), process_cache()
+    if key not in cache:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs the tasks side by side
         from tokenizers import Tokenizer
@@ -62,8 +60,8 @@ def _encoder(vocabulary: bytes) -> ChunkEncoder:
         def parts(strings: list[str]):
             return flatten([e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
 
-        _LOADED[key] = ChunkEncoder(parts)
-    return _LOADED[key]
+        cache[key] = ChunkEncoder(parts)
+    return cache[key]
 
 
 def _vocabulary(spark: SparkSession, path: str):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_list, fold_remainder, id_text, staged, text_slices, texts_of
+from .common import column_list, fold_remainder, id_text, share, shared_value, staged, text_slices, texts_of
 
 MAX_EXAMPLES = 6000          # labelled rows used, at most
 MAX_TERMS = 1000             # terms of the vector space, at most
@@ -269,11 +269,11 @@ def score(vectors: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD
           n_evidence: int = 3) -> DataFrame:
     """(doc_id, score, predicted, evidence) of every row; the evidence lists
     the nearest examples (doc_id, toxic, cosine)."""
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+    shared = share(vectors.sparkSession, model)
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared_value(shared)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
