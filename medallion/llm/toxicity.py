@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
-A text becomes a TF-IDF vector over the terms that tell the two labels
-apart; its nearest labelled examples under exact cosine come out of a
+A text becomes a TF-IDF vector over the terms (words and their beginnings)
+that tell the two labels apart; its nearest labelled examples under exact cosine come out of a
 block-max inverted index; their distance-weighted votes, calibrated on the
 examples themselves, are the score, and the neighbours are the evidence.
 
@@ -33,6 +33,8 @@ from .common import column_list, fold_remainder, id_text, share, shared_value, s
 MAX_EXAMPLES = 6000          # labelled rows used, at most
 MAX_TERMS = 1000             # terms of the vector space, at most
 MIN_CHI2 = 24.0              # chance level with some 10**6 candidate terms
+MIN_CHI2_SHARE = 0.05        # of the strongest term's: weaker ones are noise beside it
+PREFIXES = (4, 5, 6)         # lengths of the beginnings that are terms beside the word
 MIN_EXAMPLES_WITH_TERM = 3
 NEIGHBOURS = 15
 BLOCK_ROWS = 64
@@ -42,6 +44,12 @@ NEAREST = 1e-2               # added to distances, so that a copy has a finite w
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def word_terms(word: str) -> list[str]:
+    """A word and its beginnings, marked as such: inflected and compound
+    forms that were never seen whole still share a term."""
+    return [word, *(word[:k] + "~" for k in PREFIXES if len(word) > k)]
+
+
 @dataclass
 class BlockIndex:
     """Examples as unit vectors in blocks; each block keeps the weights of the
@@ -179,10 +187,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_exampl
     return docs.join(F.broadcast(sample), "doc_id")
 
 
-def _chosen_terms(held: DataFrame, n: int, n_toxic: int, max_terms: int) -> list[str]:
+def _chosen_terms(held: DataFrame, max_terms: int) -> list[str]:
     """Terms whose presence depends on the label beyond chance (chi-square of
-    the two-by-two table), the strongest first."""
-    per_term = held.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
+    the two-by-two table), the strongest first.  Copies count as one example."""
+    single = held.groupBy("terms").agg(F.max("toxic").alias("toxic"))
+    n, n_toxic = single.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n_toxic < n:
+        return []
+    per_term = single.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).cast("double").alias("n_with"), F.sum("toxic").cast("double").alias("n_toxic"))
     a, w = F.col("n_toxic"), F.col("n_with")
     diff = a * F.lit(float(n)) - w * F.lit(float(n_toxic))
@@ -190,15 +202,29 @@ def _chosen_terms(held: DataFrame, n: int, n_toxic: int, max_terms: int) -> list
                                             F.lit(float(n_toxic) * float(n - n_toxic)))
     rows = per_term.where(F.col("n_with") >= MIN_EXAMPLES_WITH_TERM).withColumn("chi2", chi2).where(
         F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
-    return [r["term"] for r in rows]
+    return [r["term"] for r in rows if r["chi2"] >= MIN_CHI2_SHARE * rows[0]["chi2"]]
 
 
 def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
         yield pa.RecordBatch.from_arrays([
             part.column(0), part.column(2),
-            pa.array([list(dict.fromkeys(WORD.findall(t.lower()))) for t in texts_of(part)],
-                     pa.list_(pa.string()))], ["doc_id", "toxic", "terms"])
+            pa.array([sorted({x for w in set(WORD.findall(t.lower())) for x in word_terms(w)})
+                      for t in texts_of(part)], pa.list_(pa.string()))], ["doc_id", "toxic", "terms"])
+
+
+class _TermLookup(dict):
+    """Word -> the numbers of its chosen terms, worked out once per word."""
+
+    def __init__(self, position: dict[str, int]):
+        super().__init__()
+        self.position = position
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        found = self[word] = tuple(self.position[t] for t in word_terms(word) if t in self.position)
+        return found
 
 
 def vectorize(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -206,13 +232,19 @@ def vectorize(docs: DataFrame, terms: list[str]) -> DataFrame:
     position = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(position)
+        lookup = _TermLookup(position)
         for part in text_slices(batches):
-            found = [Counter(w for w in WORD.findall(t.lower()) if w in known) for t in texts_of(part)]
+            found = []
+            for text in texts_of(part):
+                counts: Counter = Counter()
+                for word in WORD.findall(text.lower()):
+                    if hit := lookup[word]:
+                        counts.update(hit)
+                found.append(counts)
             yield pa.RecordBatch.from_arrays([
                 part.column(0),
-                pa.array([[position[w] for w in c] for c in found], pa.list_(pa.int32())),
-                pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
+                pa.array([sorted(c) for c in found], pa.list_(pa.int32())),
+                pa.array([[c[t] for t in sorted(c)] for c in found], pa.list_(pa.int32()))],
                 ["doc_id", "terms", "counts"])
 
     return docs.mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
@@ -226,8 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out:
     sample = training_rows(docs, labels, label_col, max_examples, held_out)
     held = staged(sample.select("doc_id", "text", "toxic").mapInArrow(
         _with_terms, "doc_id long, toxic int, terms array<string>"), "toxicity-examples")
-    n, n_toxic = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    terms = _chosen_terms(held, n, n_toxic, max_terms) if 0 < n_toxic < n else []
+    terms = _chosen_terms(held, max_terms)
 
     vectors = staged(vectorize(docs, terms), "toxicity-vectors")
     n_docs = vectors.count()
