@@ -37,7 +37,7 @@ from .common import id_text, text_slices, texts_of
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 18
+RADIUS = 23
 BLOCKS = 8
 ITEMS_PER_BLOCK = 20_000        # items sent to the tasks at once
 

@@ -75,7 +75,7 @@ def test_empty_tables(spark, edge_docs, no_docs):
     assert rows_of(D.find_contamination(edge_docs, bench.limit(0))) == []
 
 
-@pytest.mark.parametrize("radius, blocks", [(3, 8), (18, 8), (7, 16), (0, 8)])
+@pytest.mark.parametrize("radius, blocks", [(3, 8), (23, 8), (7, 16), (0, 8)])
 def test_block_tables_miss_nothing(radius, blocks):
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
