@@ -56,7 +56,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: str) -> int:
         import xxhash
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

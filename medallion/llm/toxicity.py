@@ -221,7 +221,7 @@ class _TermLookup(dict):
         self.position = position
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = tuple(self.position[t] for t in word_terms(word) if t in self.position)
         return found
