@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import column_list, fold_remainder, id_text, share, shared_value, text_slices
 
-MAX_EXAMPLES = 2000          # training texts, at most
+MAX_EXAMPLES = 6000          # training texts, at most
 MAX_EXAMPLE_CHARS = 50_000   # longer texts are not trained on (they are scored)
-N_LANDMARKS = 128            # landmark texts, at most
+N_LANDMARKS = 256            # landmark texts, at most
 RIDGE = 1e-2
 SHARPNESS = 6.0              # of the soft maximum that turns margins into scores
 UNDETERMINED = "und"
@@ -134,13 +134,9 @@ def fit_rows(texts: list[str], langs: list[str], n_landmarks: int = N_LANDMARKS,
     kernels = np.concatenate([model.kernels(texts[lo:lo + 256], seen)[0] for lo in range(0, len(texts), 256)])
     features = kernels.astype(np.float64) @ whiten
     goal = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    # languages weigh alike, however many texts each has
-    weight = (1.0 / (goal > 0).sum(axis=0))[np.argmax(goal, axis=1)]
-    weight /= weight.sum()
-    centre, mean = weight @ features, weight @ goal
+    centre, mean = features.mean(axis=0), goal.mean(axis=0)
     x, y = features - centre, goal - mean
-    solved = np.linalg.solve((x * weight[:, None]).T @ x + ridge / len(texts) * np.eye(x.shape[1]),
-                             (x * weight[:, None]).T @ y)
+    solved = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
     model.weights = (whiten @ solved).astype(np.float32)
     model.bias = (mean - centre @ solved).astype(np.float32)
     return model
