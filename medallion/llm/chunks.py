@@ -5,8 +5,11 @@ before a space that is followed by a visible character: letters, digits and
 other marks take at most one space, in front, and a run of white space
 leaves its last space to what follows.  Texts can therefore be cut there,
 each chunk (its space included) encoded by itself, and equal chunks encoded
-once.  A text with a chunk that is empty or begins with white space (two
-spaces in a row, a space before a line break) is encoded whole instead.
+once.  A comma or full stop between a letter or digit and such a space is a
+match of its own and becomes a chunk, so that a word is one chunk with it and
+without.  A text with a chunk that is empty or begins with white space (two
+spaces in a row, a space before a line break) is encoded whole instead, and
+so is one with such a mark after anything but a letter or digit.
 """
 
 from __future__ import annotations
@@ -34,9 +37,15 @@ class _Numbers(dict):
         return number
 
 
+#: Stand for a comma and a full stop that are chunks; a text that holds these
+#: control characters is encoded whole.
+MARKS = {"\x02": ",", "\x03": "."}
+
+
 class ChunkEncoder:
     """``encode_parts`` maps strings to id arrays; it must treat each string
-    as a text of its own."""
+    as a text of its own.  Of the chunks seen the more frequent half stays
+    when there are more than ``max_cached``."""
 
     def __init__(self, encode_parts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
                  max_cached: int = MAX_CACHED):
@@ -47,39 +56,61 @@ class ChunkEncoder:
     def _reset(self) -> None:
         self.numbers = _Numbers()
         self.ids = np.zeros(0, dtype=np.int32)
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.lengths = np.zeros(0, dtype=np.int64)
-        self.odd = np.zeros(0, dtype=bool)
+        self.starts, self.lengths, self.hits = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.odd, self.solid, self.mark = (np.zeros(0, dtype=bool) for _ in range(3))
+
+    def _trim(self) -> None:
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[:self.max_cached // 2])
+        chunks, self.numbers = list(self.numbers), _Numbers()
+        for i in keep.tolist():
+            self.numbers[chunks[i]] = len(self.numbers)
+        self.ids = ragged_gather(self.ids, self.starts[keep], self.lengths[keep])
+        self.lengths, self.hits = self.lengths[keep], self.hits[keep] // 2
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.odd, self.solid, self.mark = self.odd[keep], self.solid[keep], self.mark[keep]
 
     def _learn(self) -> None:
         new, self.numbers.unseen = self.numbers.unseen, []
         if not new:
             return
+
+        def flags(values):
+            return np.fromiter(values, dtype=bool, count=len(new))
+
         # a tuple marks the first chunk of a text, which has no space in front
-        strings = [c[0] if type(c) is tuple else " " + c for c in new]
-        odd = np.fromiter(((not s or s[:1].isspace()) if type(c) is tuple else (not c or c[:1].isspace())
-                           for c, s in zip(new, strings)), dtype=bool, count=len(new))
+        strings = [c[0] if type(c) is tuple else MARKS[c] if c in MARKS else " " + c for c in new]
+        odd = flags((not s or s[:1].isspace()) if type(c) is tuple else (not c or c[:1].isspace())
+                    for c, s in zip(new, strings))
         ids, lengths = self.encode_parts(["" if o else s for o, s in zip(odd, strings)])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), dtype=np.int64)])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
         self.odd = np.concatenate([self.odd, odd])
+        self.solid = np.concatenate([self.solid, flags(s[-1:].isalnum() for s in strings)])
+        self.mark = np.concatenate([self.mark, flags(c in MARKS for c in new)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, number of ids per text)."""
         if len(self.numbers) > self.max_cached:
-            self._reset()
+            self._trim()
         number, per_text = self.numbers.__getitem__, []
-        for text in texts:
-            chunks = text.split(" ")
+        whole = np.zeros(len(texts), dtype=bool)
+        for i, text in enumerate(texts):
+            if "\x02" in text or "\x03" in text:
+                whole[i], text = True, ""
+            chunks = text.replace(", ", " \x02 ").replace(". ", " \x03 ").split(" ")
             chunks[0] = (chunks[0],)
             per_text.append(np.fromiter(map(number, chunks), dtype=np.int64, count=len(chunks)))
         self._learn()
         counts = np.fromiter(map(len, per_text), dtype=np.int64, count=len(per_text))
         flat = np.concatenate(per_text) if per_text else np.zeros(0, dtype=np.int64)
+        self.hits += np.bincount(flat, minlength=len(self.hits))
         owner = np.repeat(np.arange(len(texts)), counts)
-        whole = np.zeros(len(texts), dtype=bool)
         whole[owner[self.odd[flat]]] = True
+        # a first chunk is never a mark, so the chunk before one is of the same text
+        marks = np.flatnonzero(self.mark[flat])
+        whole[owner[marks[~self.solid[flat[marks - 1]]]]] = True
         flat, owner = flat[~whole[owner]], owner[~whole[owner]]
         sizes = self.lengths[flat]
         ids = ragged_gather(self.ids, self.starts[flat], sizes)
@@ -94,6 +125,19 @@ class ChunkEncoder:
         return np.concatenate([next(right) if w else next(left) for w in whole]).astype(np.int32), n_ids
 
 
+def text_blocks(strings: list[str], max_chars: int = 1 << 14) -> list[str]:
+    """Strings joined to longer texts, in order; a new text begins wherever
+    the next string does not begin with a space and a visible character."""
+    blocks, held, size = [], [], 0
+    for s in strings:
+        if held and (size >= max_chars or s[:1] != " " or len(s) < 2 or s[1].isspace()):
+            blocks.append("".join(held))
+            held, size = [], 0
+        held.append(s)
+        size += len(s)
+    return [*blocks, "".join(held)]
+
+
 def flatten(arrays: list) -> tuple[np.ndarray, np.ndarray]:
     """A list of id lists as one row of ids and the lengths."""
     lengths = np.fromiter(map(len, arrays), dtype=np.int64, count=len(arrays))

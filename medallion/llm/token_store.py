@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, flatten
+from .chunks import ChunkEncoder, flatten, text_blocks
 from .common import id_text, process_cache, text_slices, texts_of
 
 END_ID = 0
@@ -45,6 +45,7 @@ SAMPLE_DOCS = 2000          # documents the dictionary is trained on, at most
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 1 << 20
 LEVEL = 3
+MAX_CACHED = 500_000        # chunks a process keeps
 
 
 def _encoder(vocabulary: bytes) -> ChunkEncoder:
@@ -56,11 +57,22 @@ def _encoder(vocabulary: bytes) -> ChunkEncoder:
 
         tokenizer = Tokenizer.from_str(vocabulary.decode())
         tokenizer.encode_special_tokens = True
+        names = tokenizer.get_vocab(with_added_tokens=False)
+        # byte-level tokens are written with one character to a byte
+        sizes = np.zeros(max(names.values(), default=0) + 1, dtype=np.int64)
+        sizes[list(names.values())] = [len(n) for n in names]
 
         def parts(strings: list[str]):
-            return flatten([e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
-
-        cache[key] = ChunkEncoder(parts)
+            """Strings that may follow one another without changing each
+            other's tokens are encoded as one text, and its ids dealt out by
+            the bytes that they stand for."""
+            blocks = text_blocks(strings)
+            ids, _ = flatten([e.ids for e in tokenizer.encode_batch_fast(blocks, add_special_tokens=False)])
+            ends = np.cumsum(np.fromiter((len(s.encode()) for s in strings), dtype=np.int64, count=len(strings)))
+            cuts = np.searchsorted(np.cumsum(sizes[ids]), ends, side="right")
+            return ids, np.diff(cuts, prepend=0)
+
+        cache[key] = ChunkEncoder(parts, MAX_CACHED)
     return cache[key]
 
 
