@@ -27,10 +27,12 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ from .common import id_text, ragged_gather, share, shared_value, text_slices, te
 THRESHOLD = 0.8
 WORD = re.compile(r"[^\W_]+")
 
-#: Public licence notices, by SPDX identifier.
+#: Public licence notices, by SPDX identifier.  More of them,
+#: the standard headers and the complete texts are in TEMPLATE_FILE.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file '
@@ -79,6 +82,15 @@ TEMPLATES = (
 )
 
 
+TEMPLATE_FILE = "license_templates.jsonl"
+
+
+def all_templates() -> tuple:
+    """The notices above and the templates of the data file."""
+    lines = resources.files(__package__).joinpath(TEMPLATE_FILE).read_text(encoding="utf-8").splitlines()
+    return TEMPLATES + tuple((r["license"], r["text"]) for r in map(json.loads, lines))
+
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -278,10 +290,11 @@ class TemplateIndex:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+                  templates: tuple | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice, first_line, n_lines): one row per document row
-    and licence found in it.  The templates are a fixed list."""
-    shared = share(docs.sparkSession, TemplateIndex(templates, threshold))
+    and licence found in it.  The templates are a fixed list, all of this
+    module and its data file unless others are given."""
+    shared = share(docs.sparkSession, TemplateIndex(all_templates() if templates is None else templates, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared_value(shared)

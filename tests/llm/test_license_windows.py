@@ -68,3 +68,34 @@ def test_lines_of_a_window():
     index = L.TemplateIndex(L.TEMPLATES)
     text = f"{prose(1, 5)}\n{prose(2, 4)} Released under\nthe MIT License. {prose(3, 4)}\n" + "Released under the MIT License. " * 3
     assert index.scan(text) == [("MIT", 1.0, 1, 2)]
+
+
+def test_every_template_has_its_own_name():
+    """Near variants too: no text comes out as its sister licence, alone or inside other text."""
+    templates = L.all_templates()
+    index = L.TemplateIndex(templates)
+    for i, (name, text) in enumerate(templates):
+        for whole in (text, f"{prose(i, 9)} {text}\n{prose(i + 9, 9)}", "\n".join(
+                "# " + " ".join(text.split()[j:j + 9]) for j in range(0, len(text.split()), 9))):
+            found = {n: c for n, c, *_ in index.scan(whole)}
+            assert found == {name: 1.0}, (name, text[:60], found)
+
+
+def test_complete_texts_headers_and_near_variants_are_there():
+    names = {name for name, _ in L.all_templates()}
+    assert {"Apache-2.0", "MIT", "ISC", "Unlicense", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-1.0", "EPL-2.0",
+            "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC-BY-4.0", "CC-BY-ND-4.0",
+            "CC-BY-SA-4.0"} <= names
+    complete = {name for name, text in L.all_templates() if len(text) > 5000}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0"} <= complete
+
+
+def test_headers_of_sister_licences(spark):
+    rows = []
+    for i, (name, what, version) in enumerate([("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"),
+                                               ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")]):
+        text = GPL_HEADER.replace("GNU General", f"GNU {what}").replace("version 3", f"version {version}")
+        rows.append((i, f"{prose(i, 8)}\n/* {text} */\n{prose(i + 5, 8)}", name))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = sorted((i, name, dice) for i, name, dice, *_ in rows_of(L.scan_licenses(docs)))
+    assert got == [(i, name, 1.0) for i, _, name in rows]
