@@ -5,8 +5,8 @@ that tell the two labels apart; its nearest labelled examples under exact cosine
 block-max inverted index; their distance-weighted votes, calibrated on the
 examples themselves, are the score, and the neighbours are the evidence.
 
-What is fitted on a bounded sample (parameters ``max_examples`` and
-``max_terms``): the examples and the term choice.  What covers every row of
+What is fitted on a bounded sample (parameter ``max_examples``): the examples
+and the term choice, which keeps every term beyond the chance level.  What covers every row of
 the corpus: document frequencies, scores.  Texts are read whole, once.
 
 Defined cases: a null text is an empty one; a text without any chosen term
@@ -31,15 +31,14 @@ from pyspark.sql import functions as F
 from .common import column_list, fold_remainder, id_text, share, shared_value, staged, text_slices, texts_of
 
 MAX_EXAMPLES = 6000          # labelled rows used, at most
-MAX_TERMS = 1000             # terms of the vector space, at most
 MIN_CHI2 = 24.0              # chance level with some 10**6 candidate terms
-MIN_CHI2_SHARE = 0.05        # of the strongest term's: weaker ones are noise beside it
 PREFIXES = (4, 5, 6)         # lengths of the beginnings that are terms beside the word
 MIN_EXAMPLES_WITH_TERM = 3
 NEIGHBOURS = 15
 BLOCK_ROWS = 64
 THRESHOLD = 0.7
 NEAREST = 1e-2               # added to distances, so that a copy has a finite weight
+CLEAN_VOTE = 1.0             # weight of the clean vote that every text has
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -63,6 +62,10 @@ class BlockIndex:
     bounds: np.ndarray = None          # block x term: largest weight
     postings: list = field(default_factory=list)   # block -> (terms, weights, first, n)
 
+    def batch_rows(self) -> int:
+        """Rows at a time, so that their vectors take some 16 MB at most."""
+        return max(1, min(512, (4 << 20) // max(1, self.n_terms)))
+
     def vectors(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Unit TF-IDF vectors (rows of zeros where no term occurs)."""
         out = np.zeros((len(rows), self.n_terms), dtype=np.float32)
@@ -72,7 +75,9 @@ class BlockIndex:
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norm, out=out, where=norm > 0)
 
-    def build(self, vectors: np.ndarray) -> None:
+    def build(self, vectors) -> None:
+        """Index the examples; ``vectors`` is an array, or gives the vectors
+        of a slice as one (see ``SparseRows``)."""
         n = len(vectors)
         self.bounds = np.zeros((-(-n // self.block_rows), self.n_terms), dtype=np.float32)
         for b in range(len(self.bounds)):
@@ -123,13 +128,29 @@ class BlockIndex:
         who[rows] = np.take_along_axis(ids, order, axis=1)
 
 
+@dataclass
+class SparseRows:
+    """Term counts of examples, made into vectors a slice at a time: no array
+    of all examples by all terms is held."""
+
+    index: BlockIndex
+    rows: list[tuple[np.ndarray, np.ndarray]]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        return self.index.vectors(self.rows[part])
+
+
 def votes(cosines: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Share of the toxic votes, each weighted by inverse distance (NaN where
-    there is no neighbour)."""
+    there is no neighbour), beside one clean vote that every text has: far
+    neighbours alone, which share one weak term, make no toxic text."""
     weight = np.where(cosines > 0, cosines / (1.0 - cosines + NEAREST), 0.0)
     total = weight.sum(axis=1)
     with np.errstate(invalid="ignore"):
-        return np.where(total > 0, (weight * labels).sum(axis=1) / total, np.nan)
+        return np.where(total > 0, (weight * labels).sum(axis=1) / (total + CLEAN_VOTE), np.nan)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +208,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_exampl
     return docs.join(F.broadcast(sample), "doc_id")
 
 
-def _chosen_terms(held: DataFrame, max_terms: int) -> list[str]:
+def _chosen_terms(held: DataFrame, max_terms: int | None = None) -> list[str]:
     """Terms whose presence depends on the label beyond chance (chi-square of
-    the two-by-two table), the strongest first.  Copies count as one example."""
+    the two-by-two table), the strongest first: all of them, unless a number
+    is asked for.  Copies count as one example."""
     single = held.groupBy("terms").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = single.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_toxic < n:
@@ -200,9 +222,9 @@ def _chosen_terms(held: DataFrame, max_terms: int) -> list[str]:
     diff = a * F.lit(float(n)) - w * F.lit(float(n_toxic))
     chi2 = diff * diff * F.lit(float(n)) / (w * (F.lit(float(n)) - w + 0.5) *
                                             F.lit(float(n_toxic) * float(n - n_toxic)))
-    rows = per_term.where(F.col("n_with") >= MIN_EXAMPLES_WITH_TERM).withColumn("chi2", chi2).where(
-        F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
-    return [r["term"] for r in rows if r["chi2"] >= MIN_CHI2_SHARE * rows[0]["chi2"]]
+    found = per_term.where(F.col("n_with") >= MIN_EXAMPLES_WITH_TERM).withColumn("chi2", chi2).where(
+        F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term")
+    return [r["term"] for r in (found if max_terms is None else found.limit(max_terms)).select("term").collect()]
 
 
 def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +273,7 @@ def vectorize(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out: int | None = 1,
-        max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
+        max_examples: int = MAX_EXAMPLES, max_terms: int | None = None,
         neighbours: int = NEIGHBOURS) -> tuple[ToxicityModel, DataFrame]:
     """The model, and the term counts of all documents it was fitted with."""
     docs = id_text(docs)
@@ -275,17 +297,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out:
     ids = np.array([r["doc_id"] for r in examples], dtype=np.int64)
 
     index = BlockIndex(ids, toxic, idf, len(terms))
-    dense = index.vectors(sparse)
-    used = np.flatnonzero(dense.any(axis=1)) if len(terms) else np.zeros(0, dtype=np.int64)
+    used = np.array([i for i, (own, _) in enumerate(sparse) if len(own)], dtype=np.int64)
     empty = np.setdiff1d(np.arange(len(examples)), used)
     base = float(toxic.mean()) if len(toxic) else 0.0
     no_evidence = float((toxic[empty].sum() + base) / (len(empty) + 1)) if len(examples) else 0.0
     if len(used):
         # like examples share blocks: bounds stay tight
-        order = used[np.lexsort((ids[used], dense[used].argmax(axis=1), toxic[used]))]
+        leading = np.array([own[((1.0 + np.log(counts)) * idf[own]).argmax()] for own, counts in
+                            (sparse[i] for i in used)])
+        order = used[np.lexsort((ids[used], leading, toxic[used]))]
         index.ids, index.toxic = ids[order], toxic[order]
-        index.build(dense[order])
-        cosines, who = index.search(dense[order], neighbours, skip=np.arange(len(order)))
+        vectors_of = SparseRows(index, [sparse[i] for i in order])
+        index.build(vectors_of)
+        step = index.batch_rows()
+        near = [index.search(vectors_of[lo:lo + step], neighbours, skip=np.arange(lo, min(lo + step, len(order))))
+                for lo in range(0, len(order), step)]
+        cosines, who = (np.concatenate(x) for x in zip(*near))
         vote = votes(cosines, index.toxic[who] * (who >= 0))
         sure = ~np.isnan(vote)
         knots = isotonic(vote[sure], index.toxic[sure].astype(float))
@@ -306,8 +333,9 @@ def score(vectors: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared_value(shared)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            step = m.index.batch_rows()
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
                 rows = [(np.asarray(t, dtype=np.int64), np.asarray(c, dtype=np.float64))
                         for t, c in zip(column_list(part, "terms"), column_list(part, "counts"))]
                 scores, cosines, who = m.score(rows)
