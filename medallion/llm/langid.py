@@ -34,10 +34,12 @@ RIDGE = 1e-2
 SHARPNESS = 6.0              # of the soft maximum that turns margins into scores
 UNDETERMINED = "und"
 
-BITS = 6                     # of a character code: 0 any non-letter, 1..62 letters, 63 other letters
+BITS = 6                     # of a character code: 0 any non-letter, 1..62 frequent letters, 63 other letters
 _CODES = 1 << BITS
+_OTHER = _CODES - 1
 _OFFSETS = (0, _CODES, _CODES + _CODES ** 2)
-N_GRAMS = _CODES + _CODES ** 2 + _CODES ** 3
+N_GRAMS = _CODES + _CODES ** 2 + _CODES ** 3   # an n-gram with a letter of code 63 has a number from here on
+_POINT_BITS = 21             # of a code point, plus one
 
 
 def _points(text: str) -> np.ndarray:
@@ -46,7 +48,12 @@ def _points(text: str) -> np.ndarray:
 
 @dataclass
 class Alphabet:
-    """Code of every character; letters are numbered by their frequency."""
+    """Code of every character; letters are numbered by their frequency.
+
+    The codes are a short cut for frequent letters: an n-gram of these has a
+    number below ``N_GRAMS`` and is looked up in flags.  Any other n-gram is
+    numbered by its code points, so that all letters of all scripts differ.
+    """
 
     table: np.ndarray
 
@@ -55,44 +62,74 @@ class Alphabet:
         points, counts = np.unique(np.concatenate([_points(t) for t in texts] or [np.zeros(0, np.uint32)]),
                                    return_counts=True)
         order = np.lexsort((points, -counts))
-        letters = [int(p) for p in points[order] if chr(p).isalpha()][:_CODES - 2]
+        letters = [int(p) for p in points[order] if chr(p).isalpha()][:_OTHER - 1]
         table = np.zeros(0x110000, dtype=np.uint8)
-        table[[c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]] = _CODES - 1
+        table[[c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]] = _OTHER
         table[letters] = np.arange(1, len(letters) + 1)
         return cls(table)
 
     def present(self, text: str, seen: np.ndarray) -> tuple[np.ndarray, bool]:
-        """(numbers of the n-grams present, whether there is a letter);
-        ``seen`` is an all-false work array of N_GRAMS flags."""
-        own = self.table[_points(text)]
+        """(numbers of the n-grams present, ascending, whether there is a
+        letter); ``seen`` is an all-false work array of N_GRAMS flags."""
+        points = _points(text)
+        own = self.table[points]
         codes = np.zeros(len(own) + 2, dtype=np.int32)
         codes[1:-1] = own
         pairs = codes[:-1] * _CODES + codes[1:]
-        seen[codes] = True
-        seen[_OFFSETS[1] + pairs] = True
-        seen[_OFFSETS[2] + pairs[:-1] * _CODES + codes[2:]] = True
+        triples = pairs[:-1] * _CODES + codes[2:]
+        rare = codes == _OTHER
+        if not rare.any():
+            seen[codes] = True
+            seen[_OFFSETS[1] + pairs] = True
+            seen[_OFFSETS[2] + triples] = True
+            found = np.flatnonzero(seen)
+            seen[found] = False
+            return found, bool(own.any())
+        rare_pairs = rare[:-1] | rare[1:]
+        rare_triples = rare_pairs[:-1] | rare[2:]
+        seen[codes[~rare]] = True
+        seen[_OFFSETS[1] + pairs[~rare_pairs]] = True
+        seen[_OFFSETS[2] + triples[~rare_triples]] = True
         found = np.flatnonzero(seen)
         seen[found] = False
-        return found, bool(own.any())
+        # one is any non-letter, so that n-grams of different orders differ
+        letters = np.ones(len(codes), dtype=np.int64)
+        letters[1:-1][own > 0] += points[own > 0]
+        wide = (letters[:-1] << _POINT_BITS) | letters[1:]
+        others = np.unique(np.concatenate([
+            letters[rare], wide[rare_pairs], ((wide[:-1] << _POINT_BITS) | letters[2:])[rare_triples]]))
+        return np.concatenate([found, N_GRAMS + others]), True
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
     alphabet: Alphabet
-    column: np.ndarray           # n-gram -> column of the landmark matrix, or -1
+    column: np.ndarray           # n-gram below N_GRAMS -> column of the landmark matrix, or -1
+    others: np.ndarray           # the other n-grams of the landmarks, ascending: the last columns
     landmarks: np.ndarray        # column x landmark: present, over the root of the landmark's count
     weights: np.ndarray          # landmark x language (whitening and regression in one)
     bias: np.ndarray
 
+    def columns(self, found: np.ndarray) -> np.ndarray:
+        """Columns of those n-grams that a landmark has."""
+        split = int(np.searchsorted(found, N_GRAMS))
+        near = self.column[found[:split]]
+        near = near[near >= 0]
+        if split == len(found) or not len(self.others):
+            return near
+        rest = found[split:]
+        at = np.minimum(np.searchsorted(self.others, rest), len(self.others) - 1)
+        first = len(self.landmarks) - len(self.others)
+        return np.concatenate([near, first + at[self.others[at] == rest]])
+
     def kernels(self, texts: list[str], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(kernels with the landmarks, whether each text has a letter)."""
         rows = np.zeros((len(texts), len(self.landmarks)), dtype=np.float32)
         letters = np.zeros(len(texts), dtype=bool)
         for i, text in enumerate(texts):
             found, letters[i] = self.alphabet.present(text, seen)
-            columns = self.column[found]
-            rows[i, columns[columns >= 0]] = 1.0 / np.sqrt(len(found))
+            rows[i, self.columns(found)] = 1.0 / np.sqrt(len(found))
         return rows @ self.landmarks, letters
 
     def predict(self, texts: list[str], seen: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -121,12 +158,13 @@ def fit_rows(texts: list[str], langs: list[str], n_landmarks: int = N_LANDMARKS,
               if turn < len(own)][:n_landmarks]
     grams = [alphabet.present(texts[i], seen)[0] for i in chosen]
     known = np.unique(np.concatenate(grams))
+    split = int(np.searchsorted(known, N_GRAMS))
     column = np.full(N_GRAMS, -1, dtype=np.int32)
-    column[known] = np.arange(len(known))
+    column[known[:split]] = np.arange(split)
     landmarks = np.zeros((len(known), len(chosen)), dtype=np.float32)
+    model = LanguageModel(languages, alphabet, column, known[split:], landmarks, None, None)
     for j, found in enumerate(grams):
-        landmarks[column[found], j] = 1.0 / np.sqrt(len(found))
-    model = LanguageModel(languages, alphabet, column, landmarks, None, None)
+        landmarks[model.columns(found), j] = 1.0 / np.sqrt(len(found))
     among = (landmarks.T @ landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(among)
     keep = values > 1e-8 * values.max()
