@@ -3,8 +3,9 @@
 Each stage takes what the one before kept, calls one operator of
 ``medallion.llm`` and returns a DataFrame, which is written as Parquet and
 read again for the next.  All but the last return the columns of documents.
-Rows without an id can be named by no decision and are kept by the stages
-that drop documents.
+Decisions are applied to the rows themselves, which are known by a hash of
+their id and text: rows without an id, and rows that share one, are judged
+each by its own text.
 """
 
 from __future__ import annotations
@@ -13,21 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medallion.llm import decontaminate, line_dedup, simhash_tiles, toxicity
-from medallion.llm.common import keep_ids, read_table, staged
+from medallion.llm.common import read_table, staged
 from medallion.llm.queries import bpe_digests
 
 #: The toxicity scores come from a fitted model, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return keep_ids(docs, rejected.where("doc_id IS NOT NULL"), "doc_id", "left_anti")
+ROW = "__medallion_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a number of each distinct (doc_id, text); nulls count."""
+    return docs.withColumn(ROW, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
+def _rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of whole rows on their number."""
+    return _keyed(docs).join(keys.distinct(), ROW, how).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    scored = toxicity.classify(docs, read_table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1"))
+    """Rows that the classifier rejects go."""
+    scored = toxicity.classify(_keyed(docs), read_table(spark, sf_dir, "labels"), row_col=ROW)
+    return _rows(docs, scored.where("predicted = 1").select(F.col("row").alias(ROW)), "left_anti")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +48,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one that names it;
-    exact repeats of its row go too."""
-    found = simhash_tiles.near_duplicates(docs)
-    return _without(docs, found.where("doc_id <> component_id")).dropDuplicates(["doc_id", "text"])
+    """One row of each near-duplicate group stays, the one of the lowest id
+    (null ids come last); exact repeats of it go too."""
+    keyed = _keyed(docs)
+    found = simhash_tiles.near_duplicates(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = keyed.select(ROW, F.col("doc_id").isNull().alias("no_id"), "doc_id").distinct()
+    first = found.distinct().join(ids, ROW).groupBy("component_id").agg(
+        F.min(F.struct("no_id", "doc_id", ROW))[ROW].alias(ROW))
+    return _rows(docs, first.select(ROW), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark")))
+    """Rows that hold a benchmark item go."""
+    found = decontaminate.find_contamination(_keyed(docs), read_table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return _rows(docs, found.select(F.col("doc_id").alias(ROW)), "left_anti")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

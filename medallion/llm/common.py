@@ -63,13 +63,6 @@ def fold_remainder(id_column: Column, folds: int = 3) -> Column:
     return F.crc32(id_column.cast("string")) % F.lit(folds)
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    """Semi or anti join of whole rows on a nullable id (null matches null)."""
-    side = ids.select(F.col("doc_id").alias("__medallion_id")).distinct()
-    return docs.join(side, docs[id_col].eqNullSafe(side["__medallion_id"]), how).select(
-        *[docs[c] for c in docs.columns])
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one piece stay near a bound
     (one longer text is a piece of its own)."""

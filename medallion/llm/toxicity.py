@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_list, fold_remainder, id_text, share, shared_value, staged, text_slices, texts_of
+from .common import column_list, fold_remainder, share, shared_value, staged, text_slices, texts_of
 
 MAX_EXAMPLES = 6000          # labelled rows used, at most
 MIN_CHI2 = 24.0              # chance level with some 10**6 candidate terms
@@ -250,8 +250,10 @@ class _TermLookup(dict):
 
 
 def vectorize(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms, counts): the chosen terms of every whole text."""
+    """(doc_id, terms, counts): the chosen terms of every whole text; a column
+    ``row`` goes along."""
     position = {t: i for i, t in enumerate(terms)}
+    also = [c for c in docs.columns if c == "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _TermLookup(position)
@@ -266,17 +268,21 @@ def vectorize(docs: DataFrame, terms: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 part.column(0),
                 pa.array([sorted(c) for c in found], pa.list_(pa.int32())),
-                pa.array([[c[t] for t in sorted(c)] for c in found], pa.list_(pa.int32()))],
-                ["doc_id", "terms", "counts"])
+                pa.array([[c[t] for t in sorted(c)] for c in found], pa.list_(pa.int32())),
+                *[part.column(part.schema.get_field_index(c)) for c in also]],
+                ["doc_id", "terms", "counts", *also])
 
-    return docs.mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+    return docs.mapInArrow(run, ", ".join(["doc_id long, terms array<int>, counts array<int>",
+                                           *[f"{c} long" for c in also]]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out: int | None = 1,
         max_examples: int = MAX_EXAMPLES, max_terms: int | None = None,
-        neighbours: int = NEIGHBOURS) -> tuple[ToxicityModel, DataFrame]:
-    """The model, and the term counts of all documents it was fitted with."""
-    docs = id_text(docs)
+        neighbours: int = NEIGHBOURS, row_col: str | None = None) -> tuple[ToxicityModel, DataFrame]:
+    """The model, and the term counts of all documents it was fitted with;
+    ``row_col`` is a number of the caller's that stays with each row, as ``row``."""
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"),
+                       *([docs[row_col].cast("long").alias("row")] if row_col is not None else []))
     sample = training_rows(docs, labels, label_col, max_examples, held_out)
     held = staged(sample.select("doc_id", "text", "toxic").mapInArrow(
         _with_terms, "doc_id long, toxic int, terms array<string>"), "toxicity-examples")
@@ -326,7 +332,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out:
 def score(vectors: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
           n_evidence: int = 3) -> DataFrame:
     """(doc_id, score, predicted, evidence) of every row; the evidence lists
-    the nearest examples (doc_id, toxic, cosine)."""
+    the nearest examples (doc_id, toxic, cosine).  A column ``row`` goes along."""
+    also = [c for c in vectors.columns if c == "row"]
     shared = share(vectors.sparkSession, model)
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
@@ -345,11 +352,12 @@ def score(vectors: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD
                         for cs, ws in zip(cosines, who)]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)),
-                    pa.array(near, evidence)], ["doc_id", "score", "predicted", "evidence"])
+                    pa.array(near, evidence), *[part.column(part.schema.get_field_index(c)) for c in also]],
+                    ["doc_id", "score", "predicted", "evidence", *also])
 
     return vectors.mapInArrow(
-        run, "doc_id long, score double, predicted int, "
-             "evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+        run, ", ".join(["doc_id long, score double, predicted int, "
+                        "evidence array<struct<doc_id:long,toxic:int,cosine:double>>", *[f"{c} long" for c in also]]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
