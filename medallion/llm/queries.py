@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import bpe, decontaminate, fingerprints, langid, licenses, line_dedup, secret_scan, simhash_tiles, token_store, toxicity
+from . import bpe, decontaminate, fingerprints, hard_negatives, langid, licenses, line_dedup, secret_scan, \
+    simhash_tiles, token_store, topk_search, toxicity
 from .common import fold_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +168,45 @@ def op10_secret_scan(spark, sf):
         "doc_id", *[F.size(of(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE_RULES)],
         F.sha2(secret_scan.span_text(base, rules).cast("binary"), 256).alias("base_sha256"),
         secret_scan.span_text(F.col("found"), rules).alias("spans"))
+
+
+VECTORS_SQL = """
+  SELECT DISTINCT vec_id, label, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"""
+
+
+@query("op11_hard_negatives", f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v
+           FROM ({VECTORS_SQL}) WHERE label IS NOT NULL),
+scored AS (
+  SELECT DISTINCT a.vec_id AS anchor_id, a.label AS own, a.v AS av, c.vec_id, a.label = c.label AS same,
+         list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, own, av, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, own, av ORDER BY score DESC, vec_id) <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.own, p.av, p.positive_id, p.positive_score
+                            ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.own = p.own AND s.av = p.av AND NOT s.same
+   AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 10""")
+def op11_hard_negatives(spark, sf):
+    rows = read_table(spark, sf, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_topk_search", f"""
+WITH v AS (SELECT DISTINCT vec_id, v FROM ({VECTORS_SQL})),
+pairs AS (
+  SELECT DISTINCT q.vec_id AS query_id, q.v AS qv, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 5""")
+def op13_topk_search(spark, sf):
+    return topk_search.top_k(read_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
