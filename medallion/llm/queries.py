@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import bpe, decontaminate, fingerprints, hard_negatives, langid, licenses, line_dedup, secret_scan, \
-    simhash_tiles, token_store, topk_search, toxicity
+from . import bpe, cross_tokenizer, decontaminate, fingerprints, hard_negatives, langid, licenses, line_dedup, \
+    secret_scan, simhash_tiles, token_store, topk_search, toxicity
 from .common import fold_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +200,13 @@ def op11_hard_negatives(spark, sf):
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+@query("op12_cross_tokenizer")
+def op12_cross_tokenizer(spark, sf):
+    return cross_tokenizer.link_scores(read_table(spark, sf, "documents"),
+                                       public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_topk_search", f"""
 WITH v AS (SELECT DISTINCT vec_id, v FROM ({VECTORS_SQL})),
 pairs AS (
