@@ -58,3 +58,31 @@ def test_carried_columns(docs):
 
 def test_empty_table(no_docs):
     assert rows_of(L.dedup_lines(no_docs)) == []
+
+
+def test_rows_without_an_id_may_stand_apart(spark):
+    rows = [(None, f"{i}\n{LONG}") for i in range(6)] + [(None, f"0\n{LONG}")] + [(None, f"{LONG} x\n{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    together, apart = (L.dedup_lines(df, null_rows_apart=x).collect() for x in (False, True))
+    assert all(r["n_dropped"] == 0 for r in together)               # one document holds them all
+    left = [r["text"] for r in apart if r["text"].endswith(LONG)]
+    assert len(set(left)) == 1 and sum(r["n_dropped"] for r in apart) == 7 - len(left)
+    mixed = L.dedup_lines(df.union(spark.createDataFrame([(3, LONG)], df.schema)), null_rows_apart=True).collect()
+    assert [r["doc_id"] for r in mixed if LONG in r["text"].split("\n")] == [3]      # an id goes before none
+
+
+def test_time_grows_with_the_lines(spark):
+    """A third of the rows without an id, one text of 100,000 repeated lines
+    and one of 10 MB: results by counting."""
+    import time
+    many = [f"{LONG} number {i}" for i in range(2000)]
+    rows = [(None if i % 3 == 0 else i, "\n".join(many[(i * 7) % 1900:(i * 7) % 1900 + 60])) for i in range(900)]
+    rows += [(5000 + i, "\n".join(many)) for i in range(5)]
+    rows += [(4000, "\n".join(many * 50)), (4001, "\n".join(f"{LONG} own {i}" for i in range(160_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    started = time.time()
+    found = {r["doc_id"]: r for r in L.dedup_lines(df).where("doc_id >= 4000").select(
+        "doc_id", "n_lines", "n_dropped").collect()}
+    assert time.time() - started < 60
+    assert (found[4000]["n_lines"], found[4000]["n_dropped"]) == (100_000, 100_000)
+    assert found[4001]["n_dropped"] == 0 and [found[5000 + i]["n_dropped"] for i in range(5)] == [2000] * 4 + [0]
