@@ -20,6 +20,7 @@ are matched whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as _c
 from re import _parser
@@ -149,30 +150,53 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 # ---- spans
 
+RUN = 128       # matches counted in one go
+
+
 def match_spans(text: Column, rule: Rule, number: int) -> Column:
     """array<struct<start, kind, end>> of one rule's matches in a text.
 
     The text between the matches gives their places: a match starts after
-    the gaps up to it and the matches before it.
+    the gaps up to it and the matches before it.  Places are counted within
+    runs of ``RUN`` matches and then moved by what stands before each run, so
+    the work grows with the matches, not with their square.
     """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     tested = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    parts = F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)).alias("gap"),
-                         whole.alias("whole"), tested.alias("tested"))
+    sizes = F.transform(F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)).alias("gap"),
+                                     whole.alias("whole"), tested.alias("tested")),
+                        lambda p: F.struct(F.char_length(p["gap"]).alias("gap"), F.char_length(p["whole"]).alias("size"),
+                                           (F.char_length(p["tested"]) >= rule.min_length).alias("long")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
     def step(acc: Column, part: Column) -> Column:
-        begin = acc["at"] + F.char_length(part["gap"])
-        end = begin + F.char_length(part["whole"])
+        begin = acc["at"] + part["gap"]
+        end = begin + part["size"]
         span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        spans = F.when(F.char_length(part["tested"]) >= rule.min_length,
-                       F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        return F.struct(end.alias("at"), F.when(part["long"], F.concat(acc["spans"], F.array(span))).otherwise(
+            acc["spans"]).alias("spans"))
+
+    def run(parts: Column) -> Column:
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)
+
+    def runs_of(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")),
+                           lambda i: run(F.slice(parts, i * RUN + 1, RUN)))
+
+    def moved(runs: Column) -> Column:
+        before = F.aggregate(runs, F.array(F.lit(0)), lambda acc, r: F.concat(
+            acc, F.array(F.element_at(acc, -1) + r["at"])))
+        return F.flatten(F.zip_with(runs, F.slice(before, 1, F.size(runs)), lambda r, by: F.transform(
+            r["spans"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"),
+                                           (s["end"] + by).alias("end")))))
+
+    return F.when(F.regexp_like(text, pattern), _let(sizes, lambda parts: _let(runs_of(parts), moved))).otherwise(empty)
+
 
-    return F.when(F.regexp_like(text, pattern), F.aggregate(parts, start, step, lambda acc: acc["spans"])).otherwise(
-        empty)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...]) -> Column:
