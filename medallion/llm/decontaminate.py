@@ -17,22 +17,23 @@ occur in some item, over the whole text.  Nothing else is skipped.
 Defined cases: null or empty texts and items without words match nothing;
 items of fewer words than a shingle count as one shingle of their whole
 sequence; of equal similarities the smaller item id, then the earlier window
-is reported; repeated rows are reported once each; null item ids are kept as
-null; an empty benchmark or document table gives an empty result.
+is reported; repeated rows are reported once each, equal items count once;
+null item ids are kept as null; an empty benchmark or document table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import id_text, text_slices, texts_of
 
 SHINGLE_WORDS = 5
@@ -40,6 +41,7 @@ SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS = 8
 ITEMS_PER_BLOCK = 20_000        # items sent to the tasks at once
+STRIP = 1 << 16                 # shingles whose windows are formed at once
 
 WORD = re.compile(r"\w+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -202,40 +204,51 @@ class Benchmark:
                     # the text is shorter than the item: it is the one window
                     starts, span = np.zeros(1, dtype=np.int64), len(row)
                 else:
-                    at = places[sizes == size]
-                    starts = np.unique(np.clip(at[:, None] - np.arange(span)[None, :], 0, last))
-                lo, hi = int(starts[0]), int(starts[-1]) + span
-                fps = simhash_windows(row[lo:hi], starts - lo, span)
+                    starts = window_starts(places[sizes == size], span, last)
                 ids, counts, tables = self.groups[size]
-                held = (-1, None)
-                for q, i in zip(*(x.tolist() for x in tables.search(fps))):
-                    s = int(starts[q])
-                    if held[0] != s:
-                        held = (s, Counter(row[s:s + span].tolist()))
-                    similarity = weighted_jaccard(held[1], counts[i])
-                    if similarity >= self.similarity:
-                        key = (size, i)
-                        if key not in best or similarity > best[key][1]:
-                            best[key] = (ids[i], similarity, s, span + width - 1)
+                for strip in strips(starts):
+                    lo, hi = int(strip[0]), int(strip[-1]) + span
+                    fps = simhash_windows(row[lo:hi], strip - lo, span)
+                    held = (-1, None)
+                    for q, i in zip(*(x.tolist() for x in tables.search(fps))):
+                        s = int(strip[q])
+                        if held[0] != s:
+                            held = (s, Counter(row[s:s + span].tolist()))
+                        similarity = weighted_jaccard(held[1], counts[i])
+                        if similarity >= self.similarity:
+                            key = (size, i)
+                            if key not in best or similarity > best[key][1]:
+                                best[key] = (ids[i], similarity, s, span + width - 1)
         return list(best.values())
 
 
-def item_blocks(items: DataFrame, per_block: int) -> list[list[tuple]]:
-    """The benchmark in blocks of bounded size, in item order; each block is
-    fetched only when its turn comes."""
-    n = items.count()
-    if n <= per_block:
-        return [[tuple(r) for r in items.collect()]] if n else []
-    bounds = [None, *items.approxQuantile("doc_id", [i / -(-n // per_block) for i in range(1, -(-n // per_block))],
-                                          1e-3), None]
-    blocks = []
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = items.where((F.lit(lo is None) | (F.col("doc_id") > F.lit(lo))) &
-                           (F.lit(hi is None) | (F.col("doc_id") <= F.lit(hi))))
-        blocks.append([tuple(r) for r in part.collect()])
-    if items.where("doc_id IS NULL").head(1):
-        blocks.append([tuple(r) for r in items.where("doc_id IS NULL").collect()])
-    return blocks
+def window_starts(places: np.ndarray, span: int, last: int) -> np.ndarray:
+    """Starts (0 to ``last``) of the windows of ``span`` shingles that hold
+    one of these places."""
+    steps = np.zeros(last + 2, dtype=np.int64)
+    np.add.at(steps, np.maximum(places - span + 1, 0), 1)
+    np.add.at(steps, np.minimum(places, last) + 1, -1)
+    return np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+
+
+def strips(starts: np.ndarray, room: int = STRIP) -> Iterator[np.ndarray]:
+    """Ascending starts in strips that span at most ``room`` shingles."""
+    lo = 0
+    while lo < len(starts):
+        hi = int(np.searchsorted(starts, starts[lo] + room))
+        yield starts[lo:hi]
+        lo = hi
+
+
+def item_blocks(items: DataFrame, per_block: int) -> Iterator[list[tuple]]:
+    """The distinct items in blocks of about ``per_block``, dealt by a hash
+    of item and text, so neither an id nor its absence fills one.  A block is
+    fetched when its turn comes."""
+    items = items.distinct()
+    n = -(-items.count() // per_block)
+    place = F.pmod(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"), F.lit(max(n, 1)))
+    for i in range(n):
+        yield [tuple(r) for r in items.where(place == i).collect()]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -244,15 +257,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                        radius: int = RADIUS, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): one row per
     document row and item found in it.  The benchmark goes to the tasks in
-    blocks of at most ``items_per_block`` items."""
+    blocks of about ``items_per_block`` items; if there are several, each one's
+    matches are written before the next is fetched."""
     docs = id_text(docs, id_col, text_col)
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
     spark = docs.sparkSession
-    found = []
-    for block in item_blocks(id_text(benchmark, item_col, item_text_col), items_per_block):
+    items = id_text(benchmark, item_col, item_text_col)
+
+    def search(block: list[tuple]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(shared.value, shingle_words, radius, similarity)
             for part in text_slices(batches):
                 words = [bench.hashes(normal_words(t)) for t in texts_of(part)]
@@ -266,5 +281,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                             pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))],
                         ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-        found.append(docs.mapInArrow(run, schema))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+        return docs.mapInArrow(run, schema)
+
+    blocks = item_blocks(items, items_per_block)
+    first = next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    second = next(blocks, None)
+    if second is None:
+        return search(first)
+    folder = scratch_path(spark, "contamination")
+    for block in itertools.chain([first, second], blocks):
+        search(block).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)

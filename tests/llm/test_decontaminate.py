@@ -86,3 +86,45 @@ def test_block_tables_miss_nothing(radius, blocks):
     got = set(zip(*(a.tolist() for a in D.BlockTables(fps, radius, blocks).search(queries))))
     near = np.bitwise_count(queries[:, None] ^ fps[None, :]) <= radius
     assert got == set(zip(*(a.tolist() for a in np.nonzero(near))))
+
+
+def test_window_starts_and_strips():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n, span = int(rng.integers(5, 60)), int(rng.integers(1, 6))
+        last = n - span
+        if last < 0:
+            continue
+        places = rng.integers(0, n, size=int(rng.integers(1, 9)))
+        want = sorted({min(max(int(p) - k, 0), last) for p in places for k in range(span)})
+        starts = D.window_starts(places, span, last)
+        assert starts.tolist() == want
+        cut = list(D.strips(starts, 7))
+        assert np.concatenate(cut).tolist() == want and all(c[-1] - c[0] < 7 for c in cut)
+
+
+def test_a_text_of_megabytes_that_repeats_an_item():
+    """Memory is bounded by strips; the first best window is found."""
+    import time
+    item = prose(77, 30)
+    bench = D.Benchmark([(1, item), (None, prose(78, 12))])
+    filler = prose(5, 9000)
+    text = " ".join([filler] * 6 + [f"{item} {prose(6, 40)}"] * 4000 + [filler] * 60)
+    assert len(text) > 5_000_000
+    words = bench.hashes(D.normal_words(text))
+    started = time.time()
+    (found,) = bench.matches(words)
+    assert found[:2] == (1, 1.0) and found[2] == 6 * 9000 and time.time() - started < 90
+
+
+def test_hot_and_null_item_ids_are_dealt_out(spark, edge_docs):
+    items = [(7, prose(500 + i, 12)) for i in range(60)] + [(None, prose(600 + i, 12)) for i in range(60)]
+    bench = spark.createDataFrame([*items, *items[:5]], "item_id long, text string")
+    blocks = list(D.item_blocks(D.id_text(bench, "item_id", "text"), 20))
+    assert len(blocks) == 6 and max(map(len, blocks)) < 45
+    assert sorted((r for b in blocks for r in b), key=repr) == sorted(items, key=repr)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(items)], "doc_id long, text string")
+    found = D.find_contamination(docs, bench, items_per_block=20)
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in found.collect()) == [
+        (i, 7 if i < 60 else 0) for i in range(120)]
