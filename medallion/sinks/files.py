@@ -45,11 +45,44 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of text."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if it is not there."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return None
+    source = fs.open(p)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.delete(p, True)
 
 
+def delete_empty_parents(spark: SparkSession, path: str, root: str) -> None:
+    """Remove the folders between ``root`` and ``path`` that are left empty."""
+    folder = parent(path)
+    while folder.startswith(f"{root}/"):
+        p, fs = _path(spark, folder)
+        if not fs.exists(p) or any(not s.getPath().getName().startswith((".", "_SUCCESS")) for s in fs.listStatus(p)):
+            return
+        fs.delete(p, True)
+        folder = parent(folder)
+
+
 def move(spark: SparkSession, src: str, dst: str) -> None:
     """Rename a folder, making the parents of its new name."""
     p, fs = _path(spark, src)

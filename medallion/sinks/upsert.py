@@ -7,19 +7,23 @@ columns only narrow the match; the target need not be partitioned by them.
 Matched rows take every column of the update; unmatched updates are
 inserted; a target row matched by two update rows is an error.
 
+Column names match without regard to case, as in SQL.
+
 Plan: the batch is staged once.  The target's real partition columns come
 from its own scan.  Only partitions that hold a matched row or receive an
 update row are rewritten: their remaining rows (an anti join with the
 update keys, the scan pruned by a typed IN list) and the updates are
-written once, beside the target, and moved in by renaming folders.  A
-partition left without rows is removed.  An unpartitioned target is one
-such partition.  The anti join shuffles on the keys (or broadcasts them
-when AQE measures them small); a hot key meets at most one update row, and
-AQE's skew handling splits the large side.
-
-The swap is a rename per partition folder, not one atomic commit as in
-Delta.  If it breaks, nothing is lost: both versions lie in the folder
-named by the error.
+written once, to a folder of their own.  A partition left without rows is
+removed.  An unpartitioned target is one such partition.  The anti join
+shuffles on the keys (or broadcasts them when AQE measures them small); a
+hot key meets at most one update row, and AQE's skew handling splits the
+large side.  A table that ``buckets.create_bucketed`` laid out by key hash
+is rewritten bucket by bucket instead (see there).
+
+A catalog table is switched to the new files by ``SET LOCATION`` (see
+``versions``).  A plain folder, or a table whose partitions the catalog does
+not keep, has its partition folders renamed one by one; if that breaks,
+nothing is lost: both versions lie in the folder named by the error.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files
+from . import files, versions
 from .writers import DEFAULT_FORMAT, _cols, create_table, staged, write_path
 
 
@@ -38,12 +42,28 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def check_columns(target: DataFrame, updates: DataFrame) -> None:
-    """Both sides must have the same columns; nothing is dropped or made up."""
-    missing = [c for c in target.columns if c not in updates.columns]
-    extra = [c for c in updates.columns if c not in target.columns]
-    if missing or extra:
+def check_columns(target: DataFrame, updates: DataFrame) -> DataFrame:
+    """The updates under the target's column names, in its order.  Both must
+    have the same columns, but for case; nothing is dropped or made up."""
+    sensitive = target.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+
+    def key(name: str) -> str:
+        return name if sensitive else name.lower()
+
+    have: dict[str, list[str]] = {}
+    for c in updates.columns:
+        have.setdefault(key(c), []).append(c)
+    missing = [c for c in target.columns if key(c) not in have]
+    extra = [c for c in updates.columns if key(c) not in map(key, target.columns)]
+    if missing or extra or any(len(v) > 1 for v in have.values()):
         raise ValueError(f"updates do not match the target: missing {missing}, extra {extra}")
+    return updates.select(*[_quoted(have[key(c)][0]).alias(c) for c in target.columns])
+
+
+def _own_names(target: DataFrame, names: list[str]) -> list[str]:
+    """Column names as the target writes them."""
+    own = {c.lower(): c for c in target.columns}
+    return [n if n in target.columns else own.get(n.lower(), n) for n in names]
 
 
 def partition_values(updates: DataFrame, p: str) -> list:
@@ -79,7 +99,7 @@ def check_single_match(target: DataFrame, updates: DataFrame, keys: list[str]) -
 
 def _key_join(target: DataFrame, updates: DataFrame, keys: list[str], inside: Column, how: str) -> DataFrame:
     names = [f"__key{i}" for i in range(len(keys))]
-    side = updates.select(*[_quoted(k).alias(n) for k, n in zip(keys, names)]).distinct()
+    side = updates.select(*[_quoted(k).alias(n) for k, n in zip(keys, names)])
     on = inside
     for k, n in zip(keys, names):
         on = on & (_quoted(k) == F.col(n))
@@ -93,7 +113,7 @@ def merge_frames(target: DataFrame, updates: DataFrame, keys: str | Sequence[str
     keys, parts = _cols(keys), _cols(partition_by)
     if not keys:
         raise ValueError("upsert needs merge keys (D7)")
-    check_columns(target, updates)
+    updates = check_columns(target, updates)
     inside = match_predicate(updates, parts)
     if check:
         check_single_match(target.where(inside), updates, keys)
@@ -121,23 +141,23 @@ def _named(df: DataFrame, rows: list, parts: list[str]) -> DataFrame:
 
 
 def _rewrite(spark: SparkSession, target: DataFrame, updates: DataFrame, keys: list[str],
-             predicate: list[str], fmt: str) -> None:
-    """Write the touched partitions of a folder of files anew and swap them in."""
+             predicate: list[str], fmt: str, table: str | None) -> None:
+    """Write the touched partitions of a table or folder anew and switch to
+    them: by the catalog for a ``table``, by renaming folders else."""
     (root,) = files.scan_roots(target)
     parts = files.partition_columns(target)
     inside = match_predicate(updates, predicate)
     check_single_match(target.where(inside), updates, keys)
     side = f"{files.parent(root)}/.upsert-{uuid.uuid4().hex[:12]}"
-    old_folders = [""]
+    new = versions.new_folder(root, bool(parts)) if table else f"{side}/new"
+    old: dict = {}
     try:
         if parts:
             cols = [_quoted(p) for p in parts]
             matched = _key_join(target, updates, keys, inside, "left_semi").select(*cols)
             touched = matched.union(updates.select(*cols)).distinct().collect()
             part = _named(target, touched, parts)
-            folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1)
-            old = [files.from_uri(spark, r[0]) for r in part.select(folder).distinct().collect()]
-            old_folders = sorted(f[len(root):].strip("/") for f in old)
+            old = versions.folders_now(part, parts)
         else:
             part = target
         kept = _key_join(part, updates, keys, inside, "left_anti")
@@ -146,24 +166,28 @@ def _rewrite(spark: SparkSession, target: DataFrame, updates: DataFrame, keys: l
         if parts:
             # rows of one partition together, large partitions in several tasks
             writer = result.hint("rebalance", *[_quoted(p) for p in parts])
-        writer.write.format(fmt).partitionBy(*parts).save(f"{side}/new")
+        writer.write.format(fmt).partitionBy(*parts).save(new)
+        if table:
+            if parts:
+                versions.switch_partitions(spark, table, root, old, versions.folders_written(spark, new))
+            else:
+                versions.switch_table(spark, table, root, new)
     except BaseException:
-        files.delete_path(spark, side)
+        files.delete_path(spark, new if table else side)
         raise
+    if table:
+        return
+    old_folders = sorted(f[len(root):].strip("/") for f in old.values()) if parts else [""]
     try:
         for rel in old_folders:
             files.move(spark, f"{root}/{rel}".rstrip("/"), f"{side}/old/{rel}".rstrip("/"))
-        for rel in files.leaf_folders(spark, f"{side}/new") if parts else [""]:
-            files.move(spark, f"{side}/new/{rel}".rstrip("/"), f"{root}/{rel}".rstrip("/"))
+        for rel in files.leaf_folders(spark, new) if parts else [""]:
+            files.move(spark, f"{new}/{rel}".rstrip("/"), f"{root}/{rel}".rstrip("/"))
     except Exception as exc:
         raise OSError(f"the swap broke off; the old and new files are under {side}") from exc
     files.delete_path(spark, side)
 
 
-def _table_properties(spark: SparkSession, table: str) -> dict[str, str]:
-    return {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
-
-
 def delta_upsert(updates: DataFrame, keys: list[str], parts: list[str], table: str | None,
                  path: str | None) -> bool:
     """K7-K9 with Delta's own MERGE, used when ``fmt="delta"`` and the
@@ -195,13 +219,16 @@ def delta_upsert(updates: DataFrame, keys: list[str], parts: list[str], table: s
 
 def upsert(updates: DataFrame, keys: str | Sequence[str] | None, *, table: str | None = None,
            path: str | None = None, partition_by: str | Sequence[str] | None = None,
-           fmt: str = DEFAULT_FORMAT, on_empty: str = "skip") -> bool:
+           fmt: str = DEFAULT_FORMAT, on_empty: str = "skip", n_buckets: int | None = None) -> bool:
     """K7 + K8 + K9 on a table (``table``) or a folder (``path``).
 
     ``partition_by`` narrows the match; for a target that this call creates
-    it is the partitioning too.  A folder is created only when the file
+    it is the partitioning too.  ``n_buckets`` makes a table that this call
+    creates a bucketed one (see ``buckets``).  A folder is created only when the file
     system says that it is absent or empty; one that cannot be read as
     ``fmt`` is an error and stays as it is."""
+    from . import buckets
+
     spark: SparkSession = updates.sparkSession
     keys = _cols(keys)
     parts = _cols(partition_by)
@@ -220,7 +247,12 @@ def upsert(updates: DataFrame, keys: str | Sequence[str] | None, *, table: str |
         if on_empty == "skip" and updates.isEmpty():
             return False
         if table and not spark.catalog.tableExists(table):             # K9
-            create_table(updates, table, fmt, parts)
+            if n_buckets:
+                if parts:
+                    raise ValueError("a bucketed table is partitioned by its buckets only")
+                buckets.create_bucketed(updates, table, keys, n_buckets, fmt)
+            else:
+                create_table(updates, table, fmt, parts)
             return True
         if path and not files.has_entries(spark, path):                # K9 for paths
             write_path(updates, path, "append", fmt, parts, on_empty="write")
@@ -228,15 +260,22 @@ def upsert(updates: DataFrame, keys: str | Sequence[str] | None, *, table: str |
         if table:
             spark.catalog.refreshTable(table)
         target = spark.table(table) if table else spark.read.format(fmt).load(path)
-        check_columns(target, updates)
-        updates = updates.select(*[_quoted(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
-        if table:
-            properties = _table_properties(spark, table)
-            _rewrite(spark, target, updates, keys, parts, properties.get("Provider", fmt))
-            if properties.get("Partition Provider") == "Catalog":
-                spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
-            spark.catalog.refreshTable(table)
-        else:
-            _rewrite(spark, target, updates, keys, parts, fmt)
+        keys, parts = _own_names(target, keys), _own_names(target, parts)
+        if table and buckets.is_bucketed(spark, table):
+            buckets.merge(spark, table, target, updates, keys, parts)
+            return True
+        updates = _typed(target, check_columns(target, updates))
+        if not table:
+            _rewrite(spark, target, updates, keys, parts, fmt, None)
             spark.catalog.refreshByPath(path)
+            return True
+        properties = versions.table_properties(spark, table)
+        fmt = properties.get("Provider", fmt)
+        known = versions.switchable(properties, bool(files.partition_columns(target)))
+        _rewrite(spark, target, updates, keys, parts, fmt, table if known else None)
+        spark.catalog.refreshTable(table)
     return True
+
+
+def _typed(target: DataFrame, updates: DataFrame) -> DataFrame:
+    return updates.select(*[_quoted(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])

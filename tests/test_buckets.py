@@ -1,0 +1,196 @@
+"""Upserts into a table bucketed by key (K7, J2), and switches by the catalog."""
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from medallion.sinks import buckets as B
+from medallion.sinks import upsert as U
+from medallion.sinks import versions as V
+from medallion.sinks import writers as W
+from tests.test_plans import plan
+from tests.test_upsert import BASE, SCHEMA, _model_merge, rows
+
+
+def bucketed(spark, db, base=BASE, n=4):
+    t = f"{db}.b"
+    assert U.upsert(spark.createDataFrame(base, SCHEMA), "k", table=t, n_buckets=n)
+    return t
+
+
+def files_of(spark, table):
+    return {r[0]: r[1] for r in spark.table(table).select("key_bucket", "_metadata.file_path").distinct().collect()}
+
+
+def test_bucketed_upsert(spark, db):
+    t = bucketed(spark, db)
+    assert B.is_bucketed(spark, t) and B.read_bucketed(spark, t).columns == ["k", "p", "v"]
+    upd = spark.createDataFrame([(2, "z", 21.0), (7, "c", 70.0), (None, "b", 41.0)], SCHEMA)
+    for _ in range(2):      # the second time the NULL key comes in again, as in MERGE
+        U.upsert(upd, "k", table=t)
+    assert rows(B.read_bucketed(spark, t)) == rows(spark.createDataFrame(
+        [(1, "a", 10.0), (2, "z", 21.0), (3, "b", 30.0), (None, "b", 40.0), (5, "c", 50.0), (7, "c", 70.0),
+         (None, "b", 41.0), (None, "b", 41.0)], SCHEMA))
+    spread = spark.table(t).where("k is not null").selectExpr("key_bucket = pmod(hash(k), 4)").distinct().collect()
+    assert [r[0] for r in spread] == [True]
+
+
+def test_untouched_buckets_keep_their_files(spark, db):
+    t = bucketed(spark, db, [(i, "a", float(i)) for i in range(40)] + [(None, "n", 0.0)], 8)
+    before = files_of(spark, t)
+    touched = spark.range(1).selectExpr("pmod(hash(3), 8)").collect()[0][0]
+    U.upsert(spark.createDataFrame([(3, "b", 33.0)], SCHEMA), "k", table=t)
+    after = files_of(spark, t)
+    assert {b for b in before if before[b] != after[b]} == {touched}
+    assert B.read_bucketed(spark, t).count() == 41
+
+
+def test_only_the_batch_is_shuffled(spark, db):
+    """No Exchange stands above the scan of the target."""
+    t = bucketed(spark, db, [(i, "a", float(i)) for i in range(400)], 8)
+    updates = spark.createDataFrame([(i, "b", 0.0) for i in range(3)], SCHEMA).withColumn(
+        "key_bucket", B.bucket_of(["k"], 8))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        part = spark.table(t).where("key_bucket IN (1, 2, 5)")
+        merged = B.merged_buckets(part, updates, ["k"])
+        merged.write.format("noop").mode("overwrite").save()
+        text = plan(merged)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    tree = text.split("\n\n")[0].splitlines()
+    join = next(i for i, ln in enumerate(tree) if "SortMergeJoin" in ln)
+    scan = next(i for i, ln in enumerate(tree) if "Scan parquet" in ln)
+    assert join < scan and not any("Exchange" in ln for ln in tree[join:scan]), "\n".join(tree)
+    assert "Bucketed: true" in text and "key_bucket" in next(
+        ln for ln in text.splitlines() if ln.startswith("PartitionFilters"))
+
+
+def test_a_large_bucket_is_read_as_files(spark, db, monkeypatch):
+    t = bucketed(spark, db, [(1, "a", float(i)) for i in range(50)] + [(i, "a", 0.0) for i in range(2, 20)], 4)
+    monkeypatch.setattr(B, "MAX_BUCKET_BYTES", 1)
+    U.upsert(spark.createDataFrame([(1, "b", 1.0), (3, "b", 3.0), (30, "b", 30.0)], SCHEMA), "k", table=t)
+    got = B.read_bucketed(spark, t)
+    assert got.where("k = 1").count() == 1 and got.where("p = 'b'").count() == 3 and got.count() == 20
+    monkeypatch.undo()
+    U.upsert(spark.createDataFrame([(3, "c", 4.0)], SCHEMA), "k", table=t)
+    assert rows(B.read_bucketed(spark, t).where("k = 3")) == [(3, "c", 4.0)]
+
+
+def test_keys_must_be_the_buckets_keys(spark, db):
+    t = bucketed(spark, db)
+    for keys, parts in (("p", None), ("k", "p")):
+        with pytest.raises(ValueError, match="bucketed by"):
+            U.upsert(spark.createDataFrame(BASE, SCHEMA), keys, table=t, partition_by=parts)
+    with pytest.raises(ValueError, match="several update rows"):
+        U.upsert(spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0)], SCHEMA), "k", table=t)
+    assert rows(B.read_bucketed(spark, t)) == rows(spark.createDataFrame(BASE, SCHEMA))
+
+
+_some = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)), st.sampled_from(["a", "b"]),
+                           st.integers(0, 99).map(float)), max_size=8)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(base=_some, upd=_some)
+def test_bucketed_upsert_matches_model(spark, base, upd):
+    from medallion.session import unique_name
+    upd = [r for i, r in enumerate(upd) if r[0] is None or r[0] not in {q[0] for q in upd[:i]}]
+    db = unique_name("hb")
+    spark.sql(f"CREATE DATABASE {db}")
+    B.create_bucketed(spark.createDataFrame(base, SCHEMA), f"{db}.t", "k", 3)
+    U.upsert(spark.createDataFrame(upd, SCHEMA), "k", table=f"{db}.t")
+    got = sorted((tuple(r) for r in B.read_bucketed(spark, f"{db}.t").collect()), key=repr)
+    spark.sql(f"DROP DATABASE {db} CASCADE")
+    assert got == _model_merge(base, upd, False)
+
+
+# ------------------------------------------------------------------ switches
+
+@pytest.mark.parametrize("parts", [None, "p"])
+def test_a_failure_before_the_switch_changes_nothing(spark, db, parts, monkeypatch):
+    t = f"{db}.s"
+    W.insert_table(spark.createDataFrame(BASE, SCHEMA), t, partition_by=parts)
+
+    def broken(*a):
+        raise OSError("injected")
+
+    monkeypatch.setattr(V, "set_location", broken)
+    with pytest.raises(OSError, match="injected"):
+        U.upsert(spark.createDataFrame([(1, "a", 0.0), (8, "new", 8.0)], SCHEMA), "k", table=t)
+    assert rows(spark.table(t).select("k", "p", "v")) == rows(spark.createDataFrame(BASE, SCHEMA))
+    monkeypatch.undo()
+    U.upsert(spark.createDataFrame([(1, "a", 0.0), (8, "new", 8.0)], SCHEMA), "k", table=t)
+    assert spark.table(t).where("k in (1, 8)").selectExpr("sum(v)").collect()[0][0] == 8.0
+
+
+def test_a_failure_between_partitions_is_undone(spark, db, monkeypatch):
+    t = f"{db}.s"
+    W.insert_table(spark.createDataFrame(BASE, SCHEMA), t, partition_by="p")
+    right, calls = V.set_location, []
+
+    def third_fails(*a):
+        calls.append(a)
+        if len(calls) == 3:
+            raise OSError("injected")
+        right(*a)
+
+    monkeypatch.setattr(V, "set_location", third_fails)
+    with pytest.raises(OSError, match="injected"):
+        U.upsert(spark.createDataFrame([(1, "a", 0.0), (3, "b", 0.0), (5, "c", 0.0), (9, "x", 9.0)], SCHEMA), "k",
+                 table=t)
+    assert len(calls) > 3 and rows(spark.table(t).select("k", "p", "v")) == rows(spark.createDataFrame(BASE, SCHEMA))
+    assert {r[0] for r in spark.sql(f"SHOW PARTITIONS {t}").collect()} == {"p=a", "p=b", "p=c"}
+
+
+def test_switch_is_one_statement(spark, db):
+    from medallion.sinks import files
+    t = f"{db}.s"
+    W.insert_table(spark.createDataFrame(BASE, SCHEMA), t)
+    (first,) = files.scan_roots(spark.table(t))
+    for i in range(3):
+        U.upsert(spark.createDataFrame([(1, "a", float(i))], SCHEMA), "k", table=t)
+    (last,) = files.scan_roots(spark.table(t))
+    assert last.startswith(first + ".v-") and last.count(".v-") == 1 and not files.exists(spark, first)
+    with pytest.raises(OSError, match="meanwhile"):
+        V.switch_table(spark, t, first, first)
+    W.insert_table(spark.createDataFrame(BASE, SCHEMA), t, overwrite=True)
+    assert spark.table(t).count() == len(BASE)
+    spark.sql(f"DROP TABLE {t}")
+    assert not files.exists(spark, last)
+    W.insert_table(spark.createDataFrame(BASE, SCHEMA), t)      # the name is free again
+    assert spark.table(t).count() == len(BASE)
+
+
+def test_partition_outside_the_root(spark, db, tmp_path):
+    t, away = f"{db}.s", str(tmp_path / "away")
+    W.insert_table(spark.createDataFrame(BASE, SCHEMA), t, partition_by="p")
+    spark.createDataFrame([(20, 200.0), (21, 210.0)], "k int, v double").write.parquet(away)
+    spark.sql(f"ALTER TABLE {t} ADD PARTITION (p = 'far') LOCATION '{away}'")
+    U.upsert(spark.createDataFrame([(20, "far", 0.0), (3, "far", 3.0)], SCHEMA), "k", table=t)
+    assert rows(spark.table(t).select("k", "p", "v").where("p = 'far' or k = 3")) == \
+        [(20, "far", 0.0), (21, "far", 210.0), (3, "far", 3.0)]
+    assert spark.read.parquet(away).count() == 2                # its own folder stays as it was
+    W.insert_table(spark.createDataFrame([(1, "far", 1.0)], SCHEMA), t, overwrite=True, partition_by="p",
+                   partition_mode="dynamic")
+    assert rows(spark.table(t).where("p = 'far'").select("k", "p", "v")) == [(1, "far", 1.0)]
+
+
+def test_odd_partition_values(spark, db):
+    odd = ["a/b", "it's", "back\\slash", "50% off", "x=y", "", None, "ü n"]
+    t = f"{db}.s"
+    base = [(i, p, 0.0) for i, p in enumerate(odd)]
+    W.insert_table(spark.createDataFrame(base, SCHEMA), t, partition_by="p")
+    for _ in range(2):
+        U.upsert(spark.createDataFrame([(i, p, 1.0) for i, p in enumerate(odd)], SCHEMA), "k", table=t)
+    assert sorted((r.k, r.v) for r in spark.table(t).collect()) == [(i, 1.0) for i in range(len(odd))]
+    assert {r.p for r in spark.table(t).collect()} == {p or None for p in odd}
+
+
+def test_names_match_without_case(spark, db):
+    t = f"{db}.s"
+    W.insert_table(spark.createDataFrame(BASE, SCHEMA), t, partition_by="p")
+    U.upsert(spark.createDataFrame([("a", 1.5, 1)], "P string, V double, K int"), "K", table=t, partition_by="P")
+    assert rows(spark.table(t).where("k = 1").select("k", "p", "v")) == [(1, "a", 1.5)]
+    assert spark.table(t).columns == ["k", "v", "p"]
