@@ -8,18 +8,17 @@ checked with ``isEmpty`` (a one-row probe, not a count).
 
 from __future__ import annotations
 
-import threading
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, unique_name
 from . import files
 
 DEFAULT_FORMAT = "parquet"
-_MODE_LOCK = threading.RLock()
 
 
 def _cols(part_cols: str | Sequence[str] | None) -> list[str]:
@@ -30,21 +29,42 @@ def _cols(part_cols: str | Sequence[str] | None) -> list[str]:
     return list(part_cols)
 
 
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+
+
+def own_session(spark: SparkSession, settings: Mapping[str, str]) -> SparkSession:
+    """A session of its own over the same catalog, cache and cluster: the
+    settings of ``spark`` with some changed, seen by nobody else."""
+    own = spark.newSession()
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        if own.conf.isModifiable(key) and own.conf.get(key, None) != value:
+            own.conf.set(key, value)
+    own.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
+    return own
+
+
 @contextmanager
-def partition_overwrite_mode(spark: SparkSession, mode: str):
-    """Set ``spark.sql.sources.partitionOverwriteMode`` for one write.
-
-    ``insertInto`` ignores the write option of that name, so the session
-    setting is switched around the call.  The setting is read when the write
-    is planned, so a lock lets one thread at a time switch it and write."""
-    key = "spark.sql.sources.partitionOverwriteMode"
-    with _MODE_LOCK:
-        old = spark.conf.get(key)
-        spark.conf.set(key, mode.upper())
-        try:
-            yield
-        finally:
-            spark.conf.set(key, old)
+def in_overwrite_mode(df: DataFrame, mode: str):
+    """``df`` in a session whose partition overwrite mode is ``mode``.
+
+    ``insertInto`` ignores the write option of that name and takes the
+    session's setting when it runs.  Where the frame's session has another
+    one, the frame is handed to a session of its own (as a global temporary
+    view, which keeps the plan as it is), so writes of several threads go on
+    side by side and no setting changes under them.  An ``Observation`` on the
+    frame hears of writes in its own session only: give that the mode first
+    (``own_session``), as the ingest does."""
+    spark = df.sparkSession
+    if spark.conf.get(OVERWRITE_MODE).upper() == mode.upper():
+        yield df
+        return
+    own = own_session(spark, {OVERWRITE_MODE: mode.upper()})
+    name = unique_name("overwrite")
+    df.createGlobalTempView(name)
+    try:
+        yield own.table(f"{spark.conf.get('spark.sql.globalTempDatabase', 'global_temp')}.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
 
 
 def table_exists(spark: SparkSession, table: str, schema: str | None = None) -> bool:
@@ -70,6 +90,18 @@ def create_table(df: DataFrame, table: str, fmt: str = DEFAULT_FORMAT,
     w.saveAsTable(table)
 
 
+#: Partition columns of a table that streams append to (see ``streaming``).
+STREAM_COLUMNS = {"ingest_stream": "string", "ingest_batch": "bigint"}
+
+
+def unstreamed(df: DataFrame, target: DataFrame) -> DataFrame:
+    """Rows of a batch job for a table that streams append to as well: they
+    belong to no stream."""
+    if any(c not in target.columns or c in df.columns for c in STREAM_COLUMNS):
+        return df
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in STREAM_COLUMNS.items()})
+
+
 def _order_for_insert(df: DataFrame, target_cols: list[str], parts: list[str],
                       by_position: bool) -> DataFrame:
     if by_position:
@@ -101,20 +133,21 @@ def insert_table(df: DataFrame, table: str, overwrite: bool = False,
     if not exists:
         create_table(df, table, fmt, parts, location)
         return True
-    target = spark.table(table).columns
-    ordered = _order_for_insert(df, target, parts, by_position)
+    target = spark.table(table)
+    ordered = _order_for_insert(unstreamed(df, target), target.columns, parts, by_position)
     if not overwrite:
         ordered.write.insertInto(table)
         return True
-    with partition_overwrite_mode(spark, partition_mode):
-        try:
-            ordered.write.insertInto(table, overwrite=True)
-        except AnalysisException as exc:
-            if "UNSUPPORTED_OVERWRITE" not in (exc.getCondition() or ""):
-                raise
-            # the frame reads the table it overwrites: stage it, then swap it in
-            with staged(ordered) as held:
-                held.write.insertInto(table, overwrite=True)
+    try:
+        with in_overwrite_mode(ordered, partition_mode) as frame:
+            frame.write.insertInto(table, overwrite=True)
+    except AnalysisException as exc:
+        if "UNSUPPORTED_OVERWRITE" not in (exc.getCondition() or ""):
+            raise
+        # the frame reads the table it overwrites: stage it, then swap it in
+        with staged(ordered) as held, in_overwrite_mode(held, partition_mode) as frame:
+            frame.write.insertInto(table, overwrite=True)
+    spark.catalog.refreshTable(table)
     return True
 
 

@@ -8,10 +8,11 @@ scheduled like the batch ingest.
 Spark may hand a micro-batch over again after a failure (at least once).
 Both modes make that harmless:
 
-* append: the batch is written beside the table, then its files are renamed
-  into it under names that carry the stream and the batch.  A replay first
-  removes what that batch had brought in, so its rows count once.  The files
-  are ordinary table files: batch appends and streamed ones add up.
+* append: the table is partitioned by stream and batch, and a micro-batch
+  overwrites its own partition (Spark's dynamic partition overwrite).  A
+  replay writes the same partition again, so its rows count once.  Batch
+  appends to the same table go to the partition without a stream, so both
+  add up.  ``streamed_rows`` reads the table without the two columns.
 * merge: the batch is upserted on its keys; a replay writes the same rows
   over themselves.  That holds only for rows that can match, so a NULL key
   or a NULL ``partition_by`` value is refused.
@@ -28,30 +29,30 @@ from pyspark.sql import functions as F
 from ..functions.names import clean_silver_names
 from ..sinks import files
 from ..sinks.upsert import upsert
+from ..sinks.writers import DEFAULT_FORMAT, STREAM_COLUMNS, create_table, insert_table
+
+
+def create_streamed(df: DataFrame, table: str, fmt: str = DEFAULT_FORMAT) -> None:
+    """A table that streams and batch jobs append to; ``df`` are its first
+    rows (of no stream)."""
+    create_table(df.withColumns({c: F.lit(None).cast(t) for c, t in STREAM_COLUMNS.items()}), table, fmt,
+                 list(STREAM_COLUMNS))
+
+
+def streamed_rows(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of such a table without its layout columns."""
+    return spark.table(table).drop(*STREAM_COLUMNS)
 
 
 def append_once(batch: DataFrame, batch_id: int, table: str, stream: str) -> None:
-    """Add a micro-batch to an unpartitioned table of files, replacing what
-    an earlier try of the same batch left there."""
-    spark = batch.sparkSession
-    spark.catalog.refreshTable(table)
-    target = spark.table(table)
-    if files.partition_columns(target):
-        raise ValueError("a streamed append needs an unpartitioned table")
-    (root,) = files.scan_roots(target)
-    provider = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}["Provider"]
-    mark = f"stream-{stream}-{batch_id}-"
-    side = f"{root}/.{mark}new"
-    files.delete_path(spark, side)
-    for name in files.file_names(spark, root):
-        if name.startswith(mark):
-            files.delete_path(spark, f"{root}/{name}")
-    rows = batch.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema.fields])
-    rows.write.format(provider).save(side)
-    for name in files.file_names(spark, side):
-        files.move(spark, f"{side}/{name}", f"{root}/{mark}{name}")
-    files.delete_path(spark, side)
-    spark.catalog.refreshTable(table)
+    """Add a micro-batch, replacing what an earlier try of it left."""
+    target = batch.sparkSession.table(table)
+    if files.partition_columns(target) != list(STREAM_COLUMNS):
+        raise ValueError(f"{table} is not laid out for streamed appends; make it with create_streamed")
+    rows = batch.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
+                          for f in target.schema.fields if f.name not in STREAM_COLUMNS])
+    marked = rows.withColumns({"ingest_stream": F.lit(stream), "ingest_batch": F.lit(batch_id).cast("bigint")})
+    insert_table(marked, table, overwrite=True, partition_by=list(STREAM_COLUMNS), partition_mode="dynamic")
 
 
 def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
@@ -81,7 +82,7 @@ def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str
     def take(batch: DataFrame, batch_id: int) -> None:
         if mode == "append":
             if not spark.catalog.tableExists(table):
-                spark.createDataFrame([], batch.schema).write.saveAsTable(table)
+                create_streamed(spark.createDataFrame([], batch.schema), table)
             append_once(batch, batch_id, table, name)
             return
         unmatched = F.lit(False)

@@ -105,3 +105,51 @@ def test_path_overwrite_from_the_same_path(spark, tmp_path):
     W.write_path(o, p, "overwrite")
     W.write_path(spark.read.parquet(p).where("o_orderstatus = 'F'"), p, "overwrite")
     assert spark.read.parquet(p).count() == o.where("o_orderstatus = 'F'").count()
+
+
+def test_overwrites_go_on_side_by_side(spark, db):                # K4, K5
+    """Two slow dynamic overwrites: each one's rows say when its tasks began
+    and ended, and the spans overlap; the session keeps its mode."""
+    from concurrent.futures import ThreadPoolExecutor
+    schema = "k int, p string, began string, ended string"
+    for t in ("one", "two"):
+        W.insert_table(spark.createDataFrame([(0, "a", "", ""), (0, "b", "", "")], schema), f"{db}.{t}",
+                       partition_by="p")
+    now = F.expr("java_method('java.lang.System', 'currentTimeMillis')")
+    pause = F.expr("coalesce(reflect('java.lang.Thread', 'sleep', 3000L), '')")
+
+    def slow(t):
+        rows = spark.range(1).select(F.lit(1).alias("k"), F.lit("a").alias("p"), now.alias("began"), pause.alias("x"))
+        late = rows.withColumn("ended", F.concat("x", now)).select("k", "p", "began", "ended")
+        return W.insert_table(late, f"{db}.{t}", overwrite=True, partition_by="p", partition_mode="dynamic")
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(slow, ["one", "two"])) == [True, True]
+    spans = []
+    for t in ("one", "two"):
+        rows = {r.p: r for r in spark.table(f"{db}.{t}").collect()}
+        assert set(rows) == {"a", "b"} and rows["b"].k == 0
+        spans.append((int(rows["a"].began), int(rows["a"].ended[-13:])))
+    assert max(b for b, _ in spans) < min(e for _, e in spans), spans
+    assert spark.conf.get(W.OVERWRITE_MODE).lower() == "static"
+
+
+def test_dynamic_overwrite_from_the_same_table(spark, db):
+    o = orders(spark)
+    t = f"{db}.o"
+    W.insert_table(o, t, partition_by="o_orderstatus")
+    W.insert_table(spark.table(t).where("o_orderstatus = 'F' and o_totalprice > 100000"), t, overwrite=True,
+                   partition_by="o_orderstatus", partition_mode="dynamic")
+    want = o.where("o_orderstatus <> 'F' or o_totalprice > 100000").count()
+    assert spark.table(t).count() == want
+
+
+def test_a_session_of_its_own_keeps_the_settings(spark, db):
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        own = W.own_session(spark, {W.OVERWRITE_MODE: "DYNAMIC"})
+        assert own.conf.get("spark.sql.shuffle.partitions") == "7"
+        assert own.conf.get(W.OVERWRITE_MODE).upper() == "DYNAMIC"
+        assert own.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
