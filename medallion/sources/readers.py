@@ -10,10 +10,12 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sinks import files
+from . import csv_types
 
 # Options of the raw CSV files (header, comma, inferred types)
 # and of the directory merge (semicolon files with a header).
@@ -26,6 +28,7 @@ CSV_SYNTAX = ("sep", "delimiter", "quote", "escape", "chartoescapequoteescaping"
               "maxcharspercolumn")
 BRONZE_SYNTAX = {"sep": ",", "quote": '"', "escape": '"'}
 BRONZE_MARK = "_canonical_csv"
+REJECTED = "_rejected"
 
 
 def _opts(options: Mapping | None) -> dict[str, str]:
@@ -124,30 +127,77 @@ def bronze_read_options(options: Mapping | None) -> dict[str, str]:
 
 
 def copy_to_bronze(spark: SparkSession, src: str, dst: str, fmt: str = "csv",
-                   options: Mapping | None = None) -> None:
+                   options: Mapping | None = None, bad_lines: str = "fail") -> int:
     """Copy one landing file (or folder) to bronze on the executors, without
     loss.  CSV is parsed by the file's own syntax (delimiter, quote, escape,
     header, multi-line records, encoding), every cell kept as text and
     nothing trimmed or turned into NULL, and written in one canonical syntax;
-    a ragged line is an error, never cut.  A folder copied so holds the mark
-    ``BRONZE_MARK``.  Line formats are copied line by line, unparsed (whole
-    files where a record may span lines); other formats in their own."""
+    a folder copied so holds the mark ``BRONZE_MARK``.  Line formats are
+    copied line by line, unparsed (whole files where a record may span
+    lines); other formats in their own.
+
+    A CSV record with too many or too few cells is never cut: with
+    ``bad_lines="fail"`` it is an error, with ``"quarantine"`` it is kept
+    word for word under ``REJECTED`` beside the copy (Parquet, column
+    ``line``).  Returns how many there were."""
     fmt = (fmt or "csv").lower()
     own = _opts(options)
+    if bad_lines not in ("fail", "quarantine"):
+        raise ValueError(f"unknown way with bad lines {bad_lines!r}")
     if fmt == "csv":
-        syntax = {k: v for k, v in own.items() if k.lower() in CSV_SYNTAX}
-        header = next((v for k, v in own.items() if k.lower() == "header"), "false")
-        # a mark no cell has keeps quoted empty cells apart from absent ones
-        cells = spark.read.options(**syntax).options(
-            mode="FAILFAST", inferSchema="false", nullValue="\0").csv(src)
-        cells.write.mode("overwrite").options(**BRONZE_SYNTAX).options(
-            ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").option("header", header).csv(dst)
-        files.touch(spark, f"{dst.rstrip('/')}/{BRONZE_MARK}")
-    elif fmt in ("json", "text", "txt", "jsonl"):
+        return _copy_csv(spark, src, dst, own, bad_lines == "quarantine")
+    if fmt in ("json", "text", "txt", "jsonl"):
         spanning = next((v for k, v in own.items() if k.lower() in ("multiline", "wholetext")), "false")
         spark.read.option("wholetext", spanning).text(src).write.mode("overwrite").text(dst)
     else:
         spark.read.format(fmt).load(src).write.mode("overwrite").format(fmt).save(dst)
+    return 0
+
+
+def _copy_csv(spark: SparkSession, src: str, dst: str, own: Mapping[str, str], tolerant: bool) -> int:
+    syntax = {k: v for k, v in own.items() if k.lower() in CSV_SYNTAX}
+    header = next((v for k, v in own.items() if k.lower() == "header"), "false")
+    # a mark no cell has keeps quoted empty cells apart from absent ones
+    reader = spark.read.options(**syntax).options(inferSchema="false", nullValue="\0")
+
+    typed = csv_types.settles(own)
+    null_value, kinds = csv_types.null_value_of(own), Observation()
+
+    def write(cells: DataFrame) -> None:
+        if typed:       # the types come out of the same pass
+            cells = cells.observe(kinds, *csv_types.counts(cells.columns, null_value))
+        cells.write.mode("overwrite").options(**BRONZE_SYNTAX).options(
+            ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").option("header", header).csv(dst)
+
+    rejected, columns = 0, reader.csv(src).schema
+    if not tolerant:
+        write(reader.options(mode="FAILFAST").schema(columns).csv(src))
+    else:
+        mark = next(c for c in (f"_line{i or ''}" for i in range(len(columns) + 1))
+                    if c not in {n.lower() for n in columns.names})
+        # every column is read, so that a record's cells are all counted
+        lines = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=mark, columnPruning="false").schema(
+            T.StructType([*columns.fields, T.StructField(mark, T.StringType())])).csv(src)
+        seen = Observation()
+        write(lines.observe(seen, F.count(mark).alias("bad")).where(F.col(mark).isNull()).drop(mark))
+        rejected = seen.get["bad"]
+        if rejected:        # a second pass, for files that have any
+            # Spark refuses to read the corrupt records' column alone: look at a cell too
+            cell = F.col("`" + columns.names[0].replace("`", "``") + "`")
+            lines.where(F.col(mark).isNotNull() & (F.length(F.coalesce(cell, F.lit(""))) >= 0)).select(
+                F.col(mark).alias("line")).write.parquet(f"{dst.rstrip('/')}/{REJECTED}")
+    if typed and columns.names:
+        types = csv_types.settled(columns.names, kinds.get)
+        if types:
+            csv_types.keep(spark, dst, types, null_value)
+    files.touch(spark, f"{dst.rstrip('/')}/{BRONZE_MARK}")
+    return int(rejected)
+
+
+def rejected_lines(spark: SparkSession, bronze_path: str) -> DataFrame | None:
+    """The lines that a bronze copy left out (column ``line``), if any."""
+    path = f"{bronze_path.rstrip('/')}/{REJECTED}"
+    return spark.read.schema("line string").parquet(path) if files.exists(spark, path) else None
 
 
 def refresh_bronze(spark: SparkSession, landing: str, bronze: str,
