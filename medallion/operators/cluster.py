@@ -7,9 +7,9 @@ components, scatter data, cluster sizes and mean measures, and labels.
 Repeatability (D4): K-means|| initialisation samples per partition, so the
 same seed gives other centres on another partitioning.  With ``layout_key``
 the input is hash-partitioned on that key and the features into a number
-of partitions that depends only on its row count, and sorted inside each
-one before fitting, which makes the fit independent of how the input
-arrived while the task count still grows with the data.
+of partitions that the caller states, and sorted inside each one before
+fitting, which makes the fit independent of how the input arrived; size the
+number for the data.
 """
 
 from __future__ import annotations
