@@ -1,6 +1,6 @@
 """Run the workflow (W6) from a JSON configuration file:
 
-    python -m medallion config.json [--master local[4]]
+    python -m medallion config.json [--master local[4]] [--run NAME]
 
 On a cluster, ship the package (``--py-files``) and call ``main`` from the
 submitted script; the master then comes from ``spark-submit``.
@@ -20,6 +20,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     ap = argparse.ArgumentParser(prog="medallion")
     ap.add_argument("config", help="JSON file with the layer configuration")
     ap.add_argument("--master", default=None, help="Spark master (default: from spark-submit)")
+    ap.add_argument("--run", default=None, help="name of the run: a rerun under it begins at the step that failed")
     args = ap.parse_args(argv)
     with open(args.config, encoding="utf-8") as fh:
         cfg = json.load(fh)
@@ -30,7 +31,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             b = b.master(args.master)
         spark = b.getOrCreate()
     from .plans.reports import run_all
-    out = run_all(spark, cfg)
+    out = run_all(spark, cfg, args.run)
     for row in out["audit"].toJSON().collect():      # one row per ingested file
         print(row)
     return 0

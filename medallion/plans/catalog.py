@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rollup import reconcile_counts
+from ..sinks.files import exists
+from ..sinks.versions import VERSIONS
 from ..sinks.writers import table_exists  # noqa: F401  (C3, re-exported)
 from ..sources.readers import list_files
 
@@ -64,12 +66,16 @@ def describe_database(spark: SparkSession, db: str) -> DataFrame:
 def table_detail(spark: SparkSession, table: str) -> DataFrame:
     """Format, location, files and bytes of a table.  Format and
     location come from the catalog; files and bytes from a listing of the
-    location (one row per file, content never read), summed on the
-    executors.  Hidden files (``_SUCCESS``, ``.crc``) are left out."""
+    location, versions of partitions included (one row per file, content
+    never read), summed on the executors.  Hidden files (``_SUCCESS``,
+    ``.crc``) and partitions kept outside the location are left out."""
     meta = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()
             if r.col_name in ("Provider", "Location")}
     loc = meta.get("Location")
-    files = (list_files(spark, loc)
+    listed = list_files(spark, loc)
+    if exists(spark, f"{loc}/{VERSIONS}"):
+        listed = listed.union(list_files(spark, f"{loc}/{VERSIONS}"))
+    files = (listed
              .where(~F.col("name").startswith("_") & ~F.col("name").startswith("."))
              .agg(F.count(F.lit(1)).alias("num_files"),
                   F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_in_bytes")))

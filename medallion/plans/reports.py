@@ -5,7 +5,11 @@ sequential workflow (W6).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import datetime as dt
+import hashlib
+import json
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -142,10 +146,18 @@ def publish(report: ClusterReport, table: str, top: DataFrame | None = None,
             fmt: str = DEFAULT_FORMAT) -> DataFrame:
     """K4 into gold, every output of the report in a table of its own
     (``table`` and, with a suffix, sizes, means, scatter points, silhouette
-    and the top ten), then the main one read back (the job's last step)."""
+    and the top ten), then the main one read back (the job's last step).  The
+    small tables are written side by side, after the rows they come from."""
     spark = report.report.sparkSession
-    for suffix, frame in report_outputs(report, top).items():
-        write_sink(frame, table=f"{table}{suffix}", mode="overwrite", fmt=fmt)
+
+    def write(output: tuple[str, DataFrame]) -> None:
+        suffix, frame = output
+        write_sink(frame, table=f"{table}{suffix}", mode="overwrite", fmt=fmt, on_empty="write")
+
+    main, *small = report_outputs(report, top).items()
+    write(main)
+    with ThreadPoolExecutor(max_workers=len(small)) as pool:
+        list(pool.map(write, small))
     report.release()
     return spark.table(table)
 
@@ -164,16 +176,89 @@ JOBS = {"slums": {"source": "house_holds_slums", "target": "household_slums_clus
         "electricity": {"source": "electricity_consumption", "target": "electricity_clusters"}}
 
 
-def run_all(spark: SparkSession, cfg: Mapping) -> dict[str, DataFrame]:
+#: What the state of a step is kept as: the log of all tries, newest last.
+STEP_TABLE = "workflow_steps"
+STEP_SCHEMA = ("run string, step string, input string, status string, started timestamp, ended timestamp, "
+               "detail string")
+
+
+class Steps:
+    """The steps of one run, and which of them are done.
+
+    Each try of a step appends a row to the state table: the run, the step, a
+    digest of what it reads, ``done`` or ``failed``.  A step is skipped if its
+    last row in this run says that it was done with the same input; so a rerun
+    under the same name begins at the step that failed, and one whose input
+    has changed meanwhile is done again, as is what comes after it."""
+
+    def __init__(self, spark: SparkSession, table: str, run: str):
+        self.spark, self.table, self.run = spark, table, run
+        if not spark.catalog.tableExists(table):
+            spark.sql(f"CREATE TABLE {table} ({STEP_SCHEMA}) USING parquet")
+        spark.catalog.refreshTable(table)
+        last = spark.table(table).where(F.col("run") == run).groupBy("step").agg(
+            F.max(F.struct("ended", "input", "status")).alias("last")).select("step", "last.*")
+        self.state = {r["step"]: r for r in last.collect()}           # a row per step
+
+    def todo(self, step: str, given: str) -> bool:
+        last = self.state.get(step)
+        return last is None or last["status"] != "done" or last["input"] != given
+
+    def note(self, step: str, given: str, status: str, started: dt.datetime, detail: str = "") -> None:
+        row = (self.run, step, given, status, started, _now(), detail)
+        self.spark.createDataFrame([row], STEP_SCHEMA).coalesce(1).write.insertInto(self.table)
+
+    def do(self, step: str, given: Callable[[], str], work: Callable[[], object]) -> bool:
+        """Run a step unless it is done; whether it was run.  The digest is
+        taken before the step, so an input that changes while it runs makes
+        the next run do it again."""
+        digest, started = given(), _now()
+        if not self.todo(step, digest):
+            return False
+        try:
+            work()
+        except BaseException as exc:
+            self.note(step, digest, "failed", started, f"{type(exc).__name__}: {exc}"[:500])
+            raise
+        self.note(step, digest, "done", started)
+        return True
+
+
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
+def files_digest(listing: DataFrame) -> str:
+    """One value for a listing of files (path, size_bytes, modified), in any
+    order; made on the executors."""
+    h = F.xxhash64("path", "size_bytes", "modified").cast("decimal(20,0)")
+    r = listing.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("s")).first()
+    return f"{r['n']}:{r['s']}"
+
+
+def table_digest(spark: SparkSession, table: str) -> str:
+    """The files a table's rows lie in, by path, size and time."""
+    spark.catalog.refreshTable(table)
+    m = F.col("_metadata")
+    return files_digest(spark.table(table).select(
+        m["file_path"].alias("path"), m["file_size"].alias("size_bytes"),
+        m["file_modification_time"].alias("modified")).distinct())
+
+
+def run_all(spark: SparkSession, cfg: Mapping, run: str | None = None) -> dict[str, DataFrame]:
     """Ingest, then the slum and electricity jobs, in order.
 
     Both jobs run unless the configuration has a ``jobs`` key, which then
     names the ones to run (``{"slums": {}}``) and may rename their ``source``
-    and ``target``.  A source table that is not there is an error."""
-    from .ingest import ingest, normalise_config
+    and ``target``.  A source table that is not there is an error.
+
+    With a name for the ``run`` (or ``"run"`` in the configuration) the state
+    of every step is kept (``Steps``, table ``workflow_steps`` in the gold
+    database), and a rerun under that name begins at the step that failed."""
+    from .ingest import ingest, landing_manifest, normalise_config
 
     cfg = normalise_config(cfg)
-    audit = ingest(spark, cfg)
+    run = run or cfg.get("run")
     silver = cfg.get("silver", {}).get("db", "silver")
     gold = cfg.get("gold", {}).get("db", "gold")
     fmt = cfg.get("gold", {}).get("table_format") or DEFAULT_FORMAT
@@ -182,12 +267,48 @@ def run_all(spark: SparkSession, cfg: Mapping) -> dict[str, DataFrame]:
     unknown = set(jobs) - set(JOBS)
     if unknown:
         raise ValueError(f"unknown jobs {sorted(unknown)}; known are {sorted(JOBS)}")
-    out = {"audit": audit}
+    steps = Steps(spark, f"{gold}.{STEP_TABLE}", run) if run else None
+    out: dict[str, DataFrame] = {}
+    plain = hashlib.sha1(json.dumps(cfg, sort_keys=True, default=str).encode()).hexdigest()
+
+    def do(step: str, given: Callable[[], str], work: Callable[[], DataFrame]) -> bool:
+        def keep() -> None:
+            out[step] = work()
+        if steps is None:
+            keep()
+            return True
+        return steps.do(step, given, keep)
+
+    def landed() -> str:
+        landing = cfg.get("landing", {}).get("path")
+        return f"{plain}:{files_digest(landing_manifest(spark, cfg, landing)) if landing else ''}"
+
+    if not do("audit", landed, lambda: ingest(spark, cfg)):
+        out["audit"] = _audit_of(spark, cfg, steps.state["audit"]["ended"])
     for name in JOBS:
         if name not in jobs:
             continue
         names = {**JOBS[name], **(jobs[name] or {})}
-        raw = spark.table(f"{silver}.{names['source']}")
-        rep, top = slum_report(raw) if name == "slums" else (electricity_report(raw), None)
-        out[name] = publish(rep, f"{gold}.{names['target']}", top, fmt)
+        source, target = f"{silver}.{names['source']}", f"{gold}.{names['target']}"
+
+        def report() -> DataFrame:
+            raw = spark.table(source)
+            rep, top = slum_report(raw) if name == "slums" else (electricity_report(raw), None)
+            return publish(rep, target, top, fmt)
+
+        if not do(name, lambda: f"{json.dumps(names, sort_keys=True)}:{fmt}:{table_digest(spark, source)}", report):
+            out[name] = spark.table(target)
     return out
+
+
+def _audit_of(spark: SparkSession, cfg: Mapping, ended: dt.datetime) -> DataFrame:
+    """The audit rows of the ingest that a rerun skips: of each file the
+    last one up to its end; no rows if no audit table is kept."""
+    from .ingest import AUDIT_SCHEMA
+
+    audit = cfg.get("audit")
+    if not audit or not spark.catalog.tableExists(f"{audit['db']}.{audit['table']}"):
+        return spark.createDataFrame([], AUDIT_SCHEMA).withColumn("seconds", F.lit(None).cast("bigint"))
+    rows = spark.table(f"{audit['db']}.{audit['table']}").where(F.col("end_time") <= F.lit(ended))
+    last = F.max_by(F.struct(*rows.columns), "end_time").alias("row")
+    return rows.groupBy(F.col("file_name").alias("__file")).agg(last).select("row.*")
