@@ -22,16 +22,19 @@ from .functions.names import clean_silver_names, nice_case_names
 from .functions.values import NUMERIC_PATTERN, RANK_LABELS
 from .operators import cluster as C
 from .operators import clean as K
+from .operators import profile_state as PS
+from .operators import reconcile as RC
 from .operators import rollup as R
 from .plans import catalog as CAT
 from .plans import reports as REP
 from .plans.ingest import ingest
 from .session import scratch_path, unique_name
+from .sinks import buckets as B
 from .sinks import upsert as U
 from .sinks import writers as Wr
 from .sources import json_docs as J
 from .sources import readers as Rd
-from .streaming.landing import stream_ingest
+from .streaming.landing import append_once, create_streamed, stream_ingest, streamed_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -253,6 +256,31 @@ def q_null_profile(spark, sf):
     return K.profile_frame(K.replace_sentinel(na_customer(spark, sf)))
 
 
+PROFILED_ORDERS_SQL = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'NA' ELSE CAST(o_custkey AS VARCHAR) END AS cust, o_orderstatus FROM orders"""
+
+
+@query("profile_merged", f"""
+SELECT *, 1 AS partitions_read FROM ({_profile_sql(
+    PROFILED_ORDERS_SQL, ["o_orderkey", "o_orderpriority", "cust", "o_orderstatus"], {"o_orderkey"})})""")
+def q_profile_merged(spark, sf):
+    """A4 + A5 merged: two partitions are profiled, a third is appended and
+    only it is read; the merged profile is that of all rows."""
+    db = layer_db(spark, "silver")
+    t, state = f"{db}.orders", f"{db}.profile_states"
+    k = F.col("o_orderkey")
+    rows = T(spark, sf, "orders").select(
+        "o_orderkey", F.when(k % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.when(k % 3 == 0, "NA").otherwise(F.col("o_custkey").cast("string")).alias("cust"), "o_orderstatus")
+    late = F.col("o_orderstatus") == "P"
+    Wr.insert_table(rows.where(~late), t, partition_by="o_orderstatus")
+    PS.refresh_profile(spark, t, state)
+    Wr.insert_table(rows.where(late), t, partition_by="o_orderstatus")
+    n_read = PS.refresh_profile(spark, t, state)
+    return PS.merged_profile(spark, t, state).withColumn("partitions_read", F.lit(n_read))
+
+
 @query("drop_sparse", f"""
 SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM ({NA_NULL_SQL})""")
 def q_drop_sparse(spark, sf):
@@ -385,6 +413,28 @@ def q_reconcile_counts(spark, sf):
         "table_name", F.regexp_extract("table_name", r"\.([^.]+)$", 1))
 
 
+@query("reconcile_content", """
+WITH planted AS (SELECT max(o_orderkey) AS k FROM orders)
+SELECT 'left' AS side, CAST(o_orderkey AS VARCHAR) AS o_orderkey, 1 AS copies, 1 AS n_ranges, o_orderstatus
+FROM orders, planted WHERE o_orderkey = k
+UNION ALL SELECT 'right', CAST(o_orderkey AS VARCHAR), 1, 1, 'changed' FROM orders, planted WHERE o_orderkey = k""")
+def q_reconcile_content(spark, sf):
+    """W7 by content: a copy of the orders in which one row differs; the one
+    key range whose checksums disagree and the two versions of the row."""
+    db = layer_db(spark, "silver")
+    o = T(spark, sf, "orders")
+    last = o.agg(F.max("o_orderkey").alias("o_orderkey")).withColumn("last", F.lit(True))      # one row
+    changed = o.join(last, "o_orderkey", "left").withColumn(
+        "o_orderstatus", F.when(F.col("last"), "changed").otherwise(F.col("o_orderstatus")))
+    Wr.insert_table(changed.drop("last").repartition(5, "o_custkey"), f"{db}.orders")
+    copy = spark.table(f"{db}.orders")
+    ranges = RC.reconcile_content(o, copy, "o_orderkey").groupBy("same").agg(
+        F.count(F.lit(1)).cast("int").alias("n_ranges")).where("NOT same")
+    found = RC.differing_rows(o, copy, "o_orderkey").withColumn("same", F.lit(False))
+    return found.join(ranges, "same").select(
+        "side", "o_orderkey", F.col("copies").cast("int").alias("copies"), "n_ranges", "o_orderstatus")
+
+
 @query("partition_values", """
 SELECT string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS o_orderstatus_values
 FROM orders""")
@@ -696,6 +746,65 @@ def q_upsert_keys(spark, sf):
     return spark.table(t)
 
 
+def bucket_batch(o: DataFrame) -> DataFrame:
+    """The first order of each customer at price 0, also under a new key,
+    and pending orders without a key."""
+    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey")
+    changed = o.join(first, "o_orderkey").select(*o.columns).withColumn("o_totalprice", F.lit(0.0))
+    new = changed.withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    without = o.where(F.col("o_orderstatus") == "P").withColumn("o_orderkey", F.lit(None).cast("long"))
+    return changed.unionByName(new).unionByName(without)
+
+
+BUCKET_BATCH_SQL = """
+WITH changed AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, 0.0::DOUBLE AS o_totalprice, o_orderdate, o_orderpriority FROM orders
+  WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey))
+SELECT * FROM changed
+UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM changed
+UNION ALL SELECT NULL, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+FROM orders WHERE o_orderstatus = 'P'"""
+
+
+@query("upsert_bucketed", f"""
+WITH u AS ({BUCKET_BATCH_SQL})
+SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM u WHERE o_orderkey IS NOT NULL)
+UNION ALL SELECT * FROM u""")
+def q_upsert_bucketed(spark, sf):
+    """MERGE on the key into a table bucketed by it; the first order
+    of every customer changes, in some buckets or all, and NULL keys come in."""
+    db = layer_db(spark, "silver")
+    o = T(spark, sf, "orders")
+    t = f"{db}.orders_b"
+    U.upsert(o, "o_orderkey", table=t, n_buckets=16)
+    U.upsert(bucket_batch(o), "o_orderkey", table=t)
+    return B.read_bucketed(spark, t)
+
+
+@query("upsert_one_bucket", """
+SELECT o_orderkey, o_custkey, o_orderstatus,
+       CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN -1.0 ELSE o_totalprice END AS o_totalprice,
+       o_orderdate, o_orderpriority, o_orderkey = (SELECT max(o_orderkey) FROM orders) AS rewritten
+FROM orders ORDER BY o_orderkey""")
+def q_upsert_one_bucket(spark, sf):
+    """A batch of one key rewrites its bucket only: every row, and
+    whether it is the changed one; a row of an untouched bucket that lies in
+    a new file would show."""
+    db = layer_db(spark, "silver")
+    o = T(spark, sf, "orders")
+    t = f"{db}.orders_b"
+    U.upsert(o, "o_orderkey", table=t, n_buckets=16)
+    last = o.agg(F.max("o_orderkey").alias("o_orderkey"))
+    U.upsert(o.join(last, "o_orderkey").select(*o.columns).withColumn("o_totalprice", F.lit(-1.0)),
+             "o_orderkey", table=t)
+    rows = spark.table(t).withColumn("new_file", F.col("_metadata.file_path").contains("/_versions/"))
+    bucket = rows.join(last, "o_orderkey").select(B.BUCKET).distinct()
+    inside = rows.join(bucket.withColumn("touched", F.lit(True)), B.BUCKET, "left")
+    # a new file holds the touched bucket, all of it and nothing else
+    return inside.where(F.col("new_file") == F.coalesce("touched", F.lit(False))).select(
+        *o.columns, (F.col("o_totalprice") == -1.0).alias("rewritten"))
+
+
 def moved_batch(o: DataFrame) -> DataFrame:
     """Updates in partitions F and O only: urgent F/O orders repriced, high
     F orders moved to O, and high P orders moved to O (their partition P is
@@ -1032,6 +1141,36 @@ def q_electricity_report(spark, sf):
     return electricity_rows(spark, table)
 
 
+def _label_sql(name: str, group: str, source: str) -> str:
+    return f"""
+SELECT {name}, CASE {group} % 3 WHEN 0 THEN 'Small' WHEN 1 THEN 'Medium' ELSE 'Large' END AS label
+FROM {source}"""
+
+
+@query("slum_labels", _label_sql(
+    "n_name AS City", "n_nationkey", "(SELECT DISTINCT n_name, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey)"))
+def q_slum_labels(spark, sf):
+    """The label of every city, over wards whose cities form three
+    groups far apart."""
+    table = f"{layer_db(spark, 'gold')}.household_slums_clusters"
+    found = REP.publish(*_slums(S.separable_wards(spark, sf), table))
+    return found.select("City", F.col(REP.SLUM_LABEL).alias("label"))
+
+
+def _slums(raw: DataFrame, table: str) -> tuple:
+    report, top = REP.slum_report(raw)
+    return report, table, top
+
+
+@query("electricity_labels", _label_sql(
+    "'City' || user_id AS CityName", "user_id", "(SELECT DISTINCT user_id FROM events)"))
+def q_electricity_labels(spark, sf):
+    """W4 (M9): the label of every city, over three groups far apart."""
+    table = f"{layer_db(spark, 'gold')}.electricity_clusters"
+    found = REP.publish(REP.electricity_report(S.separable_electricity(spark, sf), exclude=[]), table)
+    return found.select("CityName", F.col(REP.ELECTRICITY_LABEL).alias("label"))
+
+
 # ============================================================ ingest / catalog
 
 def land_files(spark, sf, root):
@@ -1097,7 +1236,24 @@ def q_stream_ingest(spark, sf):
     silver = layer_db(spark, "silver")
     stream_ingest(spark, f"{root}/landing/customer", f"{silver}.customer",
                   checkpoint=f"{root}/_checkpoint")
-    return spark.table(f"{silver}.customer")
+    return streamed_rows(spark, f"{silver}.customer")
+
+
+@query("stream_replay", f"""
+SELECT * FROM ({CUSTOMER_TEXT_SQL}) UNION ALL SELECT * FROM ({CUSTOMER_TEXT_SQL}) WHERE c_mktsegment = 'BUILDING'""")
+def q_stream_replay(spark, sf):
+    """A streamed append whose checkpoint is lost is replayed under the
+    same stream and batch (its rows count once); a batch append adds up."""
+    silver = layer_db(spark, "silver")
+    t = f"{silver}.customer"
+    c = T(spark, sf, "customer")
+    text = c.select(*[F.col(n).cast("string").alias(n) for n in c.columns])
+    create_streamed(text.limit(0), t)
+    for batch, rows in ((0, text.where("c_mktsegment <> 'BUILDING'")), (1, text.where("c_mktsegment = 'BUILDING'")),
+                        (0, text.where("c_mktsegment <> 'BUILDING'"))):
+        append_once(rows, batch, t, "customers")
+    Wr.insert_table(text.where("c_mktsegment = 'BUILDING'"), t)
+    return streamed_rows(spark, t)
 
 
 STREAM_BASE_SQL = CUSTOMER_TEXT_SQL
@@ -1183,11 +1339,6 @@ def q_create_layers(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-def row_counts(spark, sf, names) -> DataFrame:
-    """(table_name, row_count) of the driver's tables."""
-    return R.reconcile_counts({n: T(spark, sf, n) for n in names})
-
-
 LAYER_COUNTS_SQL = """
 SELECT 'customer' AS table_name, count(*) AS row_count FROM customer
 UNION ALL SELECT 'orders', count(*) FROM orders"""
@@ -1203,12 +1354,13 @@ def _layer_with_tables(spark, sf, prefix: str) -> str:
 @query("list_tables", LAYER_COUNTS_SQL)
 def q_list_tables(spark, sf):
     """C4: permanent tables of a layer (a temp view does not count), with the
-    rows that each was filled from."""
+    rows that each holds."""
     db = _layer_with_tables(spark, sf, "silver")
     T(spark, sf, "nation").createOrReplaceTempView("df")
     listed = CAT.list_tables(spark, db).select("table_name")
     spark.catalog.dropTempView("df")
-    return listed.join(row_counts(spark, sf, ("customer", "orders", "nation")), "table_name", "left")
+    names = [r["table_name"] for r in listed.collect()]
+    return listed.join(R.reconcile_counts({n: spark.table(f"{db}.{n}") for n in names}), "table_name", "left")
 
 
 @query("reset_layer", f"SELECT table_name AS dropped, row_count FROM ({LAYER_COUNTS_SQL})")
@@ -1216,8 +1368,10 @@ def q_reset_layer(spark, sf):
     """Every table of a layer dropped through the catalog: those that the
     layer no longer lists, with the rows that each had."""
     db = _layer_with_tables(spark, sf, "gold")
+    before, path = CAT.list_tables(spark, db).collect(), scratch_path(spark, "layer-counts")
+    R.reconcile_counts({r["table_name"]: spark.table(f"{db}.{r['table_name']}") for r in before}).write.parquet(path)
     CAT.reset_layer(spark, db)
-    had = row_counts(spark, sf, ("customer", "orders"))
+    had = spark.read.parquet(path)
     return had.join(CAT.list_tables(spark, db), "table_name", "left_anti").withColumnRenamed("table_name", "dropped")
 
 

@@ -8,13 +8,15 @@ driver's tables so that they grow with them.
   the rounded value sum, plus the rounded total; text cells again.
 
 The SQL twins (``WARDS_SQL`` for the cleaned wards, ``CITIES_SQL`` for the
-rolled-up, imputed cities) give DuckDB the same rows for the oracle checks;
-the electricity stand-in feeds only the K-means report, which has none.
+rolled-up, imputed cities) give DuckDB the same rows for the oracle checks.
+``separable_wards`` and ``separable_electricity`` are the same tables with
+three groups of cities far apart, so that the cluster, and the label, of every
+city is known.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Nations whose male / female ward counts are zero (to be
@@ -133,3 +135,37 @@ def electricity_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     aggs.append(F.lit("NA").alias("Remarks"))
     city = F.concat(F.lit("City"), _txt(F.col("user_id")))
     return e.groupBy(city.alias("CityName")).agg(*aggs)
+
+
+#: What lifts a group of cities above the one below it: more than all wards
+#: of a city, or all events of a user, come to.
+LIFT = 10 ** 12
+
+
+def separable_wards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wards with three groups of cities (nation key modulo 3): the
+    first ward of a city carries its group's lift, and literacy follows it."""
+    raw = wards_raw(spark, sf_dir)
+    number = F.col("`Ward No.`").cast("bigint")
+    first = raw.groupBy("City").agg(F.min(number).alias("first"))
+    group = table(spark, sf_dir, "nation").select(F.col("n_name").alias("City"), (F.col("n_nationkey") % 3).alias("g"))
+    lift = F.when(number == F.col("first"), F.col("g") * LIFT).otherwise(F.lit(0).cast("bigint"))
+    rows = raw.join(first.join(group, "City"), "City")
+
+    def lifted(name: str, share: int) -> Column:
+        value = F.col(f"`{name}`").cast("bigint")
+        return _txt(F.when(value == 0, value).otherwise(value + F.floor(lift / share).cast("bigint")))
+    own = {"Slum Population - Total": lifted("Slum Population - Total", 1),
+           "Slum Population - Male": lifted("Slum Population - Male", 2),
+           "Slum Population - Female": lifted("Slum Population - Female", 2),
+           "Population (SC Category)": _txt(F.col("`Population (SC Category)`").cast("bigint") + lift),
+           "Literacy Rate (Percentage)": _txt(40 + 20 * F.col("g"))}
+    return rows.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
+def separable_electricity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users with three groups (id modulo 3), every measure lifted."""
+    raw = electricity_raw(spark, sf_dir)
+    g = F.regexp_extract("CityName", "([0-9]+)$", 1).cast("bigint") % 3
+    return raw.select(*[c if c in ("CityName", "Remarks") else _txt(F.col(c).cast("bigint") + g * LIFT).alias(c)
+                        for c in raw.columns])
