@@ -29,6 +29,7 @@ from .common import process_cache, ragged_gather, text_slices, texts_of
 NONE = np.int32(2 ** 31 - 1)
 MATRIX_CELLS = 1 << 19
 LONG_WORD = 1024
+SLICE_BYTES = 1 << 20       # texts encoded at a time (a longer text is one by itself)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,22 +72,36 @@ class PairTable:
         return out.reshape(shape)
 
 
-class Bpe:
-    """Encoder and decoder of one rank file."""
-
-    def __init__(self, rank_file: bytes, pattern: str):
-        import regex
+class Decoder:
+    """The bytes of every token of a rank file."""
 
+    def __init__(self, rank_file: bytes):
         self.ranks = {base64.b64decode(token): int(rank)
                       for token, rank in (line.split() for line in rank_file.splitlines() if line)}
-        self.find = regex.compile(pattern).findall
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.token_sizes = np.fromiter(map(len, self.tokens), dtype=np.int64, count=len(self.tokens))
         self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.token_bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes in a row, bytes per text) of ids in a row."""
+        sizes = self.token_sizes[ids]
+        data = ragged_gather(self.token_bytes, self.token_starts[ids], sizes)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        return data, np.bincount(owner, weights=sizes, minlength=len(lengths)).astype(np.int64)
+
+
+class Bpe(Decoder):
+    """Encoder and decoder of one rank file."""
+
+    def __init__(self, rank_file: bytes, pattern: str):
+        import regex
+
+        super().__init__(rank_file)
+        self.find = regex.compile(pattern).findall
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         # any two tokens whose bytes in a row are a token may merge into it
         ranks, left, right, merged = self.ranks, [], [], []
         for token, rank in ranks.items():
@@ -203,22 +218,14 @@ class Bpe:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.chunks.encode(texts)
 
-    # ---- decoding
 
-    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes in a row, bytes per text) of ids in a row."""
-        sizes = self.token_sizes[ids]
-        data = ragged_gather(self.token_bytes, self.token_starts[ids], sizes)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        return data, np.bincount(owner, weights=sizes, minlength=len(lengths)).astype(np.int64)
-
-
-def load(rank_file: bytes, pattern: str) -> Bpe:
-    """One encoder per process and vocabulary."""
-    key = hashlib.sha256(rank_file + pattern.encode()).digest()
+def load(rank_file: bytes, pattern: str | None = None) -> Decoder:
+    """One encoder per process and vocabulary, or without a pattern a
+    decoder, which needs no merges."""
+    key = hashlib.sha256(rank_file + (pattern or "").encode()).digest()
     cache = process_cache()
     if key not in cache:
-        cache[key] = Bpe(rank_file, pattern)
+        cache[key] = Decoder(rank_file) if pattern is None else Bpe(rank_file, pattern)
     return cache[key]
 
 
@@ -226,39 +233,70 @@ def _offsets(lengths: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
 
 
+def _ranks(docs: DataFrame, path: str):
+    with open(path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _id_lists(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(_offsets(lengths), pa.array(ids))
+
+
+def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes),
+                                       [None, _offsets(sizes).buffers()[1], pa.py_buffer(data.tobytes())])
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every whole text."""
-    with open(rank_path, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    ranks = _ranks(docs, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks.value, pattern)
-        for part in text_slices(batches, 2 << 20):
-            ids, lengths = bpe.encode(texts_of(part))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(_offsets(lengths), pa.array(ids))], ["doc_id", "ids"])
+        for part in text_slices(batches, SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(*bpe.encode(texts_of(part)))],
+                                             ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return _texts(docs, id_col, text_col).mapInArrow(
         run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
-def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     """(doc_id, ids, decoded binary) from (doc_id, ids)."""
-    with open(rank_path, "rb") as f:
-        ranks = encoded.sparkSession.sparkContext.broadcast(f.read())
+    ranks = _ranks(encoded, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(ranks.value, pattern)
+        decoder = load(ranks.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 column = part.column(1)
                 lengths = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-                data, sizes = bpe.decode(column.flatten().to_numpy(), lengths)
-                decoded = pa.BinaryArray.from_buffers(
-                    pa.binary(), len(sizes), [None, _offsets(sizes).buffers()[1], pa.py_buffer(data.tobytes())])
+                decoded = _binaries(*decoder.decode(column.flatten().to_numpy(), lengths))
                 yield pa.RecordBatch.from_arrays([part.column(0), column, decoded], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(
         run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): every whole text encoded and its ids decoded
+    again, in one pass of one process a core."""
+    ranks = _ranks(docs, rank_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(ranks.value, pattern)
+        for part in text_slices(batches, SLICE_BYTES):
+            ids, lengths = bpe.encode(texts_of(part))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), _id_lists(ids, lengths), _binaries(*bpe.decode(ids, lengths))],
+                ["doc_id", "ids", "decoded"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(
+        run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary")

@@ -56,7 +56,7 @@ def op3_token_store(spark, sf):
 def bpe_digests(docs, with_ids: bool = False):
     """Digest columns of a byte-level BPE round trip."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    trip = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    trip = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return trip.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

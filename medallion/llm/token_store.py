@@ -11,16 +11,16 @@ Files under one folder, all written and read by Spark:
 ``shards/``  rows in ascending document order: ``part``, ``seq``,
     ``dict_hash``, ``blob`` (frames in a row), and per document ``doc_ids``,
     ``ends`` (byte after its frame), ``n_tokens``, ``starts`` (ids before it
-    in the shard); parts are ranges of ids, a shard ends after ``shard_bytes``.
+    in the shard); parts are ranges of id and text, a shard ends after ``shard_bytes``.
 ``offsets/``  one row per shard: ``part``, ``seq``, ``first_doc``,
     ``last_doc``, ``base`` (ids before the shard).
 
 A reader checks ``dict_hash`` against the dictionary it holds.
 
 Defined cases: a null text is an empty one (its frame holds the end id
-alone); null ids come first; rows of one id are ordered by text and stay
-repeated; the strings of special tokens are ordinary text; with too little
-text to train on, the dictionary is raw content, and empty for an empty
+alone); null ids come first; rows of one id are ordered by their texts'
+XXH64, then by text, and stay repeated; strings of special tokens are taken
+as the library takes them by default (one id); with too little text to train on, the dictionary is raw content, and empty for an empty
 table, which gives files without rows.
 """
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, flatten, text_blocks
+from .chunks import LibraryEncoder
 from .common import id_text, process_cache, text_slices, texts_of
 
 END_ID = 0
@@ -48,31 +48,11 @@ LEVEL = 3
 MAX_CACHED = 500_000        # chunks a process keeps
 
 
-def _encoder(vocabulary: bytes) -> ChunkEncoder:
+def _encoder(vocabulary: bytes) -> LibraryEncoder:
+    """One per process and vocabulary."""
     key, cache = hashlib.sha256(vocabulary).digest(), process_cache()
     if key not in cache:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs the tasks side by side
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(vocabulary.decode())
-        tokenizer.encode_special_tokens = True
-        names = tokenizer.get_vocab(with_added_tokens=False)
-        # byte-level tokens are written with one character to a byte
-        sizes = np.zeros(max(names.values(), default=0) + 1, dtype=np.int64)
-        sizes[list(names.values())] = [len(n) for n in names]
-
-        def parts(strings: list[str]):
-            """Strings that may follow one another without changing each
-            other's tokens are encoded as one text, and its ids dealt out by
-            the bytes that they stand for."""
-            blocks = text_blocks(strings)
-            ids, _ = flatten([e.ids for e in tokenizer.encode_batch_fast(blocks, add_special_tokens=False)])
-            ends = np.cumsum(np.fromiter((len(s.encode()) for s in strings), dtype=np.int64, count=len(strings)))
-            cuts = np.searchsorted(np.cumsum(sizes[ids]), ends, side="right")
-            return ids, np.diff(cuts, prepend=0)
-
-        cache[key] = ChunkEncoder(parts, MAX_CACHED)
+        cache[key] = LibraryEncoder(vocabulary, MAX_CACHED)
     return cache[key]
 
 
@@ -81,16 +61,16 @@ def _vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _ids(part: pa.RecordBatch, encoder: ChunkEncoder, end_id: int) -> list[np.ndarray]:
+def _ids(part: pa.RecordBatch, encoder: LibraryEncoder, end_id: int) -> list[np.ndarray]:
     ids, lengths = encoder.encode(texts_of(part))
-    ends = np.cumsum(lengths)
-    return [np.append(ids[e - n:e], end_id) for n, e in zip(lengths.tolist(), ends.tolist())]
+    return [np.append(own, end_id) for own in np.split(ids, np.cumsum(lengths)[:-1])]
 
 
 def train_dictionary(docs: DataFrame, vocabulary, width: int, end_id: int,
                      sample_docs: int, dictionary_bytes: int) -> bytes:
     """A dictionary from serialised id arrays of at most ``sample_docs``
-    documents (the lowest hashes of the id); it only affects file size."""
+    documents (the lowest hashes of the id), the first ``dictionary_bytes``
+    of each; it only affects file size."""
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +141,9 @@ def write(docs: DataFrame, folder: str, vocabulary_path: str, n_vocabulary: int,
         if frames:
             yield shard()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges of id and text (its hash: no text goes to the driver's sample): rows of one id, or without one, are not one range
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(run, "part int, seq int, dict_hash string, blob binary, doc_ids array<long>, "
                             "ends array<int>, n_tokens array<int>, starts array<long>").write.option(
         "compression", "none").parquet(f"{folder}/shards")
@@ -238,7 +220,7 @@ def lookup(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
     hits = spark.read.parquet(f"{folder}/offsets").where(
         (F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id)) & (F.col("last_doc") >= doc_id)).select(
         "part", "seq")
-    shards = spark.read.parquet(f"{folder}/shards").join(F.broadcast(hits), ["part", "seq"])
+    shards = spark.read.parquet(f"{folder}/shards").join(hits, ["part", "seq"])
     place = F.explode(F.filter(F.sequence(F.lit(1), F.size("doc_ids")),
                                lambda i: F.element_at("doc_ids", i) == doc_id))
     one = shards.where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).withColumn("i", place)

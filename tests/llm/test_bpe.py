@@ -57,6 +57,14 @@ def test_cache_limit_changes_nothing(own, library):
         assert ids.tolist() == library.encode_ordinary(text)
 
 
+def test_cache_is_bounded_by_characters_too(own, library):
+    small = bpe.ChunkEncoder(own.encode_parts, max_chars=2000)
+    for i in range(30):
+        text = f"a{i} " + " ".join("xyz"[i % 3] * (i + k) for k in range(40)) + " " + "q" * (100 * i)
+        assert small.encode([text])[0].tolist() == library.encode_ordinary(text)
+        assert sum(len(c) for c in small.numbers) <= 2000 + 2 * len(text)
+
+
 def test_pair_table_knows_its_pairs_only():
     table = bpe.PairTable(np.array([1, 2, 3]), np.array([4, 5, 6]), np.array([7, 8, 9], dtype=np.int32))
     left, right = np.array([[1, 2, 3, 1, -1]]), np.array([[4, 5, 6, 5, 4]])
@@ -64,13 +72,14 @@ def test_pair_table_knows_its_pairs_only():
 
 
 def test_spark_round_trip(edge_docs, library):
-    trip = bpe.decode(bpe.encode(edge_docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
-    got = [(i, list(ids), bytes(b)) for i, ids, b in rows_of(trip)]
-    assert by_key(got) == by_key([(i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in EDGE_ROWS])
+    want = by_key([(i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in EDGE_ROWS])
+    for trip in (bpe.round_trip(edge_docs, RANKS, P.PATTERN), bpe.decode(bpe.encode(edge_docs, RANKS, P.PATTERN), RANKS)):
+        assert by_key([(i, list(ids), bytes(b)) for i, ids, b in rows_of(trip)]) == want
 
 
 def test_empty_table(no_docs):
-    assert rows_of(bpe.decode(bpe.encode(no_docs, RANKS, P.PATTERN), RANKS, P.PATTERN)) == []
+    assert rows_of(bpe.round_trip(no_docs, RANKS, P.PATTERN)) == [] == rows_of(
+        bpe.decode(bpe.encode(no_docs, RANKS, P.PATTERN), RANKS))
 
 
 def test_rank_file_is_a_fixed_size(own):
