@@ -38,14 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .chunks import flatten
+from .chunks import LibraryEncoder, flatten
 from .common import process_cache, ragged_gather, share, shared_value, staged, text_slices, texts_of
 
-SLICE_BYTES = 1 << 19       # texts of one alignment (a longer text is one by itself)
+SLICE_BYTES = 1 << 18       # texts of one alignment (a longer text is one by itself)
 STRIP_TERMS = 1 << 20       # terms of a product at a time
 PART_CHARS = 1 << 16        # texts are cut between words beyond
+MAX_CACHED, MAX_CHARS = 100_000, 1 << 20    # chunks of A that a process keeps, and their characters
 PAIRS_HELD = 1 << 20        # distinct pairs that a task holds before it hands them on
 BLOCK_PAIRS = 1 << 21       # pairs in one broadcast, at most (36 MB)
+ROW_GROUP = 16 << 20        # bytes of links that a writer holds
 ID_BITS = 32
 
 
@@ -167,15 +169,12 @@ class Tokenizers:
     """The two tokenizers from the contents of their files."""
 
     def __init__(self, a_file: bytes, b_file: bytes):
-        import os
         import re
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs the tasks side by side
+
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a_file.decode())
-        self.a.encode_special_tokens = True
-        names = self.a.get_vocab(with_added_tokens=True)
+        self.a = LibraryEncoder(a_file, MAX_CACHED, MAX_CHARS, special_tokens=False)
+        names = self.a.tokenizer.get_vocab(with_added_tokens=True)
         byte_of, entries = byte_characters(), [b""] * (max(names.values(), default=-1) + 1)
         for name, i in names.items():
             entries[i] = bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else name.encode()
@@ -187,6 +186,7 @@ class Tokenizers:
         # a space after a letter, digit, comma or full stop and before a
         # letter or digit begins a token of A, and of B if no piece holds one
         # after something else
+        self.narrow = max(len(entries), len(pieces)) <= 1 << 16
         self.space = re.compile("(?<=[A-Za-z0-9.,]) (?=[A-Za-z0-9])")
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
 
@@ -204,9 +204,7 @@ class Tokenizers:
         flat = [p for of in parts for p in of]
         owner = np.repeat(np.arange(len(texts)), [len(of) for of in parts])
         out = []
-        for lists in ([e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)],
-                      self.b.encode(flat, num_threads=1) if flat else []):
-            ids, n = flatten(lists)
+        for ids, n in (self.a.encode(flat, spaced=True), flatten(self.b.encode(flat, num_threads=1) if flat else [])):
             out.append((ids, np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64)))
         return out[0], out[1]
 
@@ -370,10 +368,22 @@ class PairCounts:
         return pa.RecordBatch.from_arrays([pa.array(self.keys), pa.array(self.counts)], ["pair", "n"])
 
 
-def _pairs(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+def _packed_links(a: np.ndarray, b: np.ndarray, n_links: np.ndarray, narrow: bool) -> pa.Array:
+    """The id pairs of every text's links, as bytes: 16 bits an id if both
+    vocabularies are that small, else 32."""
+    data = np.stack([a, b], axis=1).astype("<u2" if narrow else "<u4")
+    ends = np.append(0, np.cumsum(n_links)) * data.itemsize * 2
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n_links), [
+        None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _pairs(links: pa.Array, n_links: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Pair keys of all links of a batch, and links per row."""
-    a, b = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (at, at + 1))
-    return a << ID_BITS | b, batch.column(at).value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    n = n_links.to_numpy()
+    data = b"".join(links.to_pylist())
+    total = int(n.sum())
+    ids = np.frombuffer(data, dtype="<u2" if len(data) == 4 * total else "<u4").reshape(-1, 2).astype(np.int64)
+    return ids[:, 0] << ID_BITS | ids[:, 1], n
 
 
 def pair_table(links: DataFrame) -> DataFrame:
@@ -384,13 +394,13 @@ def pair_table(links: DataFrame) -> DataFrame:
         held = PairCounts()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                held.add(_pairs(batch.slice(lo, 500), 0)[0])
+                held.add(_pairs(*batch.slice(lo, 500).columns)[0])
                 if len(held.keys) > PAIRS_HELD:
                     yield held.batch()
                     held = PairCounts()
         yield held.batch()
 
-    counts = links.select("link_a", "link_b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(
+    counts = links.select("links", "n_links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(
         F.sum("n").alias("n")).withColumn("b", F.col("pair").bitwiseAND((1 << ID_BITS) - 1))
     counts = staged(counts, "token-pairs")
     return counts.join(counts.groupBy("b").agg(F.max("n").alias("most")), "b").select(
@@ -444,15 +454,20 @@ def link_scores(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
             n_links = own.per_text(al.a_ends[a])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(own.n_a), pa.array(own.n_b), pa.array(own.per_text(al.cuts)),
-                 pa.array(n_links), pa.array(own.group_digests()), _lists(own.a[a], n_links), _lists(own.b[b], n_links)],
-                ["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "link_a", "link_b"])
-
-    found = staged(_texts(docs, id_col, text_col).mapInArrow(
-        tokens, "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-                "link_a array<int>, link_b array<int>"), "token-links")
+                 pa.array(n_links), pa.array(own.group_digests()),
+                 _packed_links(own.a[a], own.b[b], n_links, both.narrow)],
+                ["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
+
+    kept = ("doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+            "links binary")
+    path = scratch_path(spark, "token-links")
+    # small row groups: a task's writer holds one in memory
+    _texts(docs, id_col, text_col).mapInArrow(tokens, kept).write.option(
+        "parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
+    found = spark.read.schema(kept).parquet(path)
     folder, schema = scratch_path(spark, "link-scores"), "row long, n_best long, count_sum long"
     spark.createDataFrame([], schema).write.parquet(folder)
-    links = found.select("row", "link_a", "link_b")
+    links = found.select("row", "links", "n_links")
     for held in _table_blocks(pair_table(found), block_pairs):
         block = share(spark, held)
 
@@ -461,7 +476,7 @@ def link_scores(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
             for batch in batches:
                 for lo in range(0, batch.num_rows, 500):
                     part = batch.slice(lo, 500)
-                    pairs, n = _pairs(part, 1)
+                    pairs, n = _pairs(part.column(1), part.column(2))
                     at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
                     hit = keys[at] == pairs
                     owner = np.repeat(np.arange(part.num_rows), n)
@@ -475,6 +490,6 @@ def link_scores(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
         block.destroy()
     sums = spark.read.schema(schema).parquet(folder).groupBy("row").agg(
         F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return found.drop("link_a", "link_b").join(sums, "row", "left").select(
+    return found.drop("links").join(sums, "row", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"),
         F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256")
