@@ -295,9 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out:
     idf = np.array([np.log((1 + n_docs) / (1 + frequency.get(i, 0))) + 1 for i in range(len(terms))],
                    dtype=np.float32)
 
-    # the sample's rows again, now as vectors: at most max_examples documents
+    # the sample's rows again, now as vectors: max_examples of them, also where ids repeat
     labelled = held.select("doc_id", "toxic").distinct()
-    examples = vectors.join(F.broadcast(labelled), "doc_id").orderBy("doc_id", "terms", "counts").collect()
+    examples = vectors.join(F.broadcast(labelled), "doc_id").orderBy("doc_id", "terms", "counts").limit(
+        max_examples).collect()
     sparse = [(np.array(r["terms"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)) for r in examples]
     toxic = np.array([r["toxic"] for r in examples], dtype=np.int64)
     ids = np.array([r["doc_id"] for r in examples], dtype=np.int64)
