@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, staged
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -74,8 +74,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")] if carry else []
     lines = long_lines(_keyed(id_text(docs, id_col, text_col), null_rows_apart), min_chars)
     keeper = F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & F.col("keeper.own").eqNullSafe(F.col("own"))
-    drops = lines.join(repeated_lines(lines, min_docs), "hash").where(~keeper).groupBy("key").agg(
-        F.collect_set("pos").alias("drops"))
+    # written first: the join then sees how many there are, and can split a line that very many rows hold
+    repeated = staged(repeated_lines(lines, min_docs), "repeated-lines")
+    drops = lines.join(repeated, "hash").where(~keeper).groupBy("key").agg(F.collect_set("pos").alias("drops"))
     docs = _keyed(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"),
                               *rows), False).drop("own")
     also = ["row"] if carry else []
