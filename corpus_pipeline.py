@@ -42,7 +42,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated long lines stay in one document; ``n_chars`` follows the text."""
-    found = line_dedup.dedup_lines(docs, carry=True)
+    found = line_dedup.dedup_lines(docs, carry=True, null_rows_apart=True)
     own = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return found.select(*[(own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns])
 
