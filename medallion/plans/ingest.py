@@ -19,8 +19,8 @@ inference, which on a large CSV is a full extra pass; ``read_options`` may
 then carry ``samplingRatio``.
 
 The bronze refresh copies only what changed since the last one: a manifest
-(``MANIFEST`` in the silver database) keeps path, bytes and modification time
-of every landing file with the options it was copied by, and is compared with
+(a folder of Parquet files beside bronze, ``<bronze>.manifest``) keeps path,
+bytes and modification time of every landing file with the options it was copied by, and is compared with
 the landing folder's listing.  ``"full_refresh": true`` copies everything.  A
 file that changes within one tick of its clock without changing its size is
 not noticed.
@@ -38,7 +38,6 @@ Unmapped files use the defaults (D8).  A ``merge`` command needs
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 import json
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -50,7 +49,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import clean_silver_names
 from ..sinks import files, versions
-from ..sinks.writers import OVERWRITE_MODE, create_table, own_session, staged, write_sink
+from ..sinks.writers import OVERWRITE_MODE, create_table, own_session, staged, write_path, write_sink
 from ..sources import csv_types
 from ..sources.readers import BRONZE_MARK, bronze_read_options, copy_to_bronze, list_files, read_format, rejected_lines
 
@@ -60,7 +59,8 @@ DEFAULT_WRITE_COMMAND = "insert overwrite"
 DEFAULT_TABLE_FORMAT = "parquet"
 DEFAULT_BAD_LINES = "quarantine"
 DEFAULT_WORKERS = 4          # files under way at once
-MANIFEST = "bronze_manifest"
+MANIFEST = ".manifest"
+MANIFEST_SCHEMA = "file_name string, path string, size_bytes bigint, modified timestamp, settings string"
 QUARANTINE = "ingestion_quarantine"
 
 AUDIT_SCHEMA = T.StructType([
@@ -248,15 +248,13 @@ def refresh_changed(spark: SparkSession, cfg: Mapping, landing: str, bronze: str
     """Bring bronze up to date with landing.  Files that are new or
     changed since the manifest are copied, entries gone from landing go, the
     others stay as they are.  Returns the names copied."""
-    db = cfg.get("silver", {}).get("db", "silver")
-    table, key = f"{db}.{MANIFEST}", hashlib.sha1(files.qualified(spark, bronze).encode()).hexdigest()[:12]
+    kept_at = f"{bronze}{MANIFEST}"
     with staged(landing_manifest(spark, cfg, landing), "bronze-manifest") as now:
         names = {r[0] for r in now.select("file_name").distinct().collect()}
         changed = set(names)
         there = {n for n, _ in landed_files(spark, bronze)} if files.has_entries(spark, bronze) else set()
-        if spark.catalog.tableExists(table) and not cfg.get("full_refresh"):
-            spark.catalog.refreshTable(table)
-            before = spark.table(table).where(F.col("bronze") == key).select(*now.columns)
+        if files.has_entries(spark, kept_at) and not cfg.get("full_refresh"):
+            before = spark.read.schema(MANIFEST_SCHEMA).parquet(kept_at).select(*now.columns)
             on = [now[c].eqNullSafe(before[c]) for c in now.columns]
             moved = now.join(before, on, "left_anti").select("file_name").union(
                 before.join(now, on, "left_anti").select("file_name"))
@@ -269,26 +267,16 @@ def refresh_changed(spark: SparkSession, cfg: Mapping, landing: str, bronze: str
 
         # a copy that breaks off must not pass for one: its entries go first
         kept = now.where(~F.col("file_name").isin(sorted(changed))) if changed else now
-        _keep_manifest(kept, table, key)
+        write_path(kept, kept_at, "overwrite", on_empty="write")
         _side_by_side(spark, copy, sorted(changed), int(cfg.get("workers", DEFAULT_WORKERS)))
         gone = sorted(there - names)
         for stale in gone:      # bronze holds exactly the landing files
             files.delete_path(spark, f"{bronze}/{stale}")
         forget_quarantined(spark, cfg, gone)
-        _keep_manifest(now, table, key)
+        write_path(now, kept_at, "overwrite", on_empty="write")
     return changed
 
 
-def _keep_manifest(rows: DataFrame, table: str, key: str) -> None:
-    spark = rows.sparkSession
-    if rows.isEmpty():          # an overwrite by partition leaves out what has no rows
-        if spark.catalog.tableExists(table):
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (bronze = '{key}')")
-        return
-    write_sink(rows.withColumn("bronze", F.lit(key)), table=table, mode="overwrite", partition_by="bronze",
-               partition_mode="dynamic", on_empty="write")
-
-
 def ingest(spark: SparkSession, cfg: Mapping, refresh: bool = True) -> DataFrame:
     """W1 + W2 + S10: refresh bronze from landing, ingest every bronze file
     into silver (``workers`` files at once), append the audit rows to the

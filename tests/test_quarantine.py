@@ -122,7 +122,7 @@ def test_only_changed_files_are_copied(spark, tmp_path, monkeypatch):
     shutil.rmtree(tmp_path / "bronze" / "d.csv")
     assert copies(spark, cfg, monkeypatch) == ["d.csv"]
     assert copies(spark, {**cfg, "full_refresh": True}, monkeypatch) == ["a.csv", "b.csv", "d.csv"]
-    assert spark.table(f"{silver}.bronze_manifest").select("file_name").distinct().count() == 3
+    assert spark.read.parquet(f"{cfg['bronze']['path']}.manifest").select("file_name").distinct().count() == 3
 
 
 def test_a_broken_copy_is_made_again(spark, tmp_path, monkeypatch):
